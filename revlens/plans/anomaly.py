@@ -26,9 +26,10 @@ METRICS = [
 SEVERITY_STEPS = [("critical", "2"), ("high", "1.5"), ("medium", "1")]
 SEVERITIES = ("critical", "high", "medium", "low")
 
-# Comparisons run on exact decimals: in doubles 0.15 - 0.10 is not 0.05. With 16
-# digits before the point, value x (threshold x multiple) still fits 38 digits.
-EXACT = "decimal(31,15)"
+# Comparisons run on exact decimals: in doubles 0.15 - 0.10 is not 0.05. Twelve
+# places are what a double holds reliably; with 19 digits before the point,
+# value x (threshold x multiple) still fits 38 digits.
+EXACT = "decimal(31,12)"
 LIMIT = "decimal(6,3)"
 
 

@@ -11,6 +11,8 @@ from datetime import date, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 
+from revlens.sources.feature_catalogue import FEATURES
+
 AS_OF = date(2024, 1, 31)
 RUN_TS = datetime(2024, 1, 31, 6, 0, 0)
 SOURCES = ("customer", "orders", "lineitem", "events")
@@ -30,27 +32,6 @@ def _pick(number: str, *values: str) -> str:
 _ACCOUNT = "cast(floor(c_custkey / 3) as bigint)"
 _SIGNUP = f"{_DAY0} + cast(c_custkey % 61 as int)"
 
-# The feature catalogue (name, category, minimum plan, core, status,
-# adoption difficulty, retention impact).
-FEATURES = [
-    ("login", "core", "starter", True, "active", "low", "medium"),
-    ("create_invoice", "billing", "starter", True, "active", "low", "high"),
-    ("send_payment_reminder", "billing", "starter", True, "active", "low", "medium"),
-    ("process_payment", "payments", "starter", True, "active", "medium", "high"),
-    ("book_service", "scheduling", "starter", True, "active", "medium", "medium"),
-    ("view_customer_history", "crm", "starter", True, "active", "low", "medium"),
-    ("automated_followup", "automation", "pro", False, "active", "medium", "high"),
-    ("export_report", "reporting", "pro", False, "active", "medium", "medium"),
-    ("advanced_reporting", "reporting", "business", False, "active", "high", "high"),
-    ("team_task_assignment", "operations", "pro", False, "active", "medium", "medium"),
-    ("client_portal", "crm", "pro", False, "active", "medium", "high"),
-    ("recurring_invoice", "billing", "pro", False, "active", "medium", "high"),
-    ("contract_template", "operations", "business", False, "beta", "high", "medium"),
-    ("tax_summary", "reporting", "business", False, "active", "high", "medium"),
-    ("integration_settings", "integrations", "business", False, "deprecated", "high", "high"),
-]
-
-
 def _features_sql() -> str:
     rows = ", ".join(
         f"('feat_{i:06d}', '{n}', '{c}', '{p}', {str(core).lower()}, '{s}', {_DAY0}, '{d}', '{r}', {_DAY0})"
