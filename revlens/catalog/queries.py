@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from revlens.functions import columns as X
 from revlens.operators import ids, topk
-from revlens.operators.calendar import each_day, fill_days, span
+from revlens.operators.calendar import all_bounds, day_bounds, fill_days, on_every_day
 from revlens.operators.latest import latest_per_key
 from revlens.plans import anomaly, core, evidence, jobs, quality, reporting, serving, staging
 from revlens.plans.models import MODELS, Now, Workspace
@@ -288,7 +288,7 @@ def filter_between(w):
 
 @on_lazy
 def filter_trailing_window(w):
-    as_of = w["fact_subs_by_day"].agg(F.max("metric_date").alias("d")).scalar()
+    as_of = core.subscription_bounds(w["stg_subscriptions"]).select("last").scalar()
     inside = (F.col("transaction_date") > F.date_sub(as_of, 30)) & (F.col("transaction_date") <= as_of)
     return w["fact_transactions"].where(inside).select("transaction_id", "transaction_date")
 
@@ -329,8 +329,7 @@ def join_left(w):
 
 @on_lazy
 def join_left_composite(w):
-    first, last = span((w["fact_product_events"], "event_date"))
-    calendar = each_day(w["dim_features"].select("feature_id"), first, last)
+    calendar = on_every_day(w["dim_features"].select("feature_id"), day_bounds(w["fact_product_events"], "event_date"))
     return calendar.join(w["feature_sessions"], ["metric_date", "feature_id"], "left") \
         .select("metric_date", "feature_id", "feature_sessions")
 
@@ -343,13 +342,14 @@ def join_left_then_not_null(w):
 
 @on_lazy
 def join_cross_calendar(w):
-    first, last = span((w["fact_transactions"], "transaction_date"), (w["fact_product_events"], "event_date"))
-    return each_day(w["dim_plans"].select("plan_id"), first, last).select("metric_date", "plan_id")
+    covered = all_bounds(day_bounds(w["fact_transactions"], "transaction_date"),
+                         day_bounds(w["fact_product_events"], "event_date"))
+    return on_every_day(w["dim_plans"].select("plan_id"), covered)
 
 
 @on_lazy
 def join_cross_scalar(w):
-    as_of = w["fact_subs_by_day"].agg(F.max("metric_date").alias("d")).scalar()
+    as_of = core.subscription_bounds(w["stg_subscriptions"]).select("last").scalar()
     return w["dim_accounts"].select("account_id", as_of.alias("as_of_date"))
 
 
@@ -365,9 +365,11 @@ def join_theta_or(w):
 
 @on_lazy
 def scalar_subquery(w):
-    first, last = span((w["fact_subs_by_day"], "metric_date"), (w["fact_transactions"], "transaction_date"),
-                       (w["fact_product_events"], "event_date"))
-    return w["dim_plans"].select("plan_id", first.alias("start_date"), last.alias("end_date"))
+    covered = all_bounds(core.subscription_bounds(w["stg_subscriptions"]),
+                         day_bounds(w["fact_transactions"], "transaction_date"),
+                         day_bounds(w["fact_product_events"], "event_date"))
+    return w["dim_plans"].select("plan_id", covered.select("first").scalar().alias("start_date"),
+                                 covered.select("last").scalar().alias("end_date"))
 
 
 @on_lazy

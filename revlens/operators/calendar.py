@@ -18,14 +18,27 @@ def each_day(df: DataFrame, first: Column, last: Column, name: str = "metric_dat
     return df.withColumn(name, F.explode(days))
 
 
-def span(*sources: tuple[DataFrame, str]) -> tuple[Column, Column]:
-    """First and last day over several date columns, as scalar subqueries."""
-    bounds = None
-    for df, day in sources:
-        one = df.agg(F.min(day).alias("first"), F.max(day).alias("last"))
-        bounds = one if bounds is None else bounds.unionByName(one)
-    bounds = bounds.agg(F.min("first").alias("first"), F.max("last").alias("last"))
-    return bounds.select("first").scalar(), bounds.select("last").scalar()
+def day_bounds(df: DataFrame, day: str) -> DataFrame:
+    """One row: the first and the last day of a date column."""
+    return df.agg(F.min(day).alias("first"), F.max(day).alias("last"))
+
+
+def all_bounds(*bounds: DataFrame) -> DataFrame:
+    """One row: the hull of several one-row bounds; empty sources are ignored."""
+    stacked = bounds[0]
+    for one in bounds[1:]:
+        stacked = stacked.unionByName(one)
+    return stacked.agg(F.min("first").alias("first"), F.max("last").alias("last"))
+
+
+def on_every_day(df: DataFrame, bounds: DataFrame, name: str = "metric_date") -> DataFrame:
+    """Every row on every day of the bounds: a calendar without a cross join.
+
+    The list of days is one scalar subquery, evaluated once and exploded
+    narrowly.
+    """
+    days = bounds.select(F.sequence("first", "last")).scalar()
+    return df.select(F.explode(days).alias(name), *df.columns)
 
 
 def fill_days(df: DataFrame, day: str = "metric_date", keep: Sequence[str] = ()) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from revlens.functions.columns import display_name, flag, month_of, one_if, rank_in, week_of
-from revlens.operators.calendar import each_day
+from revlens.operators.calendar import day_bounds, each_day
 from revlens.operators.levels import daily_levels
 
 # Ordered vocabularies behind the ranks.
@@ -145,26 +145,38 @@ def fact_transactions(stg_transactions: DataFrame) -> DataFrame:
 
 # --- subscription state ---------------------------------------------------
 
+def _latest_date() -> Column:
+    return F.greatest(*[F.to_date(c) for c in ("started_at", "cancelled_at", "updated_at")])
+
+
 def _last_spine_day(stg_subscriptions: DataFrame) -> Column:
-    """Last day of the subscription calendar: the latest date in any version."""
-    latest = F.greatest(*[F.to_date(c) for c in ("started_at", "cancelled_at", "updated_at")])
-    return stg_subscriptions.agg(F.max(latest).alias("d")).scalar()
+    """Last day of the subscription calendar: the latest date of any subscription."""
+    return stg_subscriptions.agg(F.max(_latest_date()).alias("d")).scalar()
 
 
 def subscription_lifespans(stg_subscriptions: DataFrame) -> DataFrame:
-    """Subscriptions that exist on at least one day, with first and last day.
+    """Subscriptions that exist on at least one day.
 
     The cancellation day is the last day with a row, but no longer a paying one.
+    Without cancellation a subscription lasts to the end of the calendar.
     """
-    started, cancelled = F.to_date("started_at"), F.to_date("cancelled_at")
-    end = _last_spine_day(stg_subscriptions)
     return stg_subscriptions.select(
         "subscription_id", "account_id", "plan_id", "monthly_price",
-        started.alias("first_day"),
-        F.least(F.coalesce(cancelled, end), end).alias("last_day"),
-        cancelled.alias("cancelled_day"),
+        F.to_date("started_at").alias("first_day"),
+        F.to_date("cancelled_at").alias("cancelled_day"),
         flag(F.col("subscription_status").isin(*PAYING_STATUSES)).alias("is_paying"),
-    ).where("first_day <= last_day")
+    ).where("first_day <= coalesce(cancelled_day, first_day)")
+
+
+def subscription_bounds(stg_subscriptions: DataFrame) -> DataFrame:
+    """One row: first and last day ``fact_subs_by_day`` has rows for, from one
+    aggregation of the subscriptions instead of their days."""
+    started, cancelled = F.to_date("started_at"), F.to_date("cancelled_at")
+    exists = started <= F.coalesce(cancelled, started)
+    any_open = F.count_if(exists & cancelled.isNull()) > 0
+    return stg_subscriptions.agg(
+        F.min(F.when(exists, started)).alias("first"),
+        F.when(any_open, F.max(_latest_date())).otherwise(F.max(F.when(exists, cancelled))).alias("last"))
 
 
 def fact_subs_by_day(stg_subscriptions: DataFrame) -> DataFrame:
@@ -172,7 +184,7 @@ def fact_subs_by_day(stg_subscriptions: DataFrame) -> DataFrame:
     day = F.col("metric_date")
     started, cancelled = F.to_date("started_at"), F.to_date("cancelled_at")
     end = _last_spine_day(stg_subscriptions)
-    alive = each_day(stg_subscriptions, started, F.least(F.coalesce(cancelled, end), end))
+    alive = each_day(stg_subscriptions, started, F.coalesce(cancelled, end))
     paying = F.col("subscription_status").isin(*PAYING_STATUSES)
     return alive.select(
         "metric_date", "subscription_id", "account_id", "plan_id", "monthly_price",
@@ -221,6 +233,16 @@ def plan_days(stg_subscriptions: DataFrame) -> DataFrame:
     )
 
 
+# --- spans of the facts, one row each ---------------------------------------
+
+def transaction_bounds(fact_transactions: DataFrame) -> DataFrame:
+    return day_bounds(fact_transactions, "transaction_date")
+
+
+def event_bounds(fact_product_events: DataFrame) -> DataFrame:
+    return day_bounds(fact_product_events, "event_date")
+
+
 # --- user x day pre-aggregates ---------------------------------------------
 
 def user_day_transactions(fact_transactions: DataFrame) -> DataFrame:

@@ -20,8 +20,8 @@ REPORTING = ("mart_mrr", "mart_churn", "mart_transaction_health", "mart_user_tra
              "mart_user_engagement", "mart_feature_adoption", "mart_plan_performance",
              "mart_account_health", "mart_daily_kpis", "mart_anomaly_candidates")
 # Shared pre-aggregates, stored so that facts are scanned once per build.
-SHARED = ("plan_days", "user_day_transactions", "user_day_usage", "feature_sessions",
-          "account_day_activity", "plan_day_activity")
+SHARED_CORE = ("plan_days", "user_day_transactions", "user_day_usage", "transaction_bounds", "event_bounds")
+SHARED_REPORTING = ("subscription_days", "feature_sessions", "account_day_activity", "plan_day_activity")
 MODELS = STAGING + CORE + REPORTING
 
 # Staging models are views, apart from the de-duplicated subscriptions that four
@@ -35,8 +35,8 @@ FUNCTIONS: dict[str, Callable[..., DataFrame]] = {
     name: getattr(module, name)
     for module, names in (
         (staging, STAGING),
-        (core, CORE + SHARED[:3]),
-        (reporting, SHARED[3:] + REPORTING[:-1]),
+        (core, CORE + SHARED_CORE),
+        (reporting, SHARED_REPORTING + REPORTING[:-1]),
         (anomaly, REPORTING[-1:]),
     )
     for name in names

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from revlens.functions.columns import clamp, flag, ratio, sum_where, zero
-from revlens.operators.calendar import each_day, fill_days, span
+from revlens.operators.calendar import all_bounds, fill_days, on_every_day
 from revlens.operators.reshape import stack_days
-from revlens.plans.core import PLANS, subscription_lifespans
+from revlens.plans.core import PLANS, subscription_bounds, subscription_lifespans
 
 # Feature categories counted per day, roles counted per feature.
 FEATURE_CATEGORIES = ("core", "billing", "payments", "scheduling", "crm", "automation",
@@ -22,37 +22,47 @@ def _total(name: str) -> Column:
     return F.sum(name).alias(name)
 
 
-def mart_mrr(plan_days: DataFrame) -> DataFrame:
-    """Days with at least one active subscription.
+def subscription_days(plan_days: DataFrame, dim_plans: DataFrame) -> DataFrame:
+    """All subscription measures per day, from one grouping of the plan days.
 
-    A sum over rows without any price is NULL, as a plain SUM would give.
+    A sum over rows without any price is NULL, as a plain SUM would give. New
+    subscriptions count once per price of their plan, as in the plan table.
     """
-    active = F.col("active_subscriptions")
+    active, gone = F.col("active_subscriptions"), F.col("cancelled_subscriptions")
 
     def of_plan(plan: str, value: Column) -> Column:
         return F.coalesce(sum_where(F.col("plan_id") == plan, value), F.lit(0))
 
     unpriced = active - F.col("priced")
-    return plan_days.groupBy("metric_date").agg(
+    prices = dim_plans.groupBy("plan_id").agg(F.count(F.lit(1)).alias("prices"))
+    return plan_days.join(prices, "plan_id", "left").groupBy("metric_date").agg(
         F.sum(active).alias("active_subscriptions"),
         F.when(F.sum("priced") > 0, F.sum("mrr")).cast(MONEY).alias("mrr"),
         *[F.when(F.sum(active) > of_plan(p, unpriced), of_plan(p, F.col("mrr")))
           .cast(MONEY).alias(f"{p}_mrr") for p in PLANS],
         *[of_plan(p, active).alias(f"active_{p}_subscriptions") for p in PLANS],
-    ).where("active_subscriptions > 0").orderBy("metric_date")
+        F.sum(gone).alias("cancelled_subscriptions"),
+        *[of_plan(p, gone).alias(f"{p}_cancellations") for p in PLANS],
+        F.sum(F.col("new_subscriptions") * zero("prices")).alias("new_subscriptions"),
+        ratio(F.sum(gone), F.sum(active)).alias("daily_churn_rate"),
+    )
+
+
+def mart_mrr(subscription_days: DataFrame) -> DataFrame:
+    """Days with at least one active subscription."""
+    return subscription_days.where("active_subscriptions > 0").select(
+        "metric_date", "active_subscriptions", "mrr", *[f"{p}_mrr" for p in PLANS],
+        *[f"active_{p}_subscriptions" for p in PLANS],
+    ).orderBy("metric_date")
 
 
-def mart_churn(plan_days: DataFrame) -> DataFrame:
+def mart_churn(subscription_days: DataFrame) -> DataFrame:
     """Cancellations over the active subscriptions of the same day; cancellation
     days without any active subscription are left out."""
-    gone = F.col("cancelled_subscriptions")
-    daily = plan_days.groupBy("metric_date").agg(
-        _total("active_subscriptions"),
-        F.sum(gone).alias("cancelled_subscriptions"),
-        *[zero(sum_where(F.col("plan_id") == p, gone)).alias(f"{p}_cancellations") for p in PLANS],
-    )
-    rate = ratio(gone, F.col("active_subscriptions")).alias("daily_churn_rate")
-    return daily.where("active_subscriptions > 0").select("*", rate).orderBy("metric_date")
+    return subscription_days.where("active_subscriptions > 0").select(
+        "metric_date", "active_subscriptions", "cancelled_subscriptions",
+        *[f"{p}_cancellations" for p in PLANS], "daily_churn_rate",
+    ).orderBy("metric_date")
 
 
 def mart_transaction_health(fact_transactions: DataFrame) -> DataFrame:
@@ -119,7 +129,7 @@ def feature_sessions(fact_product_events: DataFrame) -> DataFrame:
 
 def mart_feature_adoption(user_day_usage: DataFrame, feature_sessions: DataFrame,
                           dim_features: DataFrame, dim_users: DataFrame,
-                          fact_product_events: DataFrame) -> DataFrame:
+                          event_bounds: DataFrame) -> DataFrame:
     """Every feature on every day of the event range.
 
     Events of features outside the catalogue meet no calendar row and drop out.
@@ -144,9 +154,8 @@ def mart_feature_adoption(user_day_usage: DataFrame, feature_sessions: DataFrame
             ratio(F.sum("events"), users).alias("events_per_active_user"),
             ratio(F.sum("failed_events"), F.sum("events")).alias("feature_event_failure_rate"))
     )
-    first, last = span((fact_product_events, "event_date"))
     labels = ["feature_name", "feature_category", "minimum_plan", "is_core_feature"]
-    calendar = each_day(dim_features.select("feature_id", *labels), first, last)
+    calendar = on_every_day(dim_features.select("feature_id", *labels), event_bounds)
     measures = [
         "total_feature_events", "active_feature_users", "feature_sessions",
         "successful_feature_events", "failed_feature_events",
@@ -206,13 +215,11 @@ def plan_day_activity(account_day_activity: DataFrame, fact_subs_by_day: DataFra
 
 
 def mart_plan_performance(plan_days: DataFrame, plan_day_activity: DataFrame, dim_plans: DataFrame,
-                          stg_subscriptions: DataFrame, fact_transactions: DataFrame,
-                          fact_product_events: DataFrame) -> DataFrame:
+                          stg_subscriptions: DataFrame, transaction_bounds: DataFrame,
+                          event_bounds: DataFrame) -> DataFrame:
     """Every plan on every day covered by subscriptions, transactions or events."""
-    lives = subscription_lifespans(stg_subscriptions)
-    first, last = span((lives, "first_day"), (lives, "last_day"),
-                       (fact_transactions, "transaction_date"), (fact_product_events, "event_date"))
-    calendar = each_day(dim_plans.select("plan_id"), first, last)
+    covered = all_bounds(subscription_bounds(stg_subscriptions), transaction_bounds, event_bounds)
+    calendar = on_every_day(dim_plans.select("plan_id"), covered)
     by_plan = plan_days.groupBy("metric_date").agg(
         *[sum_where(F.col("plan_id") == p, F.col("mrr")).alias(f"{p}_mrr") for p in PLANS])
     active, gone = zero("active_subscriptions"), zero("cancelled_subscriptions")
@@ -252,8 +259,8 @@ def mart_account_health(dim_accounts: DataFrame, dim_users: DataFrame, stg_subsc
     """Account state on the last day of subscription data, with the 30 days up to
     it. Activity is reduced to user grain before it meets users and accounts."""
     lives = subscription_lifespans(stg_subscriptions)
-    as_of = lives.agg(F.max("last_day").alias("d")).scalar()
-    recent = (F.col("metric_date") > F.date_sub(as_of, 30)) & (F.col("metric_date") <= as_of)
+    as_of = subscription_bounds(stg_subscriptions).select("last").scalar()
+    recent = F.col("metric_date").between(F.date_sub(as_of, 29), as_of)
 
     usage = user_day_usage.where(recent).groupBy("user_id").agg(_total("events"), _total("failed_events"))
     tx = user_day_transactions.where(recent).groupBy("user_id").agg(
@@ -311,22 +318,25 @@ def daily_features(mart_feature_adoption: DataFrame) -> DataFrame:
         ratio(used, F.count_distinct("feature_id")).alias("feature_adoption_rate"))
 
 
-def mart_daily_kpis(mart_mrr: DataFrame, mart_churn: DataFrame, mart_transaction_health: DataFrame,
-                    mart_user_engagement: DataFrame, mart_feature_adoption: DataFrame,
-                    mart_plan_performance: DataFrame) -> DataFrame:
+def mart_daily_kpis(subscription_days: DataFrame, mart_transaction_health: DataFrame,
+                    mart_user_engagement: DataFrame, mart_feature_adoption: DataFrame) -> DataFrame:
     """One row per calendar day with the headline KPIs and their daily changes.
 
     The daily series are stacked and grouped once instead of joined one by one.
-    The calendar runs over the days of five of them; new subscriptions (the
-    sixth) are shown for those days but do not extend it.
+    The calendar runs over the days with transactions, events or an active
+    subscription. New subscriptions are shown on those days but, like
+    cancellations without any active subscription, do not extend it.
     """
-    new = mart_plan_performance.groupBy("metric_date").agg(_total("new_subscriptions"))
     inside = F.lit(True).alias("in_calendar")
+    running = F.col("active_subscriptions") > 0
     days = stack_days(
         "metric_date",
-        mart_mrr.select("metric_date", "mrr", "active_subscriptions", inside),
-        mart_churn.select("metric_date", "cancelled_subscriptions",
-                          F.col("daily_churn_rate").alias("churn_rate"), inside),
+        subscription_days.select(
+            "metric_date", "new_subscriptions",
+            *[F.when(running, F.col(c)).alias(c) for c in ("mrr", "active_subscriptions",
+                                                          "cancelled_subscriptions")],
+            F.when(running, F.col("daily_churn_rate")).alias("churn_rate"),
+            F.when(running, True).alias("in_calendar")),
         mart_transaction_health.select(
             "metric_date", "total_transactions", "completed_transactions", "failed_transactions",
             "transaction_failure_rate", "completed_transaction_volume", inside),
@@ -334,7 +344,6 @@ def mart_daily_kpis(mart_mrr: DataFrame, mart_churn: DataFrame, mart_transaction
             "metric_date", "daily_active_users", F.col("total_events").alias("total_product_events"),
             "events_per_active_user", "event_failure_rate", inside),
         daily_features(mart_feature_adoption).select("*", inside),
-        new,
     )
     every = Window.partitionBy(F.lit(1))
     marked = F.when(F.col("in_calendar"), F.col("metric_date"))
