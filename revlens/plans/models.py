@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import inspect
 from collections.abc import Callable, Iterable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import date, datetime
 
@@ -63,6 +64,14 @@ def with_ancestors(names: Iterable[str]) -> list[str]:
     return ordered
 
 
+def waves(ordered: list[str]) -> list[list[str]]:
+    """Split inputs-first models into groups that do not read one another."""
+    depth: dict[str, int] = {}
+    for name in ordered:
+        depth[name] = 1 + max((depth.get(p, 0) for p in inputs_of(name)), default=0)
+    return [[n for n in ordered if depth[n] == d] for d in sorted(set(depth.values()))]
+
+
 @dataclass(frozen=True)
 class Now:
     """The moment models refer to: the day for "last 30 days", the run's time stamp."""
@@ -86,13 +95,20 @@ class Workspace:
             self._frames[name] = function(*[self[p] for p in inputs_of(name)], **extra)
         return self._frames[name]
 
-    def build(self, store: ModelStore, names: Iterable[str] = MODELS) -> list[str]:
-        """Materialise models and their ancestors; later models read the tables."""
+    def build(self, store: ModelStore, names: Iterable[str] = MODELS, threads: int = 4) -> list[str]:
+        """Materialise models and their ancestors; later models read the tables.
+
+        Models of one wave are written by concurrent jobs, so the tail of one
+        leaves no executors idle.
+        """
         done = with_ancestors(names)
-        for name in done:
-            frame = self[name]
-            if name in VIEWS:
-                store.view(name, frame)
-            else:
-                self._frames[name] = store.table(name, frame, PARTITIONS.get(name))
+        with ThreadPoolExecutor(threads) as pool:
+            for wave in waves(done):
+                tables = [n for n in wave if n not in VIEWS]
+                frames = [self[n] for n in tables]
+                partitions = [PARTITIONS.get(n) for n in tables]
+                self._frames |= zip(tables, pool.map(store.table, tables, frames, partitions), strict=True)
+                for name in wave:
+                    if name in VIEWS:
+                        store.view(name, self[name])
         return done

@@ -83,11 +83,9 @@ def mart_user_transaction_activity(user_day_transactions: DataFrame, dim_users:
     users = dim_users.select("user_id", "role", "user_status", "device_preference", "onboarding_completed")
     return user_day_transactions.where("metric_date is not null").join(users, "user_id").select(
         "user_id", "role", "user_status", "device_preference", "onboarding_completed", "metric_date",
-        F.col("identified_transactions").alias("total_transactions"),
-        F.col("identified_completed").alias("completed_transactions"),
-        F.col("identified_failed").alias("failed_transactions"),
+        "total_transactions", "completed_transactions", "failed_transactions",
         F.col("completed_volume").alias("completed_transaction_volume"),
-        ratio(F.col("identified_failed"), F.col("identified_transactions"))
+        ratio(F.col("failed_transactions"), F.col("total_transactions"))
         .alias("transaction_failure_rate"),
     )
 
