@@ -173,7 +173,7 @@ def materialize_view(spark, folder):
 def materialize_table(spark, folder):
     w = lazy(spark, folder)
     return ModelStore(spark, shared_dir(spark)).table(
-        "fact_transactions", w["fact_transactions"], "transaction_date")
+        "fact_transactions", w["fact_transactions"], "transaction_date", rebalance=True)
 
 
 @on_session

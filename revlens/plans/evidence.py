@@ -204,15 +204,19 @@ def investigate_all(tables: Mapping[str, DataFrame], flagged: DataFrame) -> Data
 
 # --- reports ------------------------------------------------------------------
 
-def _latest(source: DataFrame, dates: DataFrame, *columns: str) -> DataFrame:
+def _latest(source: DataFrame, dates: date | DataFrame, *columns: str) -> DataFrame:
     """Last trend row up to each day."""
     rows = _around(source.select("metric_date", *columns), dates, trend=True)
     return rows.groupBy("metric_date").agg(*[F.max_by(c, "evidence_date").alias(c) for c in columns])
 
 
-def report_text(tables: Mapping[str, DataFrame], flagged: DataFrame) -> DataFrame:
-    """A report per flagged move: summary sentence and bullets, all as columns."""
-    dates = flagged.select("metric_date").distinct()
+def report_text(tables: Mapping[str, DataFrame], flagged: DataFrame, only: date | None = None) -> DataFrame:
+    """A report per flagged move: summary sentence and bullets, all as columns.
+
+    When all moves are of one day, naming it in ``only`` lets the fact scan read
+    that day's files alone.
+    """
+    dates = flagged.select("metric_date").distinct() if only is None else only
     failures = rank_within(_around(daily_failures(tables["fact_transactions"]), dates, False), ["metric_date"],
                            _order("-failed_count payment_method failure_reason"), 1)
     plans = _around(tables["mart_plan_performance"], dates, False)

@@ -28,9 +28,12 @@ MODELS = STAGING + CORE + REPORTING
 # Staging models are views, apart from the de-duplicated subscriptions that four
 # models read.
 VIEWS = tuple(s for s in STAGING if s != "stg_subscriptions")
-# Facts are laid out by day so that date filters prune files.
+# Facts are laid out by day so that date filters prune files. Events and
+# transactions come from raw tables stored by batch date, so a task holds a day or
+# two and nothing is shuffled; the expanded subscriptions do need it.
 PARTITIONS = {"fact_product_events": "event_date", "fact_transactions": "transaction_date",
               "fact_subs_by_day": "metric_date"}
+SCATTERED = ("fact_subs_by_day",)
 
 FUNCTIONS: dict[str, Callable[..., DataFrame]] = {
     name: getattr(module, name)
@@ -107,7 +110,9 @@ class Workspace:
                 tables = [n for n in wave if n not in VIEWS]
                 frames = [self[n] for n in tables]
                 partitions = [PARTITIONS.get(n) for n in tables]
-                self._frames |= zip(tables, pool.map(store.table, tables, frames, partitions), strict=True)
+                scattered = [n in SCATTERED for n in tables]
+                stored = pool.map(store.table, tables, frames, partitions, scattered)
+                self._frames |= zip(tables, stored, strict=True)
                 for name in wave:
                     if name in VIEWS:
                         store.view(name, self[name])

@@ -17,14 +17,16 @@ class ModelStore:
         frame.createOrReplaceTempView(name)
         return frame
 
-    def table(self, name: str, frame: DataFrame, partition_by: str | None = None) -> DataFrame:
+    def table(self, name: str, frame: DataFrame, partition_by: str | None = None,
+              rebalance: bool = False) -> DataFrame:
         """Full refresh of a stored model; returns the stored rows.
 
-        Partitioned tables are rebalanced on the partition column first: AQE
-        packs small days together and splits a day that holds far more than the
-        others over several tasks and files.
+        ``rebalance`` is for rows that are not laid out by the partition column
+        yet, where every task would write a file per day: AQE then packs small
+        days together and splits a day that holds far more than the others over
+        several tasks. Rows already clustered are written without a shuffle.
         """
-        if partition_by:
+        if rebalance:
             frame = frame.hint("rebalance", partition_by)
         writer = frame.write.mode("overwrite")
         if partition_by:
