@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 # Raw column names and the types staging works with.
-_DDL = {
+_COLUMNS = {
     "raw_accounts": """
         account_id string, account_name string, industry string, company_size string,
         region string, signup_date date, acquisition_channel string, account_status string,
@@ -20,10 +20,10 @@ _DDL = {
         last_login_at timestamp, user_timezone string, batch_date date""",
     "raw_subscriptions": """
         subscription_id string, account_id string, plan_id string,
-        monthly_price decimal(18,2), billing_period string, subscription_status string,
+        monthly_price money, billing_period string, subscription_status string,
         trial_started_at timestamp, trial_ended_at timestamp, started_at timestamp,
         cancelled_at timestamp, cancel_reason string, payment_method string,
-        auto_renew boolean, discount_percent decimal(5,2), sales_assisted boolean,
+        auto_renew boolean, discount_percent percent, sales_assisted boolean,
         updated_at timestamp, batch_date date""",
     "raw_features": """
         feature_id string, feature_name string, feature_category string, minimum_plan string,
@@ -35,18 +35,25 @@ _DDL = {
         event_status string, failure_reason string, batch_date date""",
     "raw_transactions": """
         transaction_id string, user_id string, transaction_timestamp timestamp,
-        transaction_amount decimal(18,2), transaction_status string, payment_method string,
+        transaction_amount money, transaction_status string, payment_method string,
         service_category string, customer_type string, failure_reason string,
         refund_reason string, batch_date date""",
 }
 
-RAW_TABLES = tuple(_DDL)
+RAW_TABLES = tuple(_COLUMNS)
 # The feature catalogue is loaded once; a daily batch never carries it.
 DAILY_TABLES = tuple(t for t in RAW_TABLES if t != "raw_features")
 
 
+_TYPES = {
+    "string": T.StringType(), "date": T.DateType(), "timestamp": T.TimestampType(),
+    "boolean": T.BooleanType(), "money": T.DecimalType(18, 2), "percent": T.DecimalType(5, 2),
+}
+
+
 def raw_schema(table: str) -> T.StructType:
-    return T.StructType.fromDDL(" ".join(_DDL[table].split()))
+    pairs = [column.split() for column in _COLUMNS[table].split(",")]
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
 
 
 def text_schema(table: str) -> T.StructType:
