@@ -30,7 +30,9 @@ def places(spark):
 def test_daily_run_reports_once_and_stops_on_a_failed_check(spark, places, tmp_path):
     store, reports = RawStore(spark, places.raw), ReportStore(spark, places.reports)
     before = store.read("raw_transactions").count()
-    batch = store.read("raw_transactions").where(F.col("batch_date") == F.lit(DAY))
+    # from the source: files of the store are replaced by the load
+    source = raw_tables(spark, "/root/testdata/sf0.001")["raw_transactions"]
+    batch = source.where(F.col("batch_date") == F.lit(DAY))
     batch.write.option("header", True).csv(f"{tmp_path}/good/raw_transactions.csv")
     for _ in range(2):
         jobs.run_daily(spark, places, f"{tmp_path}/good", DAY, NOW)
