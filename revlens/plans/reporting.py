@@ -92,11 +92,16 @@ def mart_user_transaction_activity(user_day_transactions: DataFrame, dim_users:
 
 def mart_user_engagement(user_day_usage: DataFrame, dim_features: DataFrame, dim_users: DataFrame) -> DataFrame:
     """Every day of the event range. Distinct users are counted as rows of the
-    user x day grain, so one shuffle serves all of them."""
+    user x day grain, so one shuffle serves all of them.
+
+    Users are joined before grouping: rows hashed by user for the join need no
+    further exchange to be grouped by user and day.
+    """
     category = F.col("feature_category")
     per_user = (
         user_day_usage.join(dim_features.select("feature_id", "feature_category"), "feature_id", "left")
-        .groupBy("metric_date", "user_id").agg(
+        .join(dim_users.select("user_id", "onboarding_completed"), "user_id", "left")
+        .groupBy("metric_date", "user_id", "onboarding_completed").agg(
             _total("events"), _total("failed_events"), _total("mobile_events"),
             *[zero(sum_where(category == c, F.col("events"))).alias(f"{c}_events")
               for c in FEATURE_CATEGORIES])
@@ -105,8 +110,7 @@ def mart_user_engagement(user_day_usage: DataFrame, dim_features: DataFrame, dim
     users = F.count_if(known)
     onboarded = F.count_if(known & F.col("onboarding_completed"))
     daily = (
-        per_user.join(dim_users.select("user_id", "onboarding_completed"), "user_id", "left")
-        .groupBy("metric_date").agg(
+        per_user.groupBy("metric_date").agg(
             users.alias("daily_active_users"),
             F.sum("events").alias("total_events"),
             ratio(F.sum("events"), users).alias("events_per_active_user"),
@@ -174,18 +178,19 @@ def account_day_activity(user_day_transactions: DataFrame, user_day_usage: DataF
     """Account x day transactions and events of the account's users.
 
     ``user_id`` is unique among users (a declared check), so users can be counted
-    per account and added up.
+    per account and added up. Both kinds of activity meet users in one join, and
+    rows hashed by user for it are grouped by user and day in place.
     """
-    usage = user_day_usage.groupBy("user_id", "metric_date").agg(_total("events"), _total("failed_events"))
-    tx = user_day_transactions.select(
-        "user_id", "metric_date", "total_transactions", "completed_transactions",
-        "failed_transactions", "completed_volume")
-    activity = tx.unionByName(usage, allowMissingColumns=True)
+    measures = ("total_transactions", "completed_transactions", "failed_transactions",
+                "completed_volume", "events", "failed_events")
+    activity = user_day_transactions.select("user_id", "metric_date", *measures[:4]).unionByName(
+        user_day_usage.select("user_id", "metric_date", *measures[4:]), allowMissingColumns=True)
     users = dim_users.select("user_id", "account_id", "onboarding_completed")
+    per_user = activity.join(users, "user_id").groupBy(
+        "user_id", "metric_date", "account_id", "onboarding_completed").agg(*[_total(c) for c in measures])
     active = F.col("events").isNotNull()
-    return activity.join(users, "user_id").groupBy("account_id", "metric_date").agg(
-        *[_total(c) for c in ("total_transactions", "completed_transactions", "failed_transactions",
-                              "completed_volume", "events", "failed_events")],
+    return per_user.groupBy("account_id", "metric_date").agg(
+        *[_total(c) for c in measures],
         F.count_if(active).alias("active_users"),
         F.count_if(active & F.col("onboarding_completed")).alias("onboarded_users"),
     )
