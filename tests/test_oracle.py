@@ -3,6 +3,8 @@
 import pytest
 
 import __spark_entry__ as entry
+from revlens.catalog.oracle import ORACLE
+from revlens.catalog.queries import QUERIES
 from tests.compare import connect, difference
 
 FOLDER = "/root/testdata/sf0.001"
@@ -14,12 +16,12 @@ def con():
 
 
 def test_every_query_has_its_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
 
 
-@pytest.mark.parametrize("key", list(entry.queries()))
+@pytest.mark.parametrize("key", list(QUERIES))
 def test_query_agrees_with_sql(spark, con, key):
-    assert difference(spark, con, entry.queries()[key], entry.oracle_sql()[key], FOLDER) is None
+    assert difference(spark, con, QUERIES[key], ORACLE[key], FOLDER) is None
 
 
 def test_entry_runs(spark):
