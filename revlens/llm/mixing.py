@@ -139,6 +139,9 @@ def mix(rows: DataFrame, block: int = BLOCK, seed: int = SEED) -> DataFrame:
     ``tie`` is a hash of the row that orders and deals it, so that reruns agree.
     """
     blocks = F.ceil(F.col("documents") / block)
+    kind = dict(rows.dtypes)["doc_id"]
+    # A null among integers would turn pandas' column into floats; text keeps every id.
+    rows = rows.withColumn("doc_id", F.col("doc_id").cast("string"))
     open_ = (rows.withColumn("whole", F.floor("x").cast("long")).withColumn("p", F.col("x") - F.floor("x"))
              .withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "tie", "doc_id"), blocks)))
     most = rows.agg(F.max("documents")).first()[0] or 0
@@ -153,7 +156,9 @@ def mix(rows: DataFrame, block: int = BLOCK, seed: int = SEED) -> DataFrame:
             break
         open_ = rounded.where("open").drop("open").withColumn("block", F.floor(F.col("block") / block))
         left, level = -(-left // block), level + 1
-    return done.withColumn("copies", F.col("whole") + F.round("p").cast("long")).drop("whole", "p", "block", "open")
+    copies = F.col("whole") + F.round("p").cast("long")
+    return (done.withColumn("copies", copies).withColumn("doc_id", F.col("doc_id").cast(kind))
+            .drop("whole", "p", "block", "open"))
 
 
 def mix_documents(docs: DataFrame, block: int = BLOCK, seed: int = SEED) -> DataFrame:

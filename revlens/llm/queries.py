@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revlens.llm import mixing, quality_rules, sharding
+from revlens.llm import (mixing, near_duplicates, neighbours, packing, quality_model, quality_rules, records, repeats,
+                         sharding, url_filter)
+from revlens.session import shared_dir
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,12 +26,56 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "posterior")
 
 
+def op3_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    weights = quality_model.train(docs, _table(spark, sf_dir, "labels"))
+    scored = quality_model.score(docs, weights, ["doc_id"])
+    return scored.select("doc_id", F.coalesce(quality_model.held_out(), F.lit(False)).alias("held_out"), "score",
+                         (F.col("score") >= quality_model.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0))
+
+
+def op5_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.cut_digest(_table(spark, sf_dir, "documents"))
+
+
+def _vocabulary(name: str) -> str:
+    import public_tokenizers  # its folder, like any vocabulary, is a parameter of the operators
+
+    return public_tokenizers.path(name)
+
+
+def op6_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_dir(spark)
+    data, index = f"{folder}/records", f"{folder}/index"
+    records.write_records(_table(spark, sf_dir, "documents"), data, _vocabulary("word_bpe_49k.json"))
+    return records.starts(records.build_index(spark, data, index)).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "class_id")
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(_table(spark, sf_dir, "pages"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack_documents(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
+    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixing, op2_quality_rules, op9_sharding)
+    f.__name__: f for f in (op1_mixing, op2_quality_rules, op3_quality_model, op4_neighbours, op5_suffix_repeats,
+                              op6_records, op7_near_duplicates, op8_url_filter, op9_sharding, op10_packing)
 }
