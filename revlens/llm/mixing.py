@@ -27,7 +27,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from revlens.llm.tables import WORD, numbered, stored
@@ -172,3 +172,21 @@ def mix_documents(docs: DataFrame, block: int = BLOCK, seed: int = SEED) -> Data
     mixed = mix(rows, block, seed)
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"),
                         "copies", "source", "tie")
+
+
+def mixed_documents(docs: DataFrame, block: int = BLOCK, seed: int = SEED) -> DataFrame:
+    """The documents with all their columns, each as often as the mix takes it."""
+    def row_key(tie: Column) -> Column:
+        # JSON keeps nulls and separators within ids and sources apart.
+        parts = [F.col("doc_id").cast("string"), F.col("source"), tie.cast("string")]
+        return F.md5(F.to_json(F.struct(*(p.alias(f"p{i}") for i, p in enumerate(parts)))).cast("binary")).alias("_row")
+
+    taken = (mix_documents(docs, block, seed).groupBy(row_key(F.col("tie")))
+             .agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows")))
+    rows = docs.select("*", row_key(F.xxhash64("text"))).join(taken.where("_copies > 0"), "_row")
+    # Repeated rows share what they got together.
+    nth = F.row_number().over(Window.partitionBy("_row").orderBy(F.lit(0)))
+    rows = rows.withColumn("_nth", nth).withColumn("_own", F.floor(F.col("_copies") / F.col("_rows")) + (
+        F.col("_nth") <= F.col("_copies") % F.col("_rows")).cast("long"))
+    return (rows.where("_own > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_own"))))
+            .select(*docs.columns))

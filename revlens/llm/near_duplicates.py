@@ -278,7 +278,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", text_key(F.col("text")).alias("key"))
     texts = rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"))
     # The class of a text: its component, or the text itself.
-    texts = texts.join(classes, "key", "left").withColumn("group", F.coalesce(F.col("class").cast("string").cast("binary"), "key"))
+    group = F.coalesce(F.col("class").cast("string").cast("binary"), "key")
+    texts = texts.join(classes, "key", "left").withColumn("group", group)
     least = texts.groupBy("group").agg(F.min("least").alias("class_id"),
                                        F.min(F.struct(F.col("least").isNull(), "least", "key")).alias("top"))
     texts = texts.join(least, "group").select("key", "class_id", F.col("top.key").alias("top_key"))
@@ -286,3 +287,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     first = F.col("key").isNull() | ((F.col("key") == F.col("top_key")) & F.col("doc_id").eqNullSafe(F.col("class_id")))
     return out.select("doc_id", "key", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("class_id"))
                       .alias("class_id"), first.alias("first"))
+
+
+def without_near_duplicates(docs: DataFrame) -> DataFrame:
+    """One document of each class, with all its columns; of repeated rows (equal id and text) one stays."""
+    def row_key(key: Column) -> Column:
+        return F.md5(F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")),
+                                 F.coalesce(F.hex(key), F.lit("-"))).cast("binary")).alias("_row")
+
+    first = near_duplicates(docs).where("first").select(row_key(F.col("key"))).distinct()
+    rows = docs.select("*", row_key(text_key(F.col("text"))))
+    once = Window.partitionBy("_row").orderBy(F.lit(0))
+    return (rows.join(first, "_row", "left_semi").withColumn("_nth", F.row_number().over(once))
+            .where("_nth = 1").select(*docs.columns))

@@ -1,7 +1,7 @@
 """Packing token ids into sequences by multiway differencing.
 
 Every document is cut into whole sequences of ``capacity`` ids and a rest, the rest into
-a few even pieces. Rests are dealt into bundles of about ``BUNDLE`` documents, and each
+quarters of a sequence and one shorter piece. Rests are dealt into bundles of about ``BUNDLE`` documents, and each
 bundle is packed on its own by the differencing method of Karmarkar and Karp: every
 piece starts as a partition of its own, and the two partitions with the largest spread
 between their windows are merged so that the full windows of one meet the empty ones of
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from revlens.llm.tokens import encoder
 
 CAPACITY = 1024
-PIECE = 160  # a rest is cut into even pieces of at most so many ids
+PIECE = 256  # a rest is cut into pieces of so many ids and one shorter piece
 BUNDLE = 768  # documents whose rests are packed together
 END_ID = 0
 _LOCAL = 1 << 32  # sequences of a bundle are numbered from bundle x _LOCAL
@@ -39,8 +39,7 @@ PIECES = ("doc_id long, tie long, start long, length long, ids_crc32 long, doc_t
 def cut(n: int, capacity: int = CAPACITY, piece: int = PIECE) -> list[int]:
     """Piece lengths of a document of n ids."""
     rest = n % capacity
-    parts = -(-rest // piece)
-    return [capacity] * (n // capacity) + [rest // parts + (i < rest % parts) for i in range(parts)]
+    return [capacity] * (n // capacity) + [piece] * (rest // piece) + ([rest % piece] if rest % piece else [])
 
 
 def differencing(sizes: list[int], windows: int) -> tuple[list[int], list[list[int]]]:

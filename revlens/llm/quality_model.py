@@ -132,19 +132,18 @@ def _scorer(weights: np.ndarray, bits: int) -> Callable[[Iterator[pa.RecordBatch
         bias = float(weights[-1])
         for batch in batches:
             score = np.empty(batch.num_rows)
-            for first, end, data, offsets in T.chunks(batch.column("text")):
+            for first, end, data, offsets in T.chunks(batch.columns[-1]):
                 doc, entry, value = features(data, offsets, bits)
                 total = np.bincount(doc, weights=weights[entry] * value, minlength=end - first)
                 score[first:end] = 1 / (1 + np.exp(-np.clip(total + bias, -35, 35)))
-            names = [n for n in batch.schema.names if n != "text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(score)], [*names, "score"])
+            kept = batch.columns[:-1]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(score)], [f"c{i}" for i in range(len(kept))] + ["score"])
     return run
 
 
-def score(docs: DataFrame, weights: np.ndarray, keep: list[str], bits: int = BITS) -> DataFrame:
-    """The columns ``keep`` and ``score`` of every document. ``weights`` has a fixed size, so it travels with the code."""
-    rows = docs.select(*keep, F.col("text").cast("string").alias("text"))
-    schema = docs.select(*keep).withColumn("score", F.lit(0.0)).schema
-    if "text" in keep:
-        raise ValueError("text is an input, not a column to keep")
-    return rows.mapInArrow(_scorer(weights, bits), schema)
+def score(docs: DataFrame, weights: np.ndarray, keep: list[str], name: str = "score", bits: int = BITS) -> DataFrame:
+    """The columns ``keep`` of every document and its score. ``weights`` has a fixed size, so it travels with the code."""
+    kept = [F.col(c).alias(f"c{i}") for i, c in enumerate(keep)]
+    rows = docs.select(*kept, F.col("text").alias("scored"))
+    scored = rows.mapInArrow(_scorer(weights, bits), docs.select(*kept, F.lit(0.0).alias("score")).schema)
+    return scored.toDF(*keep, name)
