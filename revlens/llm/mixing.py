@@ -176,17 +176,19 @@ def mix_documents(docs: DataFrame, block: int = BLOCK, seed: int = SEED) -> Data
 
 def mixed_documents(docs: DataFrame, block: int = BLOCK, seed: int = SEED) -> DataFrame:
     """The documents with all their columns, each as often as the mix takes it."""
-    def row_key(tie: Column) -> Column:
+    def row_key(doc_id: Column, source: Column, tie: Column) -> Column:
         # JSON keeps nulls and separators within ids and sources apart.
-        parts = [F.col("doc_id").cast("string"), F.col("source"), tie.cast("string")]
-        return F.md5(F.to_json(F.struct(*(p.alias(f"p{i}") for i, p in enumerate(parts)))).cast("binary")).alias("_row")
-
-    taken = (mix_documents(docs, block, seed).groupBy(row_key(F.col("tie")))
-             .agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows")))
-    rows = docs.select("*", row_key(F.xxhash64("text"))).join(taken.where("_copies > 0"), "_row")
+        parts = [doc_id.cast("string").alias("a"), source.alias("b"), tie.cast("string").alias("c")]
+        return F.md5(F.to_json(F.struct(*parts)).cast("binary")).alias("key")
+
+    taken = (mix_documents(docs, block, seed).groupBy(row_key(F.col("doc_id"), F.col("source"), F.col("tie")))
+             .agg(F.sum("copies").alias("taken"), F.count("*").alias("rows")))
+    # The row travels as one column, so that its names meet none of these.
+    rows = docs.select(F.struct("*").alias("doc"),
+                       row_key(docs["doc_id"], docs["source"], F.xxhash64(docs["text"])))
     # Repeated rows share what they got together.
-    nth = F.row_number().over(Window.partitionBy("_row").orderBy(F.lit(0)))
-    rows = rows.withColumn("_nth", nth).withColumn("_own", F.floor(F.col("_copies") / F.col("_rows")) + (
-        F.col("_nth") <= F.col("_copies") % F.col("_rows")).cast("long"))
-    return (rows.where("_own > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_own"))))
-            .select(*docs.columns))
+    nth = F.row_number().over(Window.partitionBy("key").orderBy(F.lit(0)))
+    own = F.floor(F.col("taken") / F.col("rows")) + (F.col("nth") <= F.col("taken") % F.col("rows")).cast("long")
+    rows = rows.join(taken.where("taken > 0"), "key").withColumn("nth", nth).withColumn("own", own).where("own > 0")
+    copy = F.explode(F.sequence(F.lit(1).cast("long"), F.col("own")))
+    return rows.select("doc", copy).select("doc.*")

@@ -291,12 +291,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
     """One document of each class, with all its columns; of repeated rows (equal id and text) one stays."""
-    def row_key(key: Column) -> Column:
-        return F.md5(F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")),
-                                 F.coalesce(F.hex(key), F.lit("-"))).cast("binary")).alias("_row")
-
-    first = near_duplicates(docs).where("first").select(row_key(F.col("key"))).distinct()
-    rows = docs.select("*", row_key(text_key(F.col("text"))))
-    once = Window.partitionBy("_row").orderBy(F.lit(0))
-    return (rows.join(first, "_row", "left_semi").withColumn("_nth", F.row_number().over(once))
-            .where("_nth = 1").select(*docs.columns))
+    def row_key(doc_id: Column, key: Column) -> Column:
+        return F.md5(F.concat_ws("/", F.coalesce(doc_id.cast("string"), F.lit("-")),
+                                 F.coalesce(F.hex(key), F.lit("-"))).cast("binary")).alias("key")
+
+    first = near_duplicates(docs).where("first").select(row_key(F.col("doc_id"), F.col("key"))).distinct()
+    # The row travels as one column, so that its names meet none of these.
+    rows = docs.select(F.struct("*").alias("doc"), row_key(docs["doc_id"], text_key(docs["text"])))
+    once = F.row_number().over(Window.partitionBy("key").orderBy(F.lit(0)))
+    return rows.join(first, "key", "left_semi").withColumn("nth", once).where("nth = 1").select("doc.*")

@@ -245,12 +245,13 @@ def cut_digest(docs: DataFrame) -> DataFrame:
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """The documents with the kept text; bytes of characters that were cut in two are dropped."""
+    names = docs.columns
     cuts = repeats(docs).select("doc_id", "tie", "kept")
-    tie = docs.withColumn("_tie", F.xxhash64("text"))
-    cuts = cuts.select(F.col("doc_id").alias("_cut_id"), F.col("tie").alias("_cut_tie"), "kept")
-    joined = tie.join(cuts, tie["doc_id"].eqNullSafe(cuts["_cut_id"]) & (tie["_tie"] == cuts["_cut_tie"]), "left")
-    text = F.when(F.col("kept").isNull(), F.col("text")).otherwise(_decoded(F.col("kept")))
-    return joined.withColumn("text", text).select(*docs.columns)
+    # The row travels as one column, so that its names meet none of these.
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("tie"), F.struct("*").alias("doc"))
+    text = F.when(F.col("kept").isNull(), F.col("doc.text")).otherwise(_decoded(F.col("kept")))
+    joined = _same(rows, cuts, "left").select("doc", text.alias("text"))
+    return joined.select(*(F.col("text") if c == "text" else F.col("doc").getField(c).alias(c) for c in names))
 
 
 def _decoded(kept: Column) -> Column:
