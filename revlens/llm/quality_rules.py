@@ -2,7 +2,9 @@
 
 Eight rules look at a document and vote good (1), bad (-1) or abstain (0). Nobody says
 how far a rule can be trusted: expectation-maximisation estimates, from agreement
-alone, the share of good documents and how often each rule is right when it votes.
+alone, the share of good documents and two accuracies of each rule, how often its votes
+are right on good and on bad documents. A rule that finds few bad documents but hardly
+ever accuses a good one so weighs much when it says bad and little when it says good.
 A document is kept if its posterior probability of being good is at least one half
 and it passes the two base rules. EM sees the counts of vote patterns, at most 3^8
 rows whatever the number of documents.
@@ -31,9 +33,14 @@ STOP_WORDS = (
     "le la les de des et un une en que du est "
     "el los las y que en un una por con del"
 )
-ROUNDS = 50
+ROUNDS = 60
 SETTLED = 1e-6
-LEAST, MOST = 0.55, 0.995  # bounds of an estimated accuracy: a voting rule is better than a coin, none is infallible
+# Where EM starts, and one vote's worth of prior belief: most documents are good, and a
+# rule rarely accuses a good one but knows only some of the bad ones.
+SHARE, ON_GOOD, ON_BAD = 0.8, 0.9, 0.3
+LEAST = 0.002  # no accuracy is nearer to 0 or 1
+
+Accuracy = dict[str, tuple[float, float]]
 
 
 def counts(docs: DataFrame) -> DataFrame:
@@ -93,39 +100,39 @@ def votes() -> dict[str, Column]:
     }
 
 
-def _log_odds(share: float, accuracy: dict[str, float]) -> Column:
-    out = F.lit(math.log(share / (1 - share)))
-    for rule, a in accuracy.items():
-        out = out + F.col(rule) * F.lit(math.log(a / (1 - a)))
-    return out
-
-
-def posterior(share: float, accuracy: dict[str, float]) -> Column:
+def posterior(share: float, accuracy: Accuracy) -> Column:
     """Probability that a document with these votes is good."""
-    return 1 / (1 + F.exp(-_log_odds(share, accuracy)))
+    odds = F.lit(math.log(share / (1 - share)))
+    for rule, (good, bad) in accuracy.items():
+        odds = odds + (F.when(F.col(rule) == 1, math.log(good / (1 - bad)))
+                       .when(F.col(rule) == -1, math.log((1 - good) / bad)).otherwise(0.0))
+    return 1 / (1 + F.exp(-odds))
 
 
-def fit(voted: DataFrame, rules: list[str], rounds: int = ROUNDS) -> tuple[float, dict[str, float]]:
-    """The share of good documents and each rule's accuracy, by expectation-maximisation.
-
-    It starts from equal accuracies, which makes the first posterior a majority vote.
-    """
+def fit(voted: DataFrame, rules: list[str], rounds: int = ROUNDS) -> tuple[float, Accuracy]:
+    """The share of good documents and each rule's accuracies on good and bad ones, by expectation-maximisation."""
     patterns = stored(voted.groupBy(*rules).agg(F.count("*").cast("double").alias("n")).coalesce(1))
-    share, accuracy = 0.5, {r: 0.8 for r in rules}
+    share, accuracy = SHARE, {r: (ON_GOOD, ON_BAD) for r in rules}
+
+    def estimate(right, all_, start: float) -> float:
+        return min(1 - LEAST, max(LEAST, ((right or 0) + start) / ((all_ or 0) + 1)))
+
     for _ in range(rounds):
-        p = posterior(share, accuracy)
-        sums = [F.sum("n").alias("n"), F.sum(F.col("n") * p).alias("good")]
+        good = F.col("n") * posterior(share, accuracy)
+        bad = F.col("n") - good
+        sums = [F.sum("n").alias("n"), F.sum(good).alias("good")]
         for r in rules:
-            right = F.when(F.col(r) == 1, p).when(F.col(r) == -1, 1 - p)
-            sums += [F.sum(F.col("n") * right).alias(f"{r}_right"),
-                     F.sum(F.when(F.col(r) != 0, F.col("n"))).alias(f"{r}_all")]
+            sums += [F.sum(F.when(F.col(r) == 1, good)).alias(f"{r}_right_good"),
+                     F.sum(F.when(F.col(r) != 0, good)).alias(f"{r}_good"),
+                     F.sum(F.when(F.col(r) == -1, bad)).alias(f"{r}_right_bad"),
+                     F.sum(F.when(F.col(r) != 0, bad)).alias(f"{r}_bad")]
         got = patterns.agg(*sums).first()
         if not got["n"]:
             break
-        # One document's worth of prior belief keeps shares and accuracies off 0 and 1.
         new_share = (got["good"] + 1) / (got["n"] + 2)
-        new = {r: min(MOST, max(LEAST, ((got[f"{r}_right"] or 0) + 0.8) / ((got[f"{r}_all"] or 0) + 1))) for r in rules}
-        moved = max([abs(new_share - share), *(abs(new[r] - accuracy[r]) for r in rules)])
+        new = {r: (estimate(got[f"{r}_right_good"], got[f"{r}_good"], ON_GOOD),
+                   estimate(got[f"{r}_right_bad"], got[f"{r}_bad"], ON_BAD)) for r in rules}
+        moved = max([abs(new_share - share), *(abs(x - y) for r in rules for x, y in zip(new[r], accuracy[r]))])
         share, accuracy = new_share, new
         if moved < SETTLED:
             break

@@ -37,32 +37,48 @@ def test_counts_equal_a_plain_count(spark):
 
 
 def brute_em(votes, rounds):
-    share, acc = 0.5, [0.8] * len(votes[0])
+    share, acc = 0.8, [(0.9, 0.3)] * len(votes[0])
     for _ in range(rounds):
         post = []
         for v in votes:
-            z = math.log(share / (1 - share)) + sum(x * math.log(a / (1 - a)) for x, a in zip(v, acc))
+            z = math.log(share / (1 - share))
+            for x, (g, b) in zip(v, acc):
+                z += math.log(g / (1 - b)) if x == 1 else math.log((1 - g) / b) if x == -1 else 0
             post.append(1 / (1 + math.exp(-z)))
         share = (sum(post) + 1) / (len(votes) + 2)
-        for j in range(len(acc)):
-            right = sum(p if v[j] == 1 else 1 - p for v, p in zip(votes, post) if v[j])
-            acc[j] = min(quality_rules.MOST, max(quality_rules.LEAST, (right + 0.8) / (sum(v[j] != 0 for v in votes) + 1)))
+
+        def ratio(j, sign, weight, start):
+            right = sum(w for v, w in zip(votes, weight) if v[j] == sign)
+            return min(0.998, max(0.002, (right + start) / (sum(w for v, w in zip(votes, weight) if v[j]) + 1)))
+
+        acc = [(ratio(j, 1, post, 0.9), ratio(j, -1, [1 - p for p in post], 0.3)) for j in range(len(acc))]
     return share, acc
 
 
 def test_em_equals_a_plain_one_and_finds_the_accuracies(spark):
     rnd = random.Random(3)
-    truth, votes = [0.9, 0.75, 0.6, 0.85], []
-    for _ in range(4000):
+    truth, votes = [(0.95, 0.6), (0.9, 0.75), (0.85, 0.8), (0.97, 0.5)], []
+    for _ in range(6000):
         good = rnd.random() < 0.7
-        votes.append(tuple((0 if rnd.random() < 0.2 else 1 if (rnd.random() < a) == good else -1) for a in truth))
+        votes.append(tuple(0 if rnd.random() < 0.2 else (1 if (rnd.random() < g) else -1) if good
+                           else (-1 if rnd.random() < b else 1) for g, b in truth))
     rules = ["r0", "r1", "r2", "r3"]
     df = spark.createDataFrame(votes, ", ".join(f"{r} int" for r in rules))
-    share, acc = quality_rules.fit(df, rules, rounds=12)
-    want_share, want = brute_em(votes, 12)
-    assert share == pytest.approx(want_share, abs=1e-9) and [acc[r] for r in rules] == pytest.approx(want, abs=1e-9)
+    share, acc = quality_rules.fit(df, rules, rounds=9)
+    want_share, want = brute_em(votes, 9)
+    assert share == pytest.approx(want_share, abs=1e-9)
+    assert [x for r in rules for x in acc[r]] == pytest.approx([x for w in want for x in w], abs=1e-9)
     share, acc = quality_rules.fit(df, rules)
-    assert abs(share - 0.7) < 0.05 and all(abs(acc[r] - a) < 0.05 for r, a in zip(rules, truth))
+    assert abs(share - 0.7) < 0.06
+    assert all(abs(x - y) < 0.08 for r, t in zip(rules, truth) for x, y in zip(acc[r], t))
+
+
+def test_rules_reject_junk_and_keep_clean_documents(spark):
+    folder = "/root/testdata/sf0.1"
+    judged = quality_rules.judge(spark.read.parquet(f"{folder}/documents.parquet")).where("not base_failed")
+    rows = judged.join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").collect()
+    good, bad = [r.kept for r in rows if r.quality == 1], [r.kept for r in rows if r.quality == 0]
+    assert sum(good) / len(good) > 0.995 and sum(bad) / len(bad) < 0.5
 
 
 def test_rules_on_an_empty_table(spark):
