@@ -641,10 +641,10 @@ _WINDOWS = {
         select metric_date, feature_id, total_feature_events, cast(row_number() over w as integer) as record_no
         from mart_feature_adoption
         window w as (partition by metric_date order by total_feature_events desc, feature_id)
-        qualify row_number() over w <= 3""",
+        qualify row_number() over w <= 15""",
     "sort_nulls_last": """
         select user_id, cast(sum(transaction_amount) filter (is_refunded_transaction) as double) as refunded_amount
-        from fact_transactions group by 1 order by refunded_amount desc nulls last, user_id limit 50""",
+        from fact_transactions group by 1 order by refunded_amount desc nulls last, user_id""",
     "latest_and_previous": """
         select metric_date, total_transactions as latest_total, previous_total, total_transactions - previous_total as change
         from (select *, lag(total_transactions) over (order by metric_date) as previous_total

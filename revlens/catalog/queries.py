@@ -22,7 +22,7 @@ from revlens.plans import anomaly, core, evidence, jobs, quality, reporting, ser
 from revlens.plans.models import MODELS, Now, Workspace
 from revlens.session import prepare, shared_dir
 from revlens.sources.model_store import ModelStore
-from revlens.sources.raw_store import RawStore, read_raw_csv, write_batch_once
+from revlens.sources.raw_store import RawStore, read_raw_csv, write_batch_once, write_raw_csv
 from revlens.sources.report_store import ReportStore
 from revlens.sources.schemas import DAILY_TABLES, RAW_TABLES
 from revlens.sources.testtables import AS_OF, RUN_TS, raw_tables
@@ -102,7 +102,8 @@ def mart_mrr_from_days(w):
 @on_session
 def scan_raw_csv(spark, folder):
     path = shared_dir(spark)
-    raw_tables(spark, folder)["raw_subscriptions"].write.option("header", True).csv(path)
+    rows = raw_tables(spark, folder)["raw_subscriptions"]
+    write_raw_csv(rows.select(*reversed(rows.columns)), path)  # columns are found by name
     return read_raw_csv(spark, path, "raw_subscriptions")
 
 
@@ -138,7 +139,7 @@ def load_daily_batch(spark, folder):
     again = rows.where(F.col("batch_date") == F.lit(BATCH)).withColumn(
         "transaction_amount", (F.col("transaction_amount") + 1).cast("decimal(18,2)"))
     batches = shared_dir(spark)
-    again.write.option("header", True).csv(f"{batches}/raw_transactions.csv")
+    write_raw_csv(again, f"{batches}/raw_transactions.csv")
     for _ in range(2):
         store.load_daily(batches, BATCH)
     return store.read("raw_transactions")
@@ -529,14 +530,14 @@ def topk_by_count(w):
 @on_lazy
 def topk_features(w):
     adoption = w["mart_feature_adoption"].select("metric_date", "feature_id", "total_feature_events")
-    return topk.rank_within(adoption, ["metric_date"], [F.desc("total_feature_events"), F.col("feature_id")], 3)
+    return topk.rank_within(adoption, ["metric_date"], [F.desc("total_feature_events"), F.col("feature_id")], 15)
 
 
 @on_lazy
 def sort_nulls_last(w):
     refunds = w["fact_transactions"].groupBy("user_id").agg(
         X.sum_where(F.col("is_refunded_transaction"), F.col("transaction_amount")).alias("refunded_amount"))
-    return topk.first_rows(refunds, [F.desc_nulls_last("refunded_amount"), F.col("user_id")], 50)
+    return refunds.orderBy(F.desc_nulls_last("refunded_amount"), "user_id")
 
 
 @on_lazy
@@ -764,7 +765,7 @@ def build_subset(spark, folder):
 def run_backfill(spark, folder):
     places, csv = _places(spark), shared_dir(spark)
     for name, rows in raw_tables(spark, folder).items():
-        rows.write.option("header", True).csv(f"{csv}/{name}.csv")
+        write_raw_csv(rows, f"{csv}/{name}.csv")
     w = jobs.run_backfill(spark, places, csv, NOW)
     return _row_counts(w, [*RAW_TABLES, "mart_daily_kpis", "mart_anomaly_candidates"])
 
@@ -777,7 +778,7 @@ def run_daily(spark, folder):
     for name, rows in raw_tables(spark, folder).items():
         store.replace(name, rows)
         if name in DAILY_TABLES:
-            rows.where(F.col("batch_date") == F.lit(BATCH)).write.option("header", True).csv(f"{batch}/{name}.csv")
+            write_raw_csv(rows.where(F.col("batch_date") == F.lit(BATCH)), f"{batch}/{name}.csv")
     w = jobs.run_daily(spark, places, batch, BATCH, NOW)
     reports = ReportStore(spark, places.reports).read()
     kept = w["fact_transactions"].agg(F.count(F.lit(1)).alias("n")).scalar()

@@ -2,9 +2,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from revlens.sources.files import drop_old_versions, new_version, versions
+
 
 class ModelStore:
-    """Where built models live: Parquet tables below one folder, plus temp views."""
+    """Where built models live: Parquet tables below one folder, plus temp views.
+
+    Every refresh writes a new version beside the old one. Readers see it once it is
+    committed, so a crash or a running refresh never leaves them without a table.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -28,11 +34,16 @@ class ModelStore:
         """
         if rebalance:
             frame = frame.hint("rebalance", partition_by)
-        writer = frame.write.mode("overwrite")
+        writer, version = frame.write, new_version()
         if partition_by:
             writer = writer.partitionBy(partition_by)
-        writer.parquet(self.path(name))
-        return self.read(name).select(*frame.columns)
+        writer.parquet(f"{self.path(name)}/{version}")
+        drop_old_versions(self.spark, self.path(name))
+        return self.spark.read.parquet(f"{self.path(name)}/{version}").select(*frame.columns)
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self.path(name))
+        """The latest committed version."""
+        found = versions(self.spark, self.path(name))
+        if not found:
+            raise LookupError(f"no stored table {name} below {self.root}")
+        return self.spark.read.parquet(f"{self.path(name)}/{found[-1]}")

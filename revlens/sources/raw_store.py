@@ -4,27 +4,73 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
-from revlens.sources.schemas import DAILY_TABLES, RAW_TABLES, raw_schema, text_schema
+from revlens.sources.files import drop_old_versions, exists, is_complete, new_version, versions
+from revlens.sources.schemas import DAILY_TABLES, RAW_TABLES, raw_schema
 
+# How batches are written and read: quotes are doubled inside quoted text, which may
+# hold commas and line breaks; blanks at the ends of a value belong to it. A file with
+# line breaks in values is read by one task, so large exports come as folders of parts.
+CSV = {"header": True, "quote": '"', "escape": '"', "multiLine": True,
+       "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
-def read_raw_csv(spark: SparkSession, path: str, table: str) -> DataFrame | None:
-    """One raw CSV file (or folder of parts) with header; None when it is absent.
 
-    Columns are read as text and converted by name, so the file is never scanned
-    to guess types and a value that does not parse becomes NULL.
+class BatchError(ValueError):
+    """A batch that does not fit its table: columns, values or dates."""
+
+
+def write_raw_csv(rows: DataFrame, path: str) -> None:
+    rows.write.options(**CSV).csv(path)
+
+
+def read_text_csv(spark: SparkSession, path: str, table: str) -> DataFrame | None:
+    """A raw CSV file (or folder of parts) as text, columns by the names in its header.
+
+    None when it is absent or has no header. Unknown and missing columns are errors,
+    and so are parts whose header differs from the first one's.
     """
+    if not exists(spark, path):
+        return None
     try:
-        raw = spark.read.schema(text_schema(table)).csv(path, header=True, quote='"', escape='"')
+        names = spark.read.options(**CSV).csv(path).columns
     except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
+        if error.getCondition() == "UNABLE_TO_INFER_SCHEMA":  # a folder without files
             return None
         raise
-    return raw.select(*[
-        F.col(f.name).try_cast(f.dataType).alias(f.name) for f in raw_schema(table)])
+    if not names:
+        return None
+    wanted = raw_schema(table).names
+    missing, unknown = sorted(set(wanted) - set(names)), sorted(set(names) - set(wanted))
+    if missing or unknown:
+        raise BatchError(f"{path}: columns missing {missing}, unknown {unknown}")
+    text = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    return spark.read.schema(text).options(**CSV, enforceSchema=False).csv(path).select(*wanted)
+
+
+def converted(text: DataFrame, table: str) -> DataFrame:
+    """Text columns as the table's types; a value that does not parse becomes NULL."""
+    return text.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in raw_schema(table)])
+
+
+def unreadable(table: str) -> list[Column]:
+    """Per typed column, how many values are there but do not parse."""
+    return [F.count_if((F.trim(f.name) != "") & F.col(f.name).try_cast(f.dataType).isNull()).alias(f.name)
+            for f in raw_schema(table) if not isinstance(f.dataType, T.StringType)]
+
+
+def read_raw_csv(spark: SparkSession, path: str, table: str) -> DataFrame | None:
+    """One raw CSV file (or folder of parts) with header; None when it is absent.
+
+    Columns are read as text and converted by name, so the file is never scanned
+    to guess types and a value that does not parse becomes NULL. Loads into a store
+    count such values and fail on them.
+    """
+    text = read_text_csv(spark, path, table)
+    return None if text is None else converted(text, table)
 
 
 class RawStore:
@@ -36,15 +82,16 @@ class RawStore:
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
 
+    def current(self, table: str) -> str | None:
+        """Folder of the table's latest committed version."""
+        found = versions(self.spark, self.path(table))
+        return f"{self.path(table)}/{found[-1]}" if found else None
+
     def read(self, table: str) -> DataFrame:
-        schema = raw_schema(table)
-        try:
-            stored = self.spark.read.schema(schema).parquet(self.path(table))
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
+        schema, folder = raw_schema(table), self.current(table)
+        if folder is None:
             return self.spark.createDataFrame([], schema)
-        return stored.select(*schema.names)
+        return self.spark.read.schema(schema).parquet(folder).select(*schema.names)
 
     def read_all(self) -> dict[str, DataFrame]:
         return {t: self.read(t) for t in RAW_TABLES}
@@ -53,39 +100,51 @@ class RawStore:
         """Only the key columns of the current state, to link a new batch to."""
         return self.read(table).select(*columns)
 
-    def _write(self, table: str, rows: DataFrame, mode: str) -> None:
+    def _write(self, folder: str, rows: DataFrame, mode: str) -> None:
         (rows.hint("rebalance", "batch_date").write.mode(mode)
          .option("partitionOverwriteMode", "static")
-         .partitionBy("batch_date").parquet(self.path(table)))
+         .partitionBy("batch_date").parquet(folder))
 
     def append(self, table: str, rows: DataFrame) -> None:
-        self._write(table, rows, "append")
+        self._write(self.current(table) or f"{self.path(table)}/{new_version()}", rows, "append")
 
     def replace(self, table: str, rows: DataFrame) -> None:
-        self._write(table, rows, "overwrite")
+        """All rows anew, as a version that readers see once it is complete."""
+        self._write(f"{self.path(table)}/{new_version()}", rows, "error")
+        drop_old_versions(self.spark, self.path(table))
 
     def replace_batch(self, table: str, rows: DataFrame, batch_date: date) -> None:
         """Swap the rows of one batch date for those of ``rows``.
 
         Writing the partition's own folder also works for an empty batch, which
         a dynamic partition overwrite would leave untouched. Rows stamped with
-        another date are appended, not swapped.
+        another date (or none) are an error: appending them would add them again
+        on every rerun.
         """
         is_today = F.col("batch_date") == F.lit(batch_date)
+        if not rows.where(~F.coalesce(is_today, F.lit(False))).isEmpty():
+            raise BatchError(f"{table}: rows of another date than {batch_date} in its batch")
+        if self.current(table) is None:
+            self.replace(table, self.read(table))
         today = rows.where(is_today).drop("batch_date")
-        today.write.mode("overwrite").parquet(f"{self.path(table)}/batch_date={batch_date.isoformat()}")
-        stray = rows.where(~F.coalesce(is_today, F.lit(False)))
-        if not stray.isEmpty():
-            self.append(table, stray)
+        today.write.mode("overwrite").parquet(f"{self.current(table)}/batch_date={batch_date.isoformat()}")
+
+    def _load(self, table: str, text: DataFrame, write) -> None:
+        """Write converted rows; values that did not parse are counted on the way and are an error."""
+        seen = Observation()
+        write(converted(text.observe(seen, *unreadable(table)), table))
+        bad = {column: n for column, n in seen.get.items() if n}
+        if bad:
+            raise BatchError(f"{table}: values that do not parse, by column {bad}; load a mended batch")
 
     def load_backfill(self, folder: str) -> list[str]:
         """Load ``raw_<table>.csv`` of every table; a missing or empty file is
         skipped. The table is replaced, so a repeated backfill adds nothing."""
         loaded = []
         for table in RAW_TABLES:
-            rows = read_raw_csv(self.spark, f"{folder}/{table}.csv", table)
-            if rows is not None and not rows.isEmpty():
-                self.replace(table, rows)
+            text = read_text_csv(self.spark, f"{folder}/{table}.csv", table)
+            if text is not None and not text.isEmpty():
+                self._load(table, text, lambda rows, t=table: self.replace(t, rows))
                 loaded.append(table)
         return loaded
 
@@ -94,13 +153,24 @@ class RawStore:
         with only a header empties the batch, a missing file changes nothing."""
         loaded = []
         for table in DAILY_TABLES:
-            rows = read_raw_csv(self.spark, f"{folder}/{table}.csv", table)
-            if rows is not None:
-                self.replace_batch(table, rows, batch_date)
-                loaded.append(table)
+            text = read_text_csv(self.spark, f"{folder}/{table}.csv", table)
+            if text is None:
+                continue
+            stray = F.col("batch_date").try_cast("date").eqNullSafe(F.lit(batch_date))
+            if not text.where(~stray).isEmpty():
+                raise BatchError(f"{table}: rows of another date than {batch_date} in its batch")
+            if self.current(table) is None:
+                self.replace(table, self.read(table))
+            target = f"{self.current(table)}/batch_date={batch_date.isoformat()}"
+            self._load(table, text, lambda rows, to=target: rows.drop("batch_date").write.mode("overwrite").parquet(to))
+            loaded.append(table)
         return loaded
 
 
 def write_batch_once(rows: DataFrame, path: str) -> None:
-    """Write a batch unless its target exists; a rerun keeps the first version."""
-    rows.write.mode("ignore").option("header", True).csv(path)
+    """Write a batch unless a complete one is there; a rerun keeps the first version.
+
+    What a dead job left behind has no commit marker and is overwritten.
+    """
+    if not is_complete(rows.sparkSession, path):
+        rows.write.mode("overwrite").options(**CSV).csv(path)

@@ -54,8 +54,3 @@ _TYPES = {
 def raw_schema(table: str) -> T.StructType:
     pairs = [column.split() for column in _COLUMNS[table].split(",")]
     return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
-
-
-def text_schema(table: str) -> T.StructType:
-    """The same columns, all text: how a CSV file is read before conversion."""
-    return T.StructType([T.StructField(f.name, T.StringType()) for f in raw_schema(table)])

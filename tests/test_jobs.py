@@ -10,7 +10,7 @@ from revlens.plans.models import Now, Workspace
 from revlens.plans.quality import QualityError
 from revlens.session import shared_dir
 from revlens.sources.model_store import ModelStore
-from revlens.sources.raw_store import RawStore
+from revlens.sources.raw_store import RawStore, write_raw_csv
 from revlens.sources.report_store import ReportStore
 from revlens.sources.testtables import AS_OF, RUN_TS, raw_tables
 
@@ -33,14 +33,13 @@ def test_daily_run_reports_once_and_stops_on_a_failed_check(spark, places, tmp_p
     # from the source: files of the store are replaced by the load
     source = raw_tables(spark, "/root/testdata/sf0.001")["raw_transactions"]
     batch = source.where(F.col("batch_date") == F.lit(DAY))
-    batch.write.option("header", True).csv(f"{tmp_path}/good/raw_transactions.csv")
+    write_raw_csv(batch, f"{tmp_path}/good/raw_transactions.csv")
     for _ in range(2):
         jobs.run_daily(spark, places, f"{tmp_path}/good", DAY, NOW)
     assert store.read("raw_transactions").count() == before
     assert [r.metric_date for r in reports.read().collect()] == [DAY]
 
-    batch.withColumn("payment_method", F.lit("barter")).write.option("header", True) \
-        .csv(f"{tmp_path}/bad/raw_transactions.csv")
+    write_raw_csv(batch.withColumn("payment_method", F.lit("barter")), f"{tmp_path}/bad/raw_transactions.csv")
     with pytest.raises(QualityError, match="payment_method accepted_values"):
         jobs.run_daily(spark, places, f"{tmp_path}/bad", DAY, NOW)
     assert reports.read().count() == 1

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from revlens.operators import ids
 from revlens.session import shared_dir
 from revlens.sources.model_store import ModelStore
-from revlens.sources.raw_store import RawStore, read_raw_csv, write_batch_once
+from revlens.sources.files import versions
+from revlens.sources.raw_store import BatchError, RawStore, read_raw_csv, write_batch_once
 from revlens.sources.report_store import SCHEMA, ReportStore
 from revlens.sources.schemas import raw_schema
 
@@ -63,12 +64,73 @@ def test_header_only_file_empties_the_day_and_missing_file_does_nothing(store, t
     assert [t for t, _, _ in loaded(store)] == ["t9"]
 
 
-def test_rows_of_another_day_are_kept(store, tmp_path):
+def test_rows_of_another_day_are_refused(store, tmp_path):
     csv(tmp_path, "raw_transactions", line("t1", D2))
     store.load_daily(str(tmp_path), D2)
     csv(tmp_path, "raw_transactions", line("t2", D1), line("t3", D2))
+    for _ in range(2):
+        with pytest.raises(BatchError, match="another date"):
+            store.load_daily(str(tmp_path), D1)
+    with pytest.raises(BatchError, match="another date"):
+        store.replace_batch("raw_transactions", store.read("raw_transactions"), D1)
+    assert [t for t, _, _ in loaded(store)] == ["t1"]
+
+
+def test_columns_are_found_by_name(spark, store, tmp_path):
+    names = raw_schema("raw_transactions").names
+    values = dict(zip(names, line("t1", D1).split(",")))
+    turned = names[::-1]
+    csv(tmp_path, "raw_transactions", ",".join(values[n] for n in turned), header=",".join(turned))
     store.load_daily(str(tmp_path), D1)
-    assert [t for t, _, _ in loaded(store)] == ["t1", "t2", "t3"]
+    assert loaded(store) == [("t1", "5.00", D1)]
+    csv(tmp_path, "raw_transactions", header=",".join([*names[:-2], "batch_date", "surprise"]))
+    with pytest.raises(BatchError, match="missing .*refund_reason.* unknown .*surprise"):
+        store.load_daily(str(tmp_path), D1)
+
+
+AWKWARD = ['He said "hi", ok', "back\\slash\\", "two\nlines", " blanks ", '"', "a,b;c", "é | \t"]
+
+
+def test_any_text_survives_writing_and_reading(spark, store, tmp_path):
+    schema = raw_schema("raw_users")
+    rows = [(f"u{i}", "a1", text, *[None] * 10, D1) for i, text in enumerate(AWKWARD)]
+    frame = spark.createDataFrame(rows, schema)
+    write_batch_once(frame.repartition(3), f"{tmp_path}/raw_users.csv")
+    for _ in range(2):
+        assert store.load_daily(str(tmp_path), D1) == ["raw_users"]
+    assert [r.first_name for r in store.read("raw_users").orderBy("user_id").collect()] == AWKWARD
+
+
+def test_values_that_do_not_parse_stop_a_load(store, tmp_path):
+    csv(tmp_path, "raw_transactions", line("t1", D1, "five"), line("t2", D1), line("t3", D1, ""))
+    for load in (lambda: store.load_daily(str(tmp_path), D1), lambda: store.load_backfill(str(tmp_path))):
+        with pytest.raises(BatchError, match="transaction_amount': 1"):
+            load()
+    csv(tmp_path, "raw_transactions", line("t1", D1, "5"), line("t2", D1))
+    store.load_daily(str(tmp_path), D1)
+    assert [a for _, a, _ in loaded(store)] == ["5.00", "5.00"]
+
+
+def test_what_a_dead_job_left_is_written_again(spark, tmp_path):
+    target = str(tmp_path / "batch")
+    os.makedirs(f"{target}/_temporary/0")
+    write_batch_once(spark.range(3), target)
+    assert spark.read.option("header", True).csv(target).count() == 3
+
+
+def test_a_version_is_read_only_when_complete(spark, store):
+    models, folder = ModelStore(spark, shared_dir(spark)), None
+    first = models.table("m", spark.range(5))
+    folder = f"{models.path('m')}/v99999999999999999999-dead"
+    spark.range(9).write.parquet(folder)
+    os.remove(f"{folder}/_SUCCESS".removeprefix("file://"))
+    assert models.read("m").count() == 5
+    models.table("m", spark.range(6))
+    assert first.count() == 5 and models.read("m").count() == 6  # readers of the old version go on
+    models.table("m", spark.range(7))
+    assert len(versions(spark, models.path("m"))) == 2
+    with pytest.raises(LookupError):
+        models.read("nothing")
 
 
 def test_backfill_replaces_and_skips_missing_or_empty(store, tmp_path):
@@ -133,6 +195,15 @@ def test_ids_are_dense_unique_repeatable_and_grow_past_the_padding(spark):
     assert sorted(int(v[2:]) for v in first.values()) == list(range(995001, 1015001))
 
 
+def test_rows_without_key_or_day_are_refused(spark):
+    rows = spark.createDataFrame([(1, D1), (2, None), (None, D1)], "id long, day date")
+    for wrong in ("id is null or id = 1", "day is null or id = 1"):
+        with pytest.raises(Exception, match="cannot get an id"):
+            ids.assign_daily_ids(rows.where(wrong), "id", "day", "event_id", "evt_").collect()
+    with pytest.raises(Exception, match="cannot get an id"):
+        ids.assign_entity_ids(rows, "id", rows.selectExpr("'x' as uid"), "uid", "u_").collect()
+
+
 def test_daily_ids_restart_every_day(spark):
     rows = spark.range(10).select("id", F.date_add(F.lit(D1), (F.col("id") % 2).cast("int")).alias("day"))
     got = sorted(r.event_id for r in ids.assign_daily_ids(rows, "id", "day", "event_id", "evt_").collect())
