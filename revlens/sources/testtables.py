@@ -31,31 +31,40 @@ def _pick(number: str, *values: str) -> str:
 
 _ACCOUNT = "cast(floor(c_custkey / 3) as bigint)"
 _SIGNUP = f"{_DAY0} + cast(c_custkey % 61 as int)"
+_OPENED = _SIGNUP.replace("c_custkey", "k")
+
 
 def _features_sql() -> str:
-    rows = ", ".join(
-        f"('feat_{i:06d}', '{n}', '{c}', '{p}', {str(core).lower()}, '{s}', {_DAY0}, '{d}', '{r}', {_DAY0})"
-        for i, (n, c, p, core, s, d, r) in enumerate(FEATURES, 1))
-    return ("select * from (values " + rows + ") as f(feature_id, feature_name, feature_category, "
-            "minimum_plan, is_core_feature, feature_status, released_at, adoption_difficulty, "
-            "retention_impact, batch_date)")
+    """Features that events name, from the day of their first event; labels are the catalogue's."""
+    def label(i: int) -> str:
+        return _pick("k - 1", *[str(f[i]).lower() for f in FEATURES])
+
+    return f"""
+        select {_id('feat_', 'k')} as feature_id, {label(0)} as feature_name, {label(1)} as feature_category,
+          {label(2)} as minimum_plan, cast({label(3)} as boolean) as is_core_feature, {label(4)} as feature_status,
+          first_day as released_at, {label(5)} as adoption_difficulty, {label(6)} as retention_impact,
+          first_day as batch_date
+        from (select event_id % {len(FEATURES)} + 1 as k, min(cast(ts as date)) as first_day
+              from events group by event_id % {len(FEATURES)} + 1) as used"""
 
 
 RAW_SQL = {
+    # Customers by threes are the users of one account, which the first of them opens.
     "raw_accounts": f"""
-        select {_id('acct_', _ACCOUNT)} as account_id, c_name as account_name,
-          case c_mktsegment when 'BUILDING' then 'Consulting' when 'AUTOMOBILE' then 'Auto_Repair'
+        select {_id('acct_', 'account')} as account_id, name as account_name,
+          case segment when 'BUILDING' then 'Consulting' when 'AUTOMOBILE' then 'Auto_Repair'
             when 'HOUSEHOLD' then 'Cleaning' else 'Wellness' end as industry,
-          case when c_acctbal < 3000 then 'solo' when c_acctbal < 8000 then 'Small'
+          case when balance < 3000 then 'solo' when balance < 8000 then 'Small'
             else 'mid_market' end as company_size,
-          {_pick('c_nationkey', 'ca', 'TX', 'ny', 'FL', 'WA')} as region,
-          {_SIGNUP} as signup_date,
-          {_pick('c_custkey', 'organic', 'Paid_Search', 'referral', 'social', 'partner')} as acquisition_channel,
-          case when c_custkey % 60 = 0 then 'churned' when c_custkey % 21 = 0 then 'inactive'
-            else 'active' end as account_status,
-          cast({_SIGNUP} as timestamp) as created_at, cast({_SIGNUP} as timestamp) as updated_at,
-          {_SIGNUP} as batch_date
-        from customer where c_custkey % 3 = 0""",
+          {_pick('nation', 'ca', 'TX', 'ny', 'FL', 'WA')} as region,
+          {_OPENED} as signup_date,
+          {_pick('k', 'organic', 'Paid_Search', 'referral', 'social', 'partner')} as acquisition_channel,
+          case when k % 60 = 0 then 'churned' when k % 21 = 0 then 'inactive' else 'active' end as account_status,
+          cast({_OPENED} as timestamp) as created_at, cast({_OPENED} as timestamp) as updated_at,
+          {_OPENED} as batch_date
+        from (select {_ACCOUNT} as account, min(c_custkey) as k, min(c_name) as name, min(c_mktsegment) as segment,
+                max(c_acctbal) as balance, min(c_nationkey) as nation
+              from customer group by {_ACCOUNT}) as opened""",
     "raw_users": f"""
         select {_id('usr_', 'c_custkey')} as user_id, {_id('acct_', _ACCOUNT)} as account_id,
           case when c_custkey % 17 = 0 then null else c_name end as first_name,
@@ -95,7 +104,7 @@ RAW_SQL = {
           from (
             select c_custkey as k, {{versions}} as version,
               {_DAY0} + cast(case when c_custkey % 10 = 6 then 40 else c_custkey * 37 % 55 end as int) as started
-            from customer where c_custkey % 3 = 0 or c_custkey % 9 = 1) as s) as v""",
+            from customer) as s) as v""",
     "raw_features": _features_sql(),
     "raw_product_events": f"""
         select {_id('evt_', 'event_id', 9)} as event_id, {_id('usr_', 'user_id')} as user_id,
