@@ -15,13 +15,15 @@ Jaccard. Points are drawn in order of time only until no later one can win.
 *Bands.* Texts that agree in all ``ROWS`` slots of one of ``BANDS`` bands share a bucket.
 At similarity 0.8 a pair misses all of them with probability 5e-6.
 
-*Links.* Pairs are never all formed. First every member of a bucket is compared with the
-bucket's smallest node; a group of copies, however large, is settled by that alone. Buckets
-that still hold several components are then worked off in blocks: whoever does not
-belong to a bucket's largest component is compared with all members of the other components. So
-no candidate pair that could join two components is left out. A pair is dropped by its
-signatures if they agree in less than ``LEAST`` of the slots (five standard deviations
-below 0.8), and else verified on the whole texts.
+*Links.* Pairs are never all formed. In a few rounds every member of a bucket is compared
+with one hub of the bucket, first with the member that shares most buckets with others (the
+middle of a group of copies), then with members drawn by hash; only buckets that still
+hold several components go on. A group of copies, however large, is settled so by a few
+comparisons per member. What still holds several components is worked off in blocks:
+whoever does not belong to a bucket's largest component is compared with all members of
+the other components, so no candidate pair that could join two components is left out. A
+pair is dropped by its signatures if they agree in less than ``LEAST`` of the slots (4.5
+standard deviations below 0.8), and else verified on the whole texts.
 
 Defined results: equal texts, empty ones included, are one class whatever they hold; a
 text of one to four words has these words as its only shingle; a text without words has
@@ -47,8 +49,9 @@ WORDS = 5
 SIMILARITY = 0.8
 ROWS, BANDS = 6, 40
 SLOTS = ROWS * BANDS
-LEAST = SIMILARITY - 5 * float(np.sqrt(SIMILARITY * (1 - SIMILARITY) / SLOTS))
+LEAST = SIMILARITY - 4.5 * float(np.sqrt(SIMILARITY * (1 - SIMILARITY) / SLOTS))
 BLOCK = 512  # members of a bucket compared at once
+HUB_ROUNDS = 3
 
 _U = np.uint64
 _STEPS = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F]
@@ -210,11 +213,29 @@ def text_key(text: Column) -> Column:
     return F.unhex(F.md5(text.cast("binary")))
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+def _alike_pairs(pairs: DataFrame, marks: DataFrame) -> DataFrame:
+    return stored(pairs.join(marks.toDF("a", "m"), "a").join(marks.toDF("b", "n"), "b")
+                  .mapInArrow(_alike, "a long, b long"))
+
+
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) with texts that overlap enough."""
-    t = texts.select(F.col("node").alias("a"), F.col("text").alias("t"))
-    u = texts.select(F.col("node").alias("b"), F.col("text").alias("u"))
-    return stored(pairs.join(t, "a").join(u, "b").mapInArrow(_verifier, "a long, b long"))
+    return stored(pairs.join(texts.toDF("a", "t"), "a").join(texts.toDF("b", "u"), "b")
+                  .mapInArrow(_verifier, "a long, b long"))
+
+
+def _mixed(members: DataFrame, labels: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """(members with their labels, buckets that hold several labels with sizes and largest label)."""
+    own = F.col("node").alias("label")
+    labelled = (members.withColumn("label", own) if labels is None else
+                members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    labelled = labelled.select("band", "node", "degree", "label")
+    sizes = labelled.groupBy("band", "label").agg(F.count("*").alias("k"))
+    mixed = (sizes.groupBy("band").agg(F.max(F.struct("k", "label")).alias("top"), F.sum("k").alias("n"),
+                                       F.count("*").alias("labels"))
+             .where("labels > 1").select("band", F.col("top.label").alias("major"), "n",
+                                         (F.col("n") - F.col("top.k")).alias("minors")))
+    return labelled, mixed
 
 
 def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -224,25 +245,32 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                                                                   F.first("bands").alias("bands"))
     nodes = stored(signed.withColumn("node", F.monotonically_increasing_id()))
     members = nodes.select("node", F.explode("bands").alias("band"))
-    buckets = members.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1")
+    buckets = members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     members = stored(members.join(buckets, "band"))
-    marks = nodes.select("node", "marks")
-
-    stars = members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    stars = stored(stars.join(marks.toDF("a", "m"), "a").join(marks.toDF("b", "n"), "b")
-                   .mapInArrow(_alike, "a long, b long"))
-    texts = _texts(docs, nodes, stars)
-    edges = _verified(stars, nodes, texts)
+    degrees = members.groupBy("node").agg(F.sum("n").alias("degree"))
+    members = stored(members.join(degrees, "node").select("band", "node", "degree"))
+    marks = nodes.join(degrees, "node", "left_semi").select("node", "marks")
+    marks = stored(marks)
+    keys = nodes.select("key", "node").join(degrees, "node", "left_semi")
+    texts = stored(rows.join(keys, "key").dropDuplicates(["node"]).select("node", "text"))
+
+    edges = labels = tried = None
+    for turn in range(HUB_ROUNDS):
+        labelled, mixed = _mixed(members, labels)
+        first = F.struct((-F.col("degree")) if turn == 0 else F.xxhash64("node", "band", F.lit(turn)), "node", "label")
+        hubs = labelled.join(mixed.select("band"), "band").groupBy("band").agg(F.min(first).alias("hub"))
+        pairs = (labelled.join(hubs, "band").where(F.col("label") != F.col("hub.label"))
+                 .select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct())
+        alike = _alike_pairs(pairs, marks)
+        if tried is not None:
+            alike = stored(alike.join(tried, ["a", "b"], "left_anti"))
+        found = _verified(alike, texts)
+        tried = alike if tried is None else tried.union(alike)
+        edges = found if edges is None else edges.union(found)
+        labels = components(edges)
 
     # Buckets that hold several components still.
-    labels = components(edges)
-    labelled = members.join(labels, "node", "left").select(
-        "band", "node", F.coalesce("label", "node").alias("label"))
-    sizes = labelled.groupBy("band", "label").agg(F.count("*").alias("k"))
-    mixed = (sizes.groupBy("band").agg(F.max(F.struct("k", "label")).alias("top"), F.sum("k").alias("n"),
-                                       F.count("*").alias("labels"))
-             .where("labels > 1").select("band", F.col("top.label").alias("major"), "n",
-                                         (F.col("n") - F.col("top.k")).alias("minors")))
+    labelled, mixed = _mixed(members, labels)
     open_ = stored(labelled.join(mixed, "band").withColumns({
         "hs": F.ceil(F.col("minors") / BLOCK), "os": F.ceil(F.col("n") / BLOCK)}))
 
@@ -255,19 +283,8 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     blocks = (dealt(open_.where("label <> major"), "h", "o", "hs", "os", True)
               .unionByName(dealt(open_, "o", "h", "os", "hs", False)).join(marks, "node"))
     blocks = blocks.repartition("band", "h", "o").sortWithinPartitions("band", "h", "o")
-    more = stored(blocks.mapInPandas(_block_pairs, "a long, b long").distinct()
-                  .join(stars, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        edges = edges.union(_verified(more, nodes, _texts(docs, nodes, more)))
-    return nodes.select("key", "node"), edges
-
-
-def _texts(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(node, text) of the nodes that occur in pairs."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    keys = nodes.select("key", "node").join(wanted, "node")
-    rows = docs.where("text is not null").select(text_key(F.col("text")).alias("key"), "text")
-    return stored(rows.join(keys, "key").dropDuplicates(["node"]).select("node", "text"))
+    more = stored(blocks.mapInPandas(_block_pairs, "a long, b long").distinct().join(tried, ["a", "b"], "left_anti"))
+    return nodes.select("key", "node"), edges.union(_verified(more, texts))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
