@@ -100,18 +100,20 @@ _CONTEXTS = "doc_id long, tie long, first long, gram long, left int, print binar
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per repeated anchor its context and a 128-bit checksum of all that tells contexts apart."""
     names = [c.split()[0] for c in _CONTEXTS.split(", ")]
-    types = [pa.int64()] * 4 + [pa.int32(), pa.binary(), pa.binary()]
     for batch in batches:
-        for i in range(batch.num_rows):
-            text = (batch.column("text")[i].as_py() or "").encode()
-            doc_id, tie = batch.column("doc_id")[i].as_py(), batch.column("tie")[i].as_py()
-            out = []
-            for x in batch.column("found")[i].as_py():
-                own = text[x["first"]:x["first"] + x["owned"] - 1 + LENGTH]
-                mark = hashlib.blake2b(own, digest_size=16, key=b"%d/%d" % (x["gram"], x["left"])).digest()
-                out.append((doc_id, tie, x["first"], x["gram"], x["left"], mark, own))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
+        for a in range(0, batch.num_rows, 256):
+            part = batch.slice(a, 256)
+            found = part.column("found")
+            fields = dict(zip(("first", "left", "owned", "gram"), found.flatten().flatten()))
+            row = np.repeat(np.arange(part.num_rows), found.value_lengths().to_numpy())
+            first, end = fields["first"].to_numpy(), fields["first"].to_numpy() + fields["owned"].to_numpy() - 1 + LENGTH
+            texts = [(t or "").encode() for t in part.column("text").to_pylist()]
+            own = [texts[r][x:y] for r, x, y in zip(row.tolist(), first.tolist(), end.tolist())]
+            marks = [hashlib.blake2b(b"%d/%d/" % (g, n) + c, digest_size=16).digest()
+                     for g, n, c in zip(fields["gram"].to_pylist(), fields["left"].to_pylist(), own)]
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id").take(pa.array(row)), part.column("tie").take(pa.array(row)), fields["first"],
+                 fields["gram"], fields["left"], pa.array(marks, pa.binary()), pa.array(own, pa.binary())], names)
 
 
 _RUNS = "print binary, runs array<struct<a:int,b:int>>"
@@ -159,7 +161,7 @@ def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for gram, left, mark, own in zip(*(batch.column(c).to_pylist() for c in ("gram", "left", "print", "context"))):
             n = len(own) - LENGTH + 1
-            strings = [hashlib.blake2b(own[i:i + LENGTH], digest_size=16, key=b"%d/%d" % (gram, left - i)).digest()
+            strings = [hashlib.blake2b(b"%d/%d/" % (gram, left - i) + own[i:i + LENGTH], digest_size=16).digest()
                        for i in range(n)]
             yield pa.RecordBatch.from_arrays([pa.array(strings, pa.binary()), pa.array([mark] * n, pa.binary()),
                                               pa.array(range(n), pa.int32())], ["string", "print", "at"])

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from revlens.session import shared_dir
 
+# With it Spark deletes a query's shuffle files when the query ends.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 # What the contracts call a word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -15,10 +17,19 @@ def stored(df: DataFrame) -> DataFrame:
     """``df`` written to a fresh table of the shared folder and read again.
 
     It cuts the lineage: a lost executor costs the running tasks, not the plan
-    below the table, and what was numbered or drawn at random stays as it is.
+    below the table, and what was numbered or drawn at random stays as it is. Shuffle
+    files that the table came from are not needed any more and go at once.
     """
     spark, path = df.sparkSession, shared_dir(df.sparkSession)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEAN)
+        else:
+            spark.conf.set(_CLEAN, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
