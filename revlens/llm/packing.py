@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revlens.llm.tokens import encoder
+from revlens.llm.tokens import encoder, numbers
 
 CAPACITY = 1024
 PIECE = 256  # a rest is cut into pieces of so many ids and one shorter piece
@@ -93,12 +93,13 @@ def _cutter(path: str, end_id: int, capacity: int, piece: int,
     types = [pa.int64()] * 7 + [pa.binary()]
 
     def run(batches):
-        encode, end = encoder(path), end_id.to_bytes(4, "little")
+        encode = encoder(path)
+        end = end_id.to_bytes(encode.width, "little")
         for batch in batches:
             for first in range(0, batch.num_rows, 256):  # a few texts at a time as Python strings
                 part, out = batch.slice(first, 256), []
                 for key, tie, text in zip(*(part.column(c).to_pylist() for c in ("doc_id", "tie", "text"))):
-                    ids, start = encode.ids(text) + end, 0
+                    ids, start = numbers(encode.ids(text) + end, encode.width).tobytes(), 0
                     for number, length in enumerate(cut(len(ids) // 4, capacity, piece)):
                         own = ids[4 * start:4 * (start + length)]
                         out.append((key, tie, start, length, zlib.crc32(own), len(ids) // 4, number,

@@ -5,11 +5,12 @@ the order of their numbers. A record is
 
     8 bytes  length of the payload
     4 bytes  masked CRC-32 of those 8 bytes
-    n bytes  payload: 4 bytes flags (1: the doc_id is null), 8 bytes doc_id, 4 bytes per id
+    n bytes  payload: 4 bytes flags, 8 bytes doc_id, 2 or 4 bytes per id
     4 bytes  masked CRC-32 of the payload
     1 byte   line feed
 
-all little-endian. The mask rotates a checksum right by 15 bits and adds a constant,
+all little-endian. Flag 1 says that the doc_id is null, flag 2 that ids have two bytes, as
+in a vocabulary of at most 65,536. The mask rotates a checksum right by 15 bits and adds a constant,
 so that the checksum of a stretch that holds checksums does not degenerate. Spark's own
 writer commits the files, task by task, on any file system Spark can write to; the
 closing line feed is its row separator. The index is a Parquet table with each record's
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from revlens.llm.tokens import encoder
+from revlens.llm.tokens import encoder, numbers
 
 FILE_BYTES = 16 << 20  # text per file
 END_ID = 1
@@ -45,14 +46,18 @@ def masked_crc(data: bytes) -> int:
     return (((crc >> 15) | (crc << 17)) + _MASK) & 0xFFFFFFFF
 
 
-def frame(doc_id: int | None, ids: bytes) -> bytes:
-    """One record without the closing line feed."""
-    payload = _KEY.pack(int(doc_id is None), doc_id or 0) + ids
+_NULL, _NARROW = 1, 2  # flags
+
+
+def frame(doc_id: int | None, ids: bytes, width: int = 4) -> bytes:
+    """One record without the closing line feed; ids of ``width`` bytes."""
+    flags = _NULL * (doc_id is None) | _NARROW * (width == 2)
+    payload = _KEY.pack(flags, doc_id or 0) + ids
     head = _HEAD.pack(len(payload))
     return b"".join((head, _CRC.pack(masked_crc(head)), payload, _CRC.pack(masked_crc(payload))))
 
 
-def records(data: memoryview) -> Iterator[tuple[int, int, int | None, bytes]]:
+def records(data: memoryview) -> Iterator[tuple[int, int, int | None, np.ndarray]]:
     """(offset, length, doc_id, ids) of every record of a file; an error if a checksum does not hold."""
     at = 0
     while at < len(data):
@@ -64,20 +69,22 @@ def records(data: memoryview) -> Iterator[tuple[int, int, int | None, bytes]]:
         end = at + 12 + size + 4
         if len(payload) < size or _CRC.unpack(data[end - 4:end])[0] != masked_crc(payload) or data[end] != 0x0A:
             raise ValueError(f"broken record at byte {at}")
-        null, doc_id = _KEY.unpack_from(payload)
-        yield at, end + 1 - at, None if null else doc_id, payload[_KEY.size:]
+        flags, doc_id = _KEY.unpack_from(payload)
+        ids = numbers(payload[_KEY.size:], 2 if flags & _NARROW else 4)
+        yield at, end + 1 - at, None if flags & _NULL else doc_id, ids
         at = end + 1
 
 
 def _framer(path: str, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches):
-        encode, end = encoder(path), end_id.to_bytes(4, "little")
+        encode = encoder(path)
+        end = end_id.to_bytes(encode.width, "little")
         for batch in batches:
             texts = batch.column("text")
             for first in range(0, len(texts), 256):  # a few texts at a time as Python strings
                 part = texts.slice(first, 256).to_pylist()
                 keys = batch.column("doc_id").slice(first, 256).to_pylist()
-                framed = [frame(k, encode.ids(t) + end) for k, t in zip(keys, part)]
+                framed = [frame(k, encode.ids(t) + end, encode.width) for k, t in zip(keys, part)]
                 yield pa.RecordBatch.from_arrays([pa.array(framed, pa.binary())], ["record"])
     return run
 
@@ -104,8 +111,8 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             file, data = batch.column("file")[i].as_py(), memoryview(batch.column("content")[i].as_buffer())
             out, before = [], 0
             for number, (offset, length, doc_id, ids) in enumerate(records(data)):
-                out.append((file, number, offset, length, doc_id, len(ids) // 4, before, zlib.crc32(ids)))
-                before += len(ids) // 4
+                out.append((file, number, offset, length, doc_id, len(ids), before, zlib.crc32(ids.tobytes())))
+                before += len(ids)
             columns = zip(*out) if out else [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
 
@@ -137,7 +144,7 @@ def _fetcher(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = [next(records(data[w["offset"]:w["offset"] + w["length"]])) for w in wanted]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([f[2] for f in found], pa.int64()),
-                 pa.array([np.frombuffer(f[3], "<u4").astype(np.int64) for f in found], pa.list_(pa.int64()))],
+                 pa.array([f[3].astype(np.int64) for f in found], pa.list_(pa.int64()))],
                 ["doc_id", "ids"])
 
 

@@ -13,9 +13,11 @@ import json
 import re
 from functools import lru_cache
 
-KEPT = 250_000  # pieces in the young half of a worker's cache
+import numpy as np
+
+KEPT = 500_000  # pieces in the young half of a worker's cache, about 150 bytes each
 # Letters whose case, composition and class are the same for Python and the tokenizers.
-_LETTERS = re.compile(r"( ?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|*$%&#\"()]*)")
+_LETTERS = re.compile(r"( ?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|*$%&#\"()]{0,3})")
 
 
 class _Uncut(Exception):
@@ -30,7 +32,10 @@ def _byte_letters() -> dict[int, str]:
 
 
 class Encoder(dict):
-    """Piece -> ids as little-endian unsigned 32-bit integers; ``ids(text)`` for whole texts."""
+    """Piece -> ids as little-endian unsigned integers of ``width`` bytes; ``ids(text)`` for whole texts.
+
+    ``width`` is 2 where the vocabulary allows it, else 4.
+    """
 
     def __init__(self, path: str, kept: int = KEPT):
         from tokenizers import Tokenizer
@@ -48,30 +53,43 @@ class Encoder(dict):
                  and r"[^\s\p{L}\p{N}]+" in steps[0]["pattern"].get("Regex", "") and steps[0]["invert"])
         self.cut = kind == "BPE" and (self.leads or drops) and not any(
             t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"])
-        self.lower = not self.leads
-        self.letters = _byte_letters()
+        self.lower, self.letters = not self.leads, _byte_letters()
+        self.model, self.marks = self.tokenizer.model, {}  # marks: runs of a few signs
+        known = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.width = 2 if known <= 1 << 16 else 4
+        self.coded = [i.to_bytes(self.width, "little") for i in range(known)]
+
+    def _packed(self, ids: list[int]) -> bytes:
+        return b"".join([self.coded[i] for i in ids])
 
     def _whole(self, text: str) -> bytes:
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return b"".join(i.to_bytes(4, "little") for i in ids)
+        return self._packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def _model(self, part: str) -> bytes:
-        mapped = part.encode().decode("latin-1").translate(self.letters)
-        return b"".join(t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(mapped))
+        if self.lower:
+            part = part.lower()
+        mapped = (part.replace(" ", self.letters[0x20]) if part.isascii() else
+                  part.encode().decode("latin-1").translate(self.letters))
+        return self._packed([t.id for t in self.model.tokenize(mapped)])
 
     def _piece(self, piece: str) -> bytes:
+        plain = _LETTERS.fullmatch(piece)
+        if plain is not None and (self.leads or not plain[1]):
+            # A word and the marks behind it are merged apart, and either is met again.
+            marks = plain[3]
+            if not marks:
+                return self._model(piece)
+            if marks not in self.marks:
+                self.marks[marks] = self._model(marks)
+            return self[piece[:-len(marks)]] + self.marks[marks]
         core = piece[1:] if self.leads and piece[:1] == " " else piece
         if self.leads and piece == "\n":
             return self._whole(piece)
         if not core and not self.leads:
             return b""
-        if not core or core[0].isspace() or core[-1].isspace() or "᠎" in core:
+        if not core or core[0].isspace() or core[-1].isspace() or "\u180e" in core:
             raise _Uncut
-        plain = _LETTERS.fullmatch(piece)
-        if plain is None:
-            return self._whole(piece)
-        word, marks = plain[1] + plain[2], plain[3]
-        return self._model(word.lower() if self.lower else word) + (self._model(marks) if marks else b"")
+        return self._whole(piece)
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.old.get(piece)
@@ -102,3 +120,8 @@ class Encoder(dict):
 def encoder(path: str) -> Encoder:
     """One encoder per worker process and file."""
     return Encoder(path)
+
+
+def numbers(ids: bytes, width: int) -> np.ndarray:
+    """Coded ids as unsigned 32-bit integers."""
+    return np.frombuffer(ids, f"<u{width}").astype("<u4", copy=False)
