@@ -114,13 +114,14 @@ CTES |= {
     "dim_plans": f"""
         select plan_id, monthly_price, monthly_price * 12 as annual_price, plan_tier_rank,
           {_title('plan_id')} as plan_display_name,
-          (select count(*) from stg_features where {_rank('minimum_plan', *PLANS)} <= plan_tier_rank)
+          prices * (select count(*) from stg_features where {_rank('minimum_plan', *PLANS)} <= plan_tier_rank)
             as available_feature_count,
-          (select count(*) from stg_features where is_core_feature
+          prices * (select count(*) from stg_features where is_core_feature
             and {_rank('minimum_plan', *PLANS)} <= plan_tier_rank) as available_core_feature_count,
           plan_id = 'starter' as is_entry_level_plan, plan_id = 'business' as is_enterprise_plan
-        from (select distinct plan_id, monthly_price, {_rank('plan_id', *PLANS)} as plan_tier_rank
-              from stg_subscriptions) as p""",
+        from (select *, count(*) over (partition by plan_id) as prices
+              from (select distinct plan_id, monthly_price, {_rank('plan_id', *PLANS)} as plan_tier_rank
+                    from stg_subscriptions) as d) as p""",
     "fact_product_events": f"""
         select event_id, user_id, session_id, feature_id, event_name, event_timestamp,
           cast(event_timestamp as date) as event_date,
@@ -814,11 +815,16 @@ _SERVING = {
     "classify_anomaly": "select metric_date, metric_name, metric_category, investigation_type from flagged",
     "report_text": f"""
         select *, concat_ws(chr(10), '# Investigation Report', '', '## Anomaly Summary', summary, '',
-            concat('Severity: ', severity, ', category: ', metric_category), '', '## Supporting Evidence', evidence, '',
-            '## Recommended Next Steps',
-            concat('- Review the underlying operational tables for ', cast(metric_date as varchar), '.'),
-            '- Monitor the metric on the following day for persistence.',
-            '- Re-run this investigation after the next daily load.') as report
+            concat('Severity: ', severity, ', category: ', metric_category), '', '## Likely Root Cause',
+            case when contains(evidence, chr(10)) then
+                'Several of the signals below moved on the same day and may share a cause.'
+              when starts_with(evidence, '- Supporting mart queries were run, but') then
+                'The stored tables show no driver of this move.'
+              else 'The signal below is the only one that stood out on that day and the first candidate to check.' end, '',
+            '## Supporting Evidence', evidence, '', '## Recommended Next Steps',
+            concat('- Look into the source records of ', cast(metric_date as varchar), '.'),
+            '- See whether the next day''s value returns to its usual level.',
+            '- Ask for this report again once the next batch is in.') as report
         from report_texts""",
     "kpi_cards": " union all ".join(_card(i, f, t) for i, (f, t) in enumerate(_CARDS, 1)),
     "dashboard_filter": """

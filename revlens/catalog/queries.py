@@ -201,7 +201,7 @@ def assign_daily_ids(spark, folder):
 
 @on_lazy
 def records_json(w):
-    failures = evidence.daily_failures(w["fact_transactions"])
+    failures = evidence.daily_failures(w["daily_transaction_mix"])
     order = [F.desc("failed_count"), F.col("metric_date"), F.col("payment_method"), F.col("failure_reason")]
     return topk.records_json(failures, order)
 

@@ -95,11 +95,18 @@ def plan_features(stg_features: DataFrame) -> DataFrame:
 
 
 def dim_plans(stg_subscriptions: DataFrame, stg_features: DataFrame) -> DataFrame:
-    """One row per distinct (plan, price) found among the subscriptions."""
+    """One row per distinct (plan, price) found among the subscriptions.
+
+    Feature counts follow the declared model, which counts a plan's features once
+    per price of the plan; the unique check on plans reports such plans.
+    """
     plan = F.col("plan_id")
     priced = stg_subscriptions.select("plan_id", "monthly_price").distinct()
+    prices = priced.groupBy("plan_id").agg(F.count(F.lit(1)).alias("prices"))
     counts = ("available_feature_count", "available_core_feature_count")
-    return priced.join(plan_features(stg_features), "plan_id", "left").select(
+    features = plan_features(stg_features).join(prices, "plan_id").select(
+        "plan_id", *[(F.col(c) * F.col("prices")).alias(c) for c in counts])
+    return priced.join(features, "plan_id", "left").select(
         "plan_id", "monthly_price",
         (F.col("monthly_price") * 12).cast("decimal(18,2)").alias("annual_price"),
         rank_in(plan, PLANS).alias("plan_tier_rank"),
@@ -149,7 +156,7 @@ def _latest_date() -> Column:
     return F.greatest(*[F.to_date(c) for c in ("started_at", "cancelled_at", "updated_at")])
 
 
-def _last_spine_day(stg_subscriptions: DataFrame) -> Column:
+def last_spine_day(stg_subscriptions: DataFrame) -> Column:
     """Last day of the subscription calendar: the latest date of any subscription."""
     return stg_subscriptions.agg(F.max(_latest_date()).alias("d")).scalar()
 
@@ -183,7 +190,7 @@ def fact_subs_by_day(stg_subscriptions: DataFrame) -> DataFrame:
     """Subscription x day. Narrow: no join and no shuffle of the expanded rows."""
     day = F.col("metric_date")
     started, cancelled = F.to_date("started_at"), F.to_date("cancelled_at")
-    end = _last_spine_day(stg_subscriptions)
+    end = last_spine_day(stg_subscriptions)
     alive = each_day(stg_subscriptions, started, F.coalesce(cancelled, end))
     paying = F.col("subscription_status").isin(*PAYING_STATUSES)
     return alive.select(
@@ -229,18 +236,18 @@ def plan_days(stg_subscriptions: DataFrame) -> DataFrame:
         changes, "plan_id", "metric_date",
         levels=("active_subscriptions", "priced", "mrr"),
         flows=("new_subscriptions", "cancelled_subscriptions"),
-        last_day=_last_spine_day(stg_subscriptions),
+        last_day=last_spine_day(stg_subscriptions),
     )
 
 
-# --- spans of the facts, one row each ---------------------------------------
+# --- spans of the facts, one row each, from their pre-aggregates ---------------------------------------
 
-def transaction_bounds(fact_transactions: DataFrame) -> DataFrame:
-    return day_bounds(fact_transactions, "transaction_date")
+def transaction_bounds(user_day_transactions: DataFrame) -> DataFrame:
+    return day_bounds(user_day_transactions, "metric_date")
 
 
-def event_bounds(fact_product_events: DataFrame) -> DataFrame:
-    return day_bounds(fact_product_events, "event_date")
+def event_bounds(user_day_usage: DataFrame) -> DataFrame:
+    return day_bounds(user_day_usage, "metric_date")
 
 
 # --- user x day pre-aggregates ---------------------------------------------
@@ -256,11 +263,22 @@ def user_day_transactions(fact_transactions: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("total_transactions"),
         F.count_if("is_completed_transaction").alias("completed_transactions"),
         F.count_if("is_failed_transaction").alias("failed_transactions"),
+        F.count_if("is_refunded_transaction").alias("refunded_transactions"),
         F.sum(F.when(F.col("is_completed_transaction"), F.col("transaction_amount")))
          .alias("completed_volume"),
     )
 
 
+def daily_transaction_mix(fact_transactions: DataFrame) -> DataFrame:
+    """Day x status x method x category x failure reason: a few hundred rows a day
+    that all transaction evidence is drawn from."""
+    return fact_transactions.groupBy(
+        F.col("transaction_date").alias("metric_date"), "transaction_status", "payment_method",
+        "service_category", "failure_reason",
+    ).agg(F.count(F.lit(1)).alias("transaction_count"),
+          F.sum("completed_transaction_amount").cast("decimal(28,2)").alias("completed_amount"))
+
+
 def user_day_usage(fact_product_events: DataFrame) -> DataFrame:
     """User x day x feature event counts, the base of all distinct-user counts."""
     return fact_product_events.groupBy(

@@ -56,20 +56,19 @@ def top_anomaly(mart_anomaly_candidates: DataFrame, metric_date: date | None = N
 
 # --- daily evidence tables ---------------------------------------------------
 
-def daily_failures(fact_transactions: DataFrame) -> DataFrame:
+def daily_failures(daily_transaction_mix: DataFrame) -> DataFrame:
     return (
-        fact_transactions.where("transaction_status = 'failed'")
-        .groupBy(F.col("transaction_date").alias("metric_date"), "payment_method", "failure_reason")
-        .agg(F.count(F.lit(1)).alias("failed_count"))
+        daily_transaction_mix.where("transaction_status = 'failed'")
+        .groupBy("metric_date", "payment_method", "failure_reason")
+        .agg(F.sum("transaction_count").alias("failed_count"))
     )
 
 
-def daily_outcomes(fact_transactions: DataFrame) -> DataFrame:
-    return fact_transactions.groupBy(
-        F.col("transaction_date").alias("metric_date"),
-        "transaction_status", "payment_method", "service_category",
-    ).agg(F.count(F.lit(1)).alias("transaction_count"),
-          F.sum("completed_transaction_amount").alias("completed_amount"))
+def daily_outcomes(daily_transaction_mix: DataFrame) -> DataFrame:
+    return daily_transaction_mix.groupBy(
+        "metric_date", "transaction_status", "payment_method", "service_category",
+    ).agg(F.sum("transaction_count").alias("transaction_count"),
+          F.sum("completed_amount").cast("decimal(28,2)").alias("completed_amount"))
 
 
 def daily_roles(mart_user_transaction_activity: DataFrame) -> DataFrame:
@@ -82,8 +81,8 @@ def daily_roles(mart_user_transaction_activity: DataFrame) -> DataFrame:
         F.round(F.avg("transaction_failure_rate"), 6).alias("avg_failure_rate"))
 
 
-DERIVED = {"daily_failures": (daily_failures, "fact_transactions"),
-           "daily_outcomes": (daily_outcomes, "fact_transactions"),
+DERIVED = {"daily_failures": (daily_failures, "daily_transaction_mix"),
+           "daily_outcomes": (daily_outcomes, "daily_transaction_mix"),
            "daily_roles": (daily_roles, "mart_user_transaction_activity")}
 
 
@@ -213,11 +212,10 @@ def _latest(source: DataFrame, dates: date | DataFrame, *columns: str) -> DataFr
 def report_text(tables: Mapping[str, DataFrame], flagged: DataFrame, only: date | None = None) -> DataFrame:
     """A report per flagged move: summary sentence and bullets, all as columns.
 
-    When all moves are of one day, naming it in ``only`` lets the fact scan read
-    that day's files alone.
+    When all moves are of one day, naming it in ``only`` spares the join with the days.
     """
     dates = flagged.select("metric_date").distinct() if only is None else only
-    failures = rank_within(_around(daily_failures(tables["fact_transactions"]), dates, False), ["metric_date"],
+    failures = rank_within(_around(daily_failures(tables["daily_transaction_mix"]), dates, False), ["metric_date"],
                            _order("-failed_count payment_method failure_reason"), 1)
     plans = _around(tables["mart_plan_performance"], dates, False)
     worst = rank_within(plans.where("transaction_failure_rate > 0"), ["metric_date"],
@@ -262,12 +260,17 @@ def report_text(tables: Mapping[str, DataFrame], flagged: DataFrame, only: date
     found = F.when(F.size(bullets) > 0, F.array_join(bullets, "\n")).otherwise(none_found)
     texts = rows.select("metric_date", "metric_name", "metric_category", "severity", "investigation_type",
                         summary.alias("summary"), found.alias("evidence"))
+    cause = F.when(
+        F.size(F.split("evidence", "\n")) > 1, "Several of the signals below moved on the same day and may share a cause."
+    ).when(F.col("evidence") == none_found, "The stored tables show no driver of this move.").otherwise(
+        "The signal below is the only one that stood out on that day and the first candidate to check.")
     body = F.concat_ws(
         "\n", F.lit("# Investigation Report"), F.lit(""), F.lit("## Anomaly Summary"), F.col("summary"), F.lit(""),
         F.concat(F.lit("Severity: "), F.col("severity"), F.lit(", category: "), F.col("metric_category")), F.lit(""),
+        F.lit("## Likely Root Cause"), cause, F.lit(""),
         F.lit("## Supporting Evidence"), F.col("evidence"), F.lit(""),
         F.lit("## Recommended Next Steps"),
-        F.concat(F.lit("- Review the underlying operational tables for "), day, F.lit(".")),
-        F.lit("- Monitor the metric on the following day for persistence."),
-        F.lit("- Re-run this investigation after the next daily load."))
+        F.concat(F.lit("- Look into the source records of "), day, F.lit(".")),
+        F.lit("- See whether the next day's value returns to its usual level."),
+        F.lit("- Ask for this report again once the next batch is in."))
     return texts.withColumn("report", body)

@@ -21,19 +21,18 @@ REPORTING = ("mart_mrr", "mart_churn", "mart_transaction_health", "mart_user_tra
              "mart_user_engagement", "mart_feature_adoption", "mart_plan_performance",
              "mart_account_health", "mart_daily_kpis", "mart_anomaly_candidates")
 # Shared pre-aggregates, stored so that facts are scanned once per build.
-SHARED_CORE = ("plan_days", "user_day_transactions", "user_day_usage", "transaction_bounds", "event_bounds")
+SHARED_CORE = ("plan_days", "user_day_transactions", "user_day_usage", "daily_transaction_mix", "transaction_bounds",
+               "event_bounds")
 SHARED_REPORTING = ("subscription_days", "feature_sessions", "account_day_activity", "plan_day_activity")
 MODELS = STAGING + CORE + REPORTING
+# What a full build stores: the models, and the day table that evidence is drawn from.
+BUILT = (*MODELS, "daily_transaction_mix")
 
 # Staging models are views, apart from the de-duplicated subscriptions that four
-# models read.
-VIEWS = tuple(s for s in STAGING if s != "stg_subscriptions")
-# Facts are laid out by day so that date filters prune files. Events and
-# transactions come from raw tables stored by batch date, so a task holds a day or
-# two and nothing is shuffled; the expanded subscriptions do need it.
-PARTITIONS = {"fact_product_events": "event_date", "fact_transactions": "transaction_date",
-              "fact_subs_by_day": "metric_date"}
-SCATTERED = ("fact_subs_by_day",)
+# models read. So are the two facts that are projections of raw rows: the raw store
+# is laid out by batch date, and a copy would move all history on every run.
+VIEWS = (*(s for s in STAGING if s != "stg_subscriptions"), "fact_product_events", "fact_transactions")
+
 
 FUNCTIONS: dict[str, Callable[..., DataFrame]] = {
     name: getattr(module, name)
@@ -98,7 +97,7 @@ class Workspace:
             self._frames[name] = function(*[self[p] for p in inputs_of(name)], **extra)
         return self._frames[name]
 
-    def build(self, store: ModelStore, names: Iterable[str] = MODELS, threads: int = 4) -> list[str]:
+    def build(self, store: ModelStore, names: Iterable[str] = BUILT, threads: int = 4) -> list[str]:
         """Materialise models and their ancestors; later models read the tables.
 
         Models of one wave are written by concurrent jobs, so the tail of one
@@ -109,9 +108,7 @@ class Workspace:
             for wave in waves(done):
                 tables = [n for n in wave if n not in VIEWS]
                 frames = [self[n] for n in tables]
-                partitions = [PARTITIONS.get(n) for n in tables]
-                scattered = [n in SCATTERED for n in tables]
-                stored = pool.map(store.table, tables, frames, partitions, scattered)
+                stored = pool.map(store.table, tables, frames)
                 self._frames |= zip(tables, stored, strict=True)
                 for name in wave:
                     if name in VIEWS:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from revlens.functions.columns import clamp, flag, ratio, sum_where, zero
 from revlens.operators.calendar import all_bounds, fill_days, on_every_day
 from revlens.operators.reshape import stack_days
-from revlens.plans.core import PLANS, subscription_bounds, subscription_lifespans
+from revlens.plans.core import PLANS, last_spine_day, subscription_bounds, subscription_lifespans
 
 # Feature categories counted per day, roles counted per feature.
 FEATURE_CATEGORIES = ("core", "billing", "payments", "scheduling", "crm", "automation",
@@ -65,16 +65,16 @@ def mart_churn(subscription_days: DataFrame) -> DataFrame:
     ).orderBy("metric_date")
 
 
-def mart_transaction_health(fact_transactions: DataFrame) -> DataFrame:
-    failed = F.count_if("is_failed_transaction")
-    return fact_transactions.groupBy(F.col("transaction_date").alias("metric_date")).agg(
-        F.count(F.lit(1)).alias("total_transactions"),
-        F.count_if("is_completed_transaction").alias("completed_transactions"),
+def mart_transaction_health(user_day_transactions: DataFrame) -> DataFrame:
+    """Rolled up from the user days, so that the fact is not scanned again."""
+    failed, total = F.sum("failed_transactions"), F.sum("total_transactions")
+    return user_day_transactions.groupBy("metric_date").agg(
+        total.alias("total_transactions"),
+        _total("completed_transactions"),
         failed.alias("failed_transactions"),
-        F.count_if("is_refunded_transaction").alias("refunded_transactions"),
-        sum_where(F.col("is_completed_transaction"), F.col("transaction_amount"))
-        .alias("completed_transaction_volume"),
-        ratio(failed, F.count(F.lit(1))).alias("transaction_failure_rate"),
+        _total("refunded_transactions"),
+        F.sum("completed_volume").cast(MONEY).alias("completed_transaction_volume"),
+        ratio(failed, total).alias("transaction_failure_rate"),
     ).orderBy("metric_date")
 
 
@@ -196,22 +196,30 @@ def account_day_activity(user_day_transactions: DataFrame, user_day_usage: DataF
     )
 
 
-def plan_day_activity(account_day_activity: DataFrame, fact_subs_by_day: DataFrame) -> DataFrame:
+def plan_day_activity(account_day_activity: DataFrame, stg_subscriptions: DataFrame) -> DataFrame:
     """Plan x day activity of accounts with an active subscription to the plan.
 
     An account with n active subscriptions to a plan counts its transactions and
     events n times for it, its users once. Activity of an account without an
     active subscription that day belongs to no plan.
+
+    Active days are met as intervals: only days with activity are produced, and the
+    rows dealt by account for the join are grouped in place.
     """
+    measures = ("total_transactions", "completed_transactions", "failed_transactions", "events", "failed_events",
+                "completed_volume", "active_users", "onboarded_users")
+    paid = subscription_lifespans(stg_subscriptions).where("is_paying").select(
+        "account_id", "plan_id", "first_day", "cancelled_day")
+    day, gone = F.col("metric_date"), F.col("cancelled_day")
+    alive = (day >= F.col("first_day")) & (gone.isNull() | (day < gone))
     n = F.col("n_active")
-    holders = (
-        fact_subs_by_day.where("is_active_subscription")
-        .groupBy("account_id", "metric_date", "plan_id").agg(F.count(F.lit(1)).alias("n_active"))
+    held = (
+        account_day_activity.where(day <= last_spine_day(stg_subscriptions)).join(paid, "account_id").where(alive)
+        .groupBy("account_id", "metric_date", "plan_id")
+        .agg(F.count(F.lit(1)).alias("n_active"), *[F.max(c).alias(c) for c in measures])  # all alike within a group
     )
-    joined = account_day_activity.join(holders, ["account_id", "metric_date"])
-    return joined.groupBy("metric_date", "plan_id").agg(
-        *[F.sum(F.col(c) * n).alias(c) for c in ("total_transactions", "completed_transactions",
-                                                 "failed_transactions", "events", "failed_events")],
+    return held.groupBy("metric_date", "plan_id").agg(
+        *[F.sum(F.col(c) * n).alias(c) for c in measures[:5]],
         F.sum(F.col("completed_volume") * n.cast("decimal(9,0)")).cast(MONEY).alias("completed_volume"),
         _total("active_users"), _total("onboarded_users"),
     )

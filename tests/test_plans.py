@@ -1,10 +1,13 @@
 """Physical plans: what must and must not appear in them."""
 
+from datetime import date
+
 import pytest
 from pyspark.sql import functions as F
 
-from revlens.plans.evidence import PLAN_CONTEXT, SECTIONS, evidence
-from revlens.plans.models import MODELS, Now, Workspace
+from revlens.plans.evidence import (PLAN_CONTEXT, SECTIONS, evidence, flagged_anomalies, investigate_all,
+                                    report_text)
+from revlens.plans.models import BUILT, MODELS, Now, Workspace, inputs_of, with_ancestors
 from revlens.session import shared_dir
 from revlens.sources.model_store import ModelStore
 from revlens.sources.testtables import AS_OF, RUN_TS, raw_tables
@@ -54,16 +57,35 @@ def test_unpivot_computes_the_kpis_once(w):
     assert plan(w["mart_anomaly_candidates"]).count("FileScan") <= plan(w["mart_daily_kpis"]).count("FileScan")
 
 
-def test_single_day_evidence_prunes_the_stored_fact(spark, w):
-    from datetime import date
-    stored = Workspace({n: w[n] for n in ("raw_transactions",)}, Now(AS_OF, RUN_TS))
-    stored.build(ModelStore(spark, shared_dir(spark)), ["fact_transactions"])
+@pytest.fixture(scope="module")
+def built(spark):
+    workspace = Workspace(raw_tables(spark, "/root/testdata/sf0.001"), Now(AS_OF, RUN_TS))
+    workspace.build(ModelStore(spark, shared_dir(spark)))
+    return workspace
+
+
+def test_evidence_never_scans_the_facts(built):
+    flagged = flagged_anomalies(built["mart_anomaly_candidates"])
     section = [s for s in SECTIONS["transaction"] if s.name == "failure_breakdown"]
-    text = plan(evidence(stored, section, date(2024, 1, 13)))
-    assert "PartitionFilters: [isnotnull(transaction_date" in text
+    for text in (plan(evidence(built, section, date(2024, 1, 13))), plan(investigate_all(built, flagged)),
+                 plan(report_text(built, flagged))):
+        assert "lineitem" not in text and "events.parquet" not in text
     assert PLAN_CONTEXT.key == "plan_id"
 
 
+def test_a_build_scans_the_transactions_twice(w):
+    """Once for the user days, once for the evidence; all else reads these."""
+    readers = [n for n in with_ancestors(BUILT) if "fact_transactions" in inputs_of(n)]
+    assert readers == ["user_day_transactions", "daily_transaction_mix"]
+    assert [n for n in with_ancestors(BUILT) if "fact_product_events" in inputs_of(n)] == ["user_day_usage", "feature_sessions"]
+
+
+def test_plan_activity_needs_no_expanded_subscriptions(w):
+    assert "plan_days" not in inputs_of("plan_day_activity")
+    text = plan(w["plan_day_activity"])
+    assert "sequence(" not in text and "fact_subs_by_day" not in with_ancestors(["mart_plan_performance"])
+
+
 def test_invariants_of_the_day_tables(w):
     kpis = w["mart_daily_kpis"]
     span = kpis.agg(F.min("metric_date").alias("a"), F.max("metric_date").alias("b"), F.count(F.lit(1)).alias("n")).first()

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from revlens.plans import quality
-from revlens.plans.models import FUNCTIONS, MODELS, inputs_of, waves, with_ancestors
+from revlens.plans.models import BUILT, FUNCTIONS, MODELS, inputs_of, waves, with_ancestors
 from revlens.session import local_session  # noqa: F401
 from revlens.sources.testtables import AS_OF, RUN_TS, raw_tables
 
@@ -30,7 +30,7 @@ def test_checks_of_an_empty_table_pass(spark):
 
 
 def test_declared_suite_is_complete(spark):
-    from revlens.plans.models import Now, Workspace
+    from revlens.plans.models import BUILT, Now, Workspace
     w = Workspace(raw_tables(spark, "/root/testdata/sf0.001"), Now(AS_OF, RUN_TS))
     count = Counter()
     for name, checks in quality.SUITE.items():
@@ -52,11 +52,11 @@ def test_gate_stops_and_names_the_failure(spark):
 
 def test_model_order():
     assert len(MODELS) == 23
-    order = with_ancestors(MODELS)
+    order = with_ancestors(BUILT)
     assert set(order) == set(FUNCTIONS)
     for name in order:
         assert all(order.index(p) < order.index(name) for p in inputs_of(name) if p in FUNCTIONS)
     for wave in waves(order):
         assert not any(p in wave for n in wave for p in inputs_of(n))
     subset = with_ancestors(["mart_transaction_health"])
-    assert subset == ["stg_transactions", "fact_transactions", "mart_transaction_health"]
+    assert subset == ["stg_transactions", "fact_transactions", "user_day_transactions", "mart_transaction_health"]

@@ -149,6 +149,6 @@ def test_plan_with_two_prices_appears_twice(spark):
     plans = core.dim_plans(subs, features)
     got = {(r.plan_id, int(r.monthly_price)): (r.available_feature_count, r.available_core_feature_count,
                                                r.plan_tier_rank, int(r.annual_price)) for r in plans.collect()}
-    assert got == {("pro", 79): (2, 1, 2, 948), ("pro", 89): (2, 1, 2, 1068), ("gold", 1): (0, 0, None, 12)}
+    assert got == {("pro", 79): (4, 2, 2, 948), ("pro", 89): (4, 2, 2, 1068), ("gold", 1): (0, 0, None, 12)}
     days = reporting.subscription_days(core.plan_days(subs), plans).collect()
     assert days[0].new_subscriptions == 5  # two pro starts x two prices, one gold start
