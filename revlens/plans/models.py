@@ -6,9 +6,10 @@ import inspect
 from collections.abc import Callable, Iterable, Mapping
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from revlens.plans import anomaly, core, reporting, staging
 from revlens.sources.model_store import ModelStore
@@ -33,6 +34,16 @@ BUILT = (*MODELS, "daily_transaction_mix")
 # is laid out by batch date, and a copy would move all history on every run.
 VIEWS = (*(s for s in STAGING if s != "stg_subscriptions"), "fact_product_events", "fact_transactions")
 
+# Aggregates of a fact per day, stored by day: (fact, its day, the time that day comes
+# from). A daily run refreshes the days that its batch touches and no others.
+DAY_TABLES = {
+    "user_day_transactions": ("fact_transactions", "transaction_date", "transaction_timestamp"),
+    "daily_transaction_mix": ("fact_transactions", "transaction_date", "transaction_timestamp"),
+    "user_day_usage": ("fact_product_events", "event_date", "event_timestamp"),
+    "feature_sessions": ("fact_product_events", "event_date", "event_timestamp"),
+}
+Days = Mapping[str, Iterable[date | None]]
+
 
 FUNCTIONS: dict[str, Callable[..., DataFrame]] = {
     name: getattr(module, name)
@@ -97,9 +108,13 @@ class Workspace:
             self._frames[name] = function(*[self[p] for p in inputs_of(name)], **extra)
         return self._frames[name]
 
-    def build(self, store: ModelStore, names: Iterable[str] = BUILT, threads: int = 4) -> list[str]:
+    def build(self, store: ModelStore, names: Iterable[str] = BUILT, threads: int = 4,
+              days: Days | None = None) -> list[str]:
         """Materialise models and their ancestors; later models read the tables.
 
+        ``days`` names, per fact, the days whose rows changed since the last build;
+        day tables that are stored already are then refreshed for these days only.
+
         Models of one wave are written by concurrent jobs, so the tail of one
         leaves no executors idle.
         """
@@ -108,9 +123,25 @@ class Workspace:
             for wave in waves(done):
                 tables = [n for n in wave if n not in VIEWS]
                 frames = [self[n] for n in tables]
-                stored = pool.map(store.table, tables, frames)
+                stored = pool.map(lambda n, f: self._store(store, n, f, days), tables, frames)
                 self._frames |= zip(tables, stored, strict=True)
                 for name in wave:
                     if name in VIEWS:
                         store.view(name, self[name])
         return done
+
+    def _store(self, store: ModelStore, name: str, frame: DataFrame, days: Days | None) -> DataFrame:
+        if name not in DAY_TABLES:
+            return store.table(name, frame)
+        fact, day, at = DAY_TABLES[name]
+        if days is None or fact not in days or not store.has(name):
+            return store.table(name, frame, "metric_date", rebalance=True)
+        changed = list(days[fact])
+        if not changed:
+            return store.read(name).select(*frame.columns)
+        known = [d for d in changed if d is not None]
+        wanted = F.col(day).isNull() if None in changed else F.lit(False)
+        if known:  # the range of times lets Parquet skip what lies outside
+            span = (F.col(at) >= F.lit(min(known))) & (F.col(at) < F.lit(max(known) + timedelta(days=1)))
+            wanted = wanted | (span & F.col(day).isin(known))
+        return store.replace_days(name, FUNCTIONS[name](self[fact].where(wanted)), "metric_date", changed)

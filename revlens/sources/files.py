@@ -42,3 +42,8 @@ def drop_old_versions(spark: SparkSession, folder: str, keep: int = KEPT_VERSION
     for name in versions(spark, folder)[:-keep]:
         fs, found = _path(spark, f"{folder}/{name}")
         fs.delete(found, True)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, found = _path(spark, path)
+    fs.delete(found, True)

@@ -1,8 +1,13 @@
 from __future__ import annotations
 
+from collections.abc import Iterable
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession
 
-from revlens.sources.files import drop_old_versions, new_version, versions
+from revlens.sources.files import delete, drop_old_versions, new_version, versions
+
+NO_DAY = "__HIVE_DEFAULT_PARTITION__"  # Spark's folder for a missing partition value
 
 
 class ModelStore:
@@ -41,6 +46,21 @@ class ModelStore:
         drop_old_versions(self.spark, self.path(name))
         return self.spark.read.parquet(f"{self.path(name)}/{version}").select(*frame.columns)
 
+    def has(self, name: str) -> bool:
+        return bool(versions(self.spark, self.path(name)))
+
+    def replace_days(self, name: str, frame: DataFrame, day: str, days: Iterable[date | None]) -> DataFrame:
+        """Swap some days of a table stored by day for the rows of ``frame``; other days' files stay.
+
+        Days are emptied first, so a day without rows ends up empty. A job that dies in
+        between leaves these days incomplete until they are replaced again.
+        """
+        folder = f"{self.path(name)}/{versions(self.spark, self.path(name))[-1]}"
+        for d in days:
+            delete(self.spark, f"{folder}/{day}={NO_DAY if d is None else d.isoformat()}")
+        frame.hint("rebalance", day).write.mode("append").partitionBy(day).parquet(folder)
+        return self.spark.read.schema(frame.schema).parquet(folder).select(*frame.columns)
+
     def read(self, name: str) -> DataFrame:
         """The latest committed version."""
         found = versions(self.spark, self.path(name))

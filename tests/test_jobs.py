@@ -45,6 +45,39 @@ def test_daily_run_reports_once_and_stops_on_a_failed_check(spark, places, tmp_p
     assert reports.read().count() == 1
 
 
+def test_a_daily_run_rewrites_the_days_it_touches_and_equals_a_full_build(spark, tmp_path):
+    root = shared_dir(spark)
+    own = jobs.Places(f"{root}/raw", f"{root}/models", f"{root}/reports")
+    raw = RawStore(spark, own.raw)
+    source = raw_tables(spark, "/root/testdata/sf0.001")
+    for name, rows in source.items():
+        raw.replace(name, rows)
+    jobs.build_models(spark, own, NOW)
+
+    def files():
+        rows = ModelStore(spark, own.models).read("user_day_transactions")
+        found = rows.select("metric_date", F.col("_metadata.file_path").alias("f")).distinct().collect()
+        days = {}
+        for r in found:
+            days.setdefault(r.metric_date, set()).add(r.f)
+        return days
+
+    before, late = files(), date(2024, 1, 3)
+    batch = source["raw_transactions"].where(F.col("batch_date") == F.lit(DAY))
+    moved = batch.withColumn("transaction_timestamp", F.when(
+        F.crc32(F.col("transaction_id").cast("binary")) % 4 == 0, F.lit(late).cast("timestamp")
+    ).otherwise(F.col("transaction_timestamp")))
+    write_raw_csv(moved, f"{tmp_path}/late/raw_transactions.csv")
+    w = jobs.run_daily(spark, own, f"{tmp_path}/late", DAY, NOW)
+    after = files()
+    assert {d for d in before if before[d] != after.get(d)} == {DAY, late}
+    full = Workspace(raw.read_all(), NOW)
+    for name in ("user_day_transactions", "user_day_usage", "daily_transaction_mix", "feature_sessions",
+                 "mart_transaction_health", "mart_plan_performance", "mart_daily_kpis", "mart_anomaly_candidates"):
+        a, b = (x[name].drop("created_at") for x in (w, full))
+        assert sorted(map(repr, a.collect())) == sorted(map(repr, b.collect())), name
+
+
 def test_every_flagged_move_gets_one_report(spark, places):
     raw = raw_tables(spark, "/root/testdata/sf0.001")
     w = Workspace(raw, NOW)
