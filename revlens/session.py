@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -48,13 +50,14 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder below the cluster's checkpoint directory.
 
-    Only a local-mode session without that setting gets a temporary folder; on
-    a cluster executors could not see one another's.
+    Only a local-mode session without that setting gets a temporary folder, which
+    goes when the process ends; on a cluster executors could not see one another's.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         root = tempfile.mkdtemp(prefix="revlens-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/revlens-{uuid.uuid4().hex}"
