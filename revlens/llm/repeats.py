@@ -171,25 +171,37 @@ _CUTS = "doc_id long, tie long, spans array<struct<a:long,b:long>>, n_removed lo
 
 
 def _cutter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    span = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
+    names = ["doc_id", "tie", "spans", "n_removed", "kept"]
     for batch in batches:
-        out = []
-        for doc_id, tie, text, found in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "tie", "text", "found"))):
-            text, spans, kept, at = (text or "").encode(), [], [], 0
-            for x in sorted((f["first"] + r["a"], f["first"] + r["b"] + LENGTH) for f in found for r in f["runs"]):
-                if spans and x[0] <= spans[-1][1]:
-                    spans[-1][1] = max(spans[-1][1], x[1])
-                else:
-                    spans.append(list(x))
-            for a, b in spans:
-                kept.append(text[at:a])
-                at = b
-            kept.append(text[at:])
-            out.append((doc_id, tie, [{"a": a, "b": b} for a, b in spans], sum(b - a for a, b in spans), b"".join(kept)))
-        if out:
-            types = (pa.int64(), pa.int64(), span, pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)],
-                                             ["doc_id", "tie", "spans", "n_removed", "kept"])
+        for x in range(0, batch.num_rows, 256):
+            part = batch.slice(x, 256)
+            found = part.column("found")
+            start, end = (c.to_numpy() for c in found.flatten().flatten())
+            sizes = found.value_lengths().to_numpy()
+            # All spans in order; a span that begins behind all earlier ends of its text opens a new one.
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            order = np.lexsort((start, row))
+            start, end = start[order], end[order]
+            shift = row * (int(end.max(initial=0)) + 1)
+            reach = np.maximum.accumulate(end + shift) - shift
+            first = np.flatnonzero(_openings(row, start, reach))
+            a, b, row = start[first], reach[np.append(first[1:], len(start)) - 1], row[first]
+            spans = np.searchsorted(row, np.arange(len(sizes) + 1))
+            kept = []
+            for i, text in enumerate(part.column("text").to_pylist()):
+                text, own = (text or "").encode(), range(spans[i], spans[i + 1])
+                kept.append(b"".join(text[p:q] for p, q in zip([0, *(b[k] for k in own)], [*(a[k] for k in own), len(text)])))
+            removed = np.bincount(row, weights=b - a, minlength=len(sizes)).astype(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(spans.astype(np.int32)),
+                                             pa.StructArray.from_arrays([pa.array(a), pa.array(b)], ["a", "b"]))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("tie"), lists, pa.array(removed),
+                                              pa.array(kept, pa.binary())], names)
+
+
+def _openings(row: np.ndarray, start: np.ndarray, reach: np.ndarray) -> np.ndarray:
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (start[1:] > reach[:-1])
+    return new
 
 
 def _same(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
@@ -208,19 +220,20 @@ def repeats(docs: DataFrame, contexts: int = CONTEXTS) -> DataFrame:
     """One row per document (doc_id, tie) that loses something: spans [a, b), n_removed, kept (the remaining bytes)."""
     rows = tied(docs, "text").where(F.octet_length("text") >= LENGTH)
     found = rows.mapInArrow(_anchored, _ANCHORS)
-    again = found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    # Stored, so that joins with a very common gram have plain shuffles on both sides and can be split.
+    again = stored(found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"))
     lists = (found.join(again, "gram").groupBy("doc_id", "tie")
              .agg(F.collect_set(F.struct("first", "left", "owned", "gram")).alias("found")))  # bounded by the text
     touched = stored(_same(rows, lists))
 
     members = touched.mapInArrow(_contexts, _CONTEXTS)
     different = stored(members.groupBy("gram", "left", "print", "context").agg(F.count("*").alias("n")))
-    sizes = different.groupBy("gram").agg(F.count("*").alias("k")).where("k > 1")
+    sizes = stored(different.groupBy("gram").agg(F.count("*").alias("k")).where("k > 1"))
     several = different.join(sizes, "gram").select("gram", "left", "print", "context", "k")
     runs = (several.where(F.col("k") <= contexts).drop("k").repartition("gram").sortWithinPartitions("gram")
             .mapInArrow(_sorted_runs, _RUNS))
     strings = stored(several.where(F.col("k") > contexts).mapInArrow(_strings, "string binary, print binary, at int"))
-    common = strings.groupBy("string").agg(F.count("*").alias("n")).where("n > 1").select("string")
+    common = stored(strings.groupBy("string").agg(F.count("*").alias("n")).where("n > 1").select("string"))
     by_string = (strings.join(common, "string").groupBy("print")
                  .agg(F.collect_list(F.struct(F.col("at").alias("a"), F.col("at").alias("b"))).alias("runs")))
     whole = different.where("n > 1").select("print", F.array(F.struct(
@@ -228,7 +241,10 @@ def repeats(docs: DataFrame, contexts: int = CONTEXTS) -> DataFrame:
     marked = stored(runs.unionByName(by_string).unionByName(whole).groupBy("print")
                     .agg(F.flatten(F.collect_list("runs")).alias("runs")))  # bounded by the context's starts
     hits = (members.select("doc_id", "tie", "first", "print").join(marked, "print")
-            .groupBy("doc_id", "tie").agg(F.collect_set(F.struct("first", "runs")).alias("found")))
+            .select("doc_id", "tie", "first", F.explode("runs").alias("run"))
+            .groupBy("doc_id", "tie").agg(F.collect_set(F.struct(
+                (F.col("first") + F.col("run.a")).alias("a"), (F.col("first") + F.col("run.b") + LENGTH).alias("b"))
+            ).alias("found")))
     texts = touched.select("doc_id", "tie", "text").dropDuplicates(["doc_id", "tie"])
     return stored(_same(texts, hits).mapInArrow(_cutter, _CUTS))
 
