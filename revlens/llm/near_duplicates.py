@@ -235,7 +235,7 @@ def _mixed(members: DataFrame, labels: DataFrame | None) -> tuple[DataFrame, Dat
                                        F.count("*").alias("labels"))
              .where("labels > 1").select("band", F.col("top.label").alias("major"), "n",
                                          (F.col("n") - F.col("top.k")).alias("minors")))
-    return labelled, mixed
+    return labelled, stored(mixed)
 
 
 def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -245,7 +245,8 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                                                                   F.first("bands").alias("bands"))
     nodes = stored(signed.withColumn("node", F.monotonically_increasing_id()))
     members = nodes.select("node", F.explode("bands").alias("band"))
-    buckets = members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    # Stored, so that joins with a very common band have plain shuffles on both sides and can be split.
+    buckets = stored(members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"))
     members = stored(members.join(buckets, "band"))
     degrees = members.groupBy("node").agg(F.sum("n").alias("degree"))
     members = stored(members.join(degrees, "node").select("band", "node", "degree"))
@@ -258,7 +259,7 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     for turn in range(HUB_ROUNDS):
         labelled, mixed = _mixed(members, labels)
         first = F.struct((-F.col("degree")) if turn == 0 else F.xxhash64("node", "band", F.lit(turn)), "node", "label")
-        hubs = labelled.join(mixed.select("band"), "band").groupBy("band").agg(F.min(first).alias("hub"))
+        hubs = stored(labelled.join(mixed.select("band"), "band").groupBy("band").agg(F.min(first).alias("hub")))
         pairs = (labelled.join(hubs, "band").where(F.col("label") != F.col("hub.label"))
                  .select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct())
         alike = _alike_pairs(pairs, marks)
