@@ -1,3 +1,59 @@
-"""DuckDB SQL of the subpackage's queries, where SQL can express them."""
+"""DuckDB SQL of the subpackage's queries, where SQL can express them.
 
-ORACLE: dict[str, str] = {}
+Written from the contracts alone. The sharding query finds the smallest capacity by
+greedy passes over all candidates of two nested ranges, and has to spell out CRC-32.
+"""
+
+from __future__ import annotations
+
+OP9_SHARDING = """
+with recursive
+crc_table as (
+  select list(v order by i) as t from (
+    select i, list_reduce([i] || range(8), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as v
+    from (select unnest(range(256)) as i) as n) as x),
+texts as (
+  select text, strlen(text) + 1 as size, count(*) as copies, hex(encode(text)) as digits
+  from (select coalesce(text, '') as text from documents) as d group by text),
+checked as (
+  select text, size, copies, sha256(text) as place, xor(4294967295, list_reduce(
+      [cast(4294967295 as bigint)] || list_transform(range(size - 1), lambda i:
+        cast(concat('0x', substr(digits, cast(2 * i + 1 as int), 2)) as bigint)),
+      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) as text_crc32
+  from texts, crc_table),
+ends as (
+  select text, size, text_crc32, cast(sum(size * copies) over (order by place) as bigint) as finish, size * copies as bytes
+  from checked),
+bounds as (
+  select cast(greatest(max(bytes), ceil(sum(bytes) / 16)) as bigint) as low, cast(max(bytes) as bigint) as width,
+    cast(sum(bytes) as bigint) as total from ends),
+coarse as (
+  select cast(low + (width * i) // 200 as bigint) as capacity, total, 0 as step, cast(0 as bigint) as cut
+  from bounds, (select unnest(range(201)) as i) as n
+  union all
+  select p.capacity, p.total, p.step + 1, coalesce(max(e.finish), p.cut)
+  from coarse p asof left join ends e on p.cut + p.capacity >= e.finish
+  where p.step < 16 group by p.capacity, p.total, p.step, p.cut),
+window_ as (
+  select coalesce((select max(capacity) from coarse where step = 16 and cut < total) + 1, min(low)) as first,
+    (select min(capacity) from coarse where step = 16 and cut = total) as last from bounds),
+fine as (
+  select unnest(range(first, last + 1)) as capacity, total, 0 as step, cast(0 as bigint) as cut from window_, bounds
+  union all
+  select p.capacity, p.total, p.step + 1, coalesce(max(e.finish), p.cut)
+  from fine p asof left join ends e on p.cut + p.capacity >= e.finish
+  where p.step < 16 group by p.capacity, p.total, p.step, p.cut),
+best as (select min(capacity) as capacity from fine where step = 16 and cut = total),
+cuts as (select step, cut from fine join best using (capacity) where step between 1 and 15),
+placed as (
+  select d.doc_id, e.size, e.text_crc32, sha256(e.text) as place,
+    cast((select count(*) from cuts where cut <= e.finish - e.bytes) as integer) as shard
+  from documents d join ends e on coalesce(d.text, '') = e.text)
+select doc_id, size, text_crc32, 'bytes' as law, shard,
+  row_number() over (partition by shard order by place, doc_id) - 1 as slot, cast(null as integer) as grown_shard
+from placed
+"""
+
+ORACLE: dict[str, str] = {
+    "op9_sharding": OP9_SHARDING,
+}

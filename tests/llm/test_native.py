@@ -9,6 +9,9 @@ from collections import Counter, defaultdict
 import pytest
 
 from revlens.llm import mixing, quality_rules, sharding
+from revlens.llm.oracle import ORACLE
+from revlens.llm.queries import QUERIES
+from tests.compare import connect, difference
 from tests.llm.data import documents, plain, texts
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -205,3 +208,9 @@ def test_mixed_documents_repeat_rows(spark):
         sums[i, s, len(WORD.findall(t or ""))] += k
     assert sums == +want
     assert mixing.mixed_documents(docs).columns == docs.columns
+
+
+@pytest.mark.parametrize("key", list(ORACLE))
+def test_query_agrees_with_sql(spark, key):
+    folder = "/root/testdata/sf0.01"
+    assert difference(spark, connect(folder), QUERIES[key], ORACLE[key], folder) is None
