@@ -1,11 +1,14 @@
 """DuckDB SQL of the subpackage's queries, where SQL can express them.
 
 Written from the contracts alone. The sharding query finds the smallest capacity by
-greedy passes over all candidates of two nested ranges, and has to spell out CRC-32.
+greedy passes over all candidates of two nested ranges, and has to spell out CRC-32; the
+rules' accuracies come from a recursion over the counts of vote patterns.
 """
 
 from __future__ import annotations
 
+from revlens.llm.quality_rules import STOP_WORDS
+
 OP9_SHARDING = """
 with recursive
 crc_table as (
@@ -54,6 +57,77 @@ select doc_id, size, text_crc32, 'bytes' as law, shard,
 from placed
 """
 
+_STOP = ", ".join(f"'{w}'" for w in dict.fromkeys(STOP_WORDS.split()))
+_BLANK = r"\x20\x09-\x0D"
+_VOTES = {
+    "v0": ("n_words >= 80", "n_words < 20"),
+    "v1": ("n_words > 0 and word_chars between 3 * n_words and 10 * n_words",
+           "word_chars < 2 * n_words or word_chars > 14 * n_words"),
+    "v2": ("50 * n_symbols <= n_words", "8 * n_symbols > n_words"),
+    "v3": ("n_lines > 1 and 10 * n_dup_lines <= n_lines", "3 * n_dup_lines > n_lines"),
+    "v4": ("10 * n_repeat_words <= n_words", "4 * n_repeat_words > n_words"),
+    "v5": ("n_stop >= 3", "n_words >= 20 and n_stop = 0"),
+    "v6": ("n_lines > 0 and 2 * n_ended >= n_lines", "n_lines > 0 and n_ended = 0"),
+    "v7": ("word_chars > 0 and 10 * n_upper <= word_chars", "3 * n_upper > word_chars"),
+}
+_POSTERIOR = "1 / (1 + exp(-(ln(share / (1 - share))" + "".join(
+    f" + case {v} when 1 then ln(g[{j}] / (1 - b[{j}])) when -1 then ln((1 - g[{j}]) / b[{j}]) else 0 end"
+    for j, v in enumerate(_VOTES, 1)) + ")))"
+
+
+def _accuracies(weight: str, right: int, start: float) -> str:
+    return "[" + ", ".join(
+        f"least(0.998, greatest(0.002, (coalesce(sum({weight}) filter ({v} = {right}), 0) + {start}) / "
+        f"(coalesce(sum({weight}) filter ({v} <> 0), 0) + 1)))" for v in _VOTES) + "]"
+
+
+# Every turn of the recursion is one round of expectation-maximisation over the vote patterns.
+OP2_QUALITY_RULES = rf"""
+with recursive
+texts as (select row_number() over () as id, doc_id, coalesce(text, '') as text from documents),
+parts as (
+  select id, doc_id, text, regexp_extract_all(text, '[^{_BLANK}]+') as words,
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^{_BLANK}]')) as lines from texts),
+words as (select id, unnest(words) as w, unnest(range(len(words))) as spot from parts),
+triples as (
+  select id, spot, w, lead(w) over s as w2, lead(w, 2) over s as w3 from words window s as (partition by id order by spot)),
+often as (select id, spot, count(*) over (partition by id, w, w2, w3) as n from triples where w3 is not null),
+repeats as (
+  select id, count(distinct place) as n_repeat_words
+  from (select id, unnest([spot, spot + 1, spot + 2]) as place from often where n > 1) as r group by id),
+counts as (
+  select id, doc_id, len(words) as n_words,
+    cast(coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) as bigint) as word_chars,
+    length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) as n_symbols,
+    len(lines) - len(list_distinct(lines)) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words,
+    len(lines) as n_lines,
+    len(list_filter(lines, lambda x: regexp_matches(x, '[.!?:;"''’”»)\]…]\s*$'))) as n_ended,
+    len(regexp_extract_all(text, '\p{{Lu}}')) as n_upper, len(list_intersect(list_distinct(words), [{_STOP}])) as n_stop
+  from parts left join repeats using (id)),
+voted as (
+  select *, {", ".join(f"case when {bad} then -1 when {good} then 1 else 0 end as {v}" for v, (good, bad) in _VOTES.items())}
+  from counts),
+patterns as (select {", ".join(_VOTES)}, cast(count(*) as double) as n from voted group by all),
+em as (
+  select 0 as turn, cast(0.8 as double) as share, cast({[0.9] * 8} as double[]) as g, cast({[0.3] * 8} as double[]) as b,
+    cast(1 as double) as moved
+  union all
+  select turn + 1, new_share, new_g, new_b, greatest(abs(new_share - share),
+    {", ".join(f"abs(new_g[{j}] - g[{j}]), abs(new_b[{j}] - b[{j}])" for j in range(1, 9))})
+  from (
+    select turn, share, g, b, (sum(good) + 1) / (sum(n) + 2) as new_share,
+      {_accuracies("good", 1, 0.9)} as new_g, {_accuracies("bad", -1, 0.3)} as new_b
+    from (select *, n * post as good, n - n * post as bad
+          from (select *, {_POSTERIOR} as post from em, patterns where turn < 60 and moved >= 1e-6) as q) as r
+    group by turn, share, g, b) as t),
+fitted as (select share, g, b from em order by turn desc limit 1)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
+  not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and {_POSTERIOR} >= 0.5 as kept
+from voted, fitted
+"""
+
 ORACLE: dict[str, str] = {
+    "op2_quality_rules": OP2_QUALITY_RULES,
     "op9_sharding": OP9_SHARDING,
 }
