@@ -48,7 +48,7 @@ from revlens.llm.tables import stored
 WORDS = 5
 SIMILARITY = 0.8
 ROWS, BANDS = 6, 40
-SLOTS = ROWS * BANDS
+SLOTS = 480  # the first ROWS x BANDS make the bands, all together the estimate
 LEAST = SIMILARITY - 4.5 * float(np.sqrt(SIMILARITY * (1 - SIMILARITY) / SLOTS))
 BLOCK = 512  # members of a bucket compared at once
 HUB_ROUNDS = 3
