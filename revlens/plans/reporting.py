@@ -66,7 +66,8 @@ def mart_churn(subscription_days: DataFrame) -> DataFrame:
 
 
 def mart_transaction_health(user_day_transactions: DataFrame) -> DataFrame:
-    """Rolled up from the user days, so that the fact is not scanned again."""
+    """Rolled up from the user days, so that the fact is not scanned again; rows are
+    counted, as ids are declared not null."""
     failed, total = F.sum("failed_transactions"), F.sum("total_transactions")
     return user_day_transactions.groupBy("metric_date").agg(
         total.alias("total_transactions"),
@@ -79,7 +80,10 @@ def mart_transaction_health(user_day_transactions: DataFrame) -> DataFrame:
 
 
 def mart_user_transaction_activity(user_day_transactions: DataFrame, dim_users: DataFrame) -> DataFrame:
-    """Known users' active days: aggregate first, then attach user attributes."""
+    """Known users' active days: aggregate first, then attach user attributes.
+
+    Transactions are counted as rows; their ids are declared not null and checked so.
+    """
     users = dim_users.select("user_id", "role", "user_status", "device_preference", "onboarding_completed")
     return user_day_transactions.where("metric_date is not null").join(users, "user_id").select(
         "user_id", "role", "user_status", "device_preference", "onboarding_completed", "metric_date",
