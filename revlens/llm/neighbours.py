@@ -69,9 +69,9 @@ class Tree:
         diff = self.x[rows] - q
         return np.sqrt((diff * diff).sum(1) + (self.lift[rows] - lift) ** 2)
 
-    def search(self, q: np.ndarray, q_ids: np.ndarray, ids: np.ndarray, k: int, factor: float) -> tuple:
-        """For every query the places and scores of its k best rows, as far as found (place -1: none)."""
-        n, own_ids = len(q), ids[self.order]
+    def search(self, q: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
+        """For every query the scores and places of its k best rows, as far as found (place -1: none)."""
+        n = len(q)
         best, place = np.full((n, k), -np.inf), np.full((n, k), -1)
         size = (q * q).sum(1)
         reach = np.full(n, np.inf)
@@ -82,7 +82,6 @@ class Tree:
         def visit(node: int, who: np.ndarray, first: bool) -> None:
             a, b = self.nodes[node][:2]
             score = q[who] @ self.in_order[a:b].T
-            score[own_ids[a:b][None, :] == q_ids[who][:, None]] = -np.inf
             if first:  # only a bound; the row is met again
                 if score.shape[1] >= k:
                     kth = -np.partition(-score, k - 1, axis=1)[:, k - 1]
@@ -97,7 +96,7 @@ class Tree:
             reach[who[found]] = np.minimum(reach[who[found]], distance(low[found, None], who[found])[:, 0])
 
         for first in (True, False):  # down to the nearest leaf for a first bound, then the whole search
-            todo = [(0, np.arange(n))] if len(ids) else []
+            todo = [(0, np.arange(n))] if len(self.x) else []
             while todo:
                 node, who = todo.pop()
                 if not len(who):
@@ -133,20 +132,27 @@ def _searcher(k: int, factor: float, leaf: int) -> Callable[[tuple, pd.DataFrame
         if len(rows) and len(queries):
             rows = rows.sort_values("vec_id", kind="stable")
             queries = queries.sort_values("query_id", kind="stable")
-            ids, x = rows.vec_id.to_numpy(), _matrix(rows.v)
+            # Equal vectors are one row of the tree, which stands for their ids in rising order.
+            x, group = np.unique(_matrix(rows.v), axis=0, return_inverse=True)
+            ids = rows.vec_id.to_numpy()[np.argsort(group.ravel(), kind="stable")]
+            ends = np.cumsum(np.bincount(group.ravel(), minlength=len(x)))
+            starts = np.append(0, ends[:-1])
             tree = Tree(x, leaf)
             q_ids, q = queries.query_id.to_numpy(), _matrix(queries.v)
             for a in range(0, len(q), 256):
-                # More than k, since equal scores at the border are put in order by id below.
-                _, place = tree.search(q[a:a + 256], q_ids[a:a + 256], ids, min(k + 8, len(x) + 1), factor)
+                # One more for the query's own row, some more for scores that rounding may turn round.
+                _, place = tree.search(q[a:a + 256], min(k + 8, len(x)), factor)
                 for i, places in enumerate(place, a):
                     at = tree.order[places[places >= 0]]
-                    at = at[ids[at] != q_ids[i]]
                     exact = (x[at] * q[i]).sum(1)
-                    top = np.lexsort((ids[at], -exact))[:k]
+                    # k ids and the query's own are all that a row can give.
+                    found = [ids[starts[j]:min(ends[j], starts[j] + k + 1)] for j in at]
+                    score, own = np.repeat(exact, [len(f) for f in found]), np.concatenate([ids[:0], *found])
+                    score, own = score[own != q_ids[i]], own[own != q_ids[i]]
+                    top = np.lexsort((own, -score))[:k]
                     out["query_id"].append(np.full(len(top), q_ids[i]))
-                    out["vec_id"].append(ids[at][top])
-                    out["score"].append(exact[top])
+                    out["vec_id"].append(own[top])
+                    out["score"].append(score[top])
         return pd.DataFrame({c: np.concatenate(p) if p else np.zeros(0, np.float64 if c == "score" else np.int64)
                              for c, p in out.items()})
     return run

@@ -126,7 +126,7 @@ def brute_nearest(ids, x, asked, k):
 def test_factor_one_is_exact(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(700, 8)) * rng.uniform(0.1, 4, size=(700, 1))
-    x[50:90] = x[50]  # ties
+    x[50:90], x[300:600] = x[50], x[300]  # ties, more than are asked for
     rows = spark.createDataFrame([(i, v.tolist(), "z") for i, v in enumerate(x)], "vec_id long, embedding array<double>, v string")
     asked = rows.where("vec_id % 20 = 0")
     got = neighbours.nearest(rows, asked, 10, 1.0, shard_rows=150, block_queries=9, leaf=8).collect()
