@@ -15,10 +15,10 @@ Jaccard. Points are drawn in order of time only until no later one can win.
 *Bands.* Texts that agree in all ``ROWS`` slots of one of ``BANDS`` bands share a bucket.
 At similarity 0.8 a pair misses all of them with probability 5e-6.
 
-*Links.* Pairs are never all formed. In a few rounds every member of a bucket is compared
+*Links.* Pairs are never all formed. In two rounds every member of a bucket is compared
 with one hub of the bucket, first with the member that shares most buckets with others (the
-middle of a group of copies), then with members drawn by hash; only buckets that still
-hold several components go on. A group of copies, however large, is settled so by a few
+middle of a group of copies), then with one drawn by hash; only buckets that still hold
+several components go on. A group of copies, however large, is settled so by a few
 comparisons per member. What still holds several components is worked off in blocks:
 whoever does not belong to a bucket's largest component is compared with all members of
 the other components, so no candidate pair that could join two components is left out. A
@@ -51,7 +51,7 @@ ROWS, BANDS = 6, 40
 SLOTS = 480  # the first ROWS x BANDS make the bands, all together the estimate
 LEAST = SIMILARITY - 4.5 * float(np.sqrt(SIMILARITY * (1 - SIMILARITY) / SLOTS))
 BLOCK = 512  # members of a bucket compared at once
-HUB_ROUNDS = 3
+HUB_ROUNDS = 2
 
 _U = np.uint64
 _STEPS = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F]
@@ -263,8 +263,6 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         pairs = (labelled.join(hubs, "band").where(F.col("label") != F.col("hub.label"))
                  .select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct())
         alike = _alike_pairs(pairs, marks)
-        if tried is not None:
-            alike = stored(alike.join(tried, ["a", "b"], "left_anti"))
         found = _verified(alike, texts)
         tried = alike if tried is None else tried.union(alike)
         edges = found if edges is None else edges.union(found)
