@@ -1,7 +1,7 @@
 """A training corpus from ``documents``: five stages, each an operator of ``revlens.llm``.
 
 Every stage gets (spark, docs, sf_dir), where ``docs`` is all that its predecessor kept,
-and returns the columns of ``docs``; the last one returns packed pieces.
+and returns the columns of ``docs``; the last one returns packed pieces with their ids.
 
 Defined results: null and empty texts pass the classifier as its bias says, are cut
 nowhere, cost the mix nothing and are packed as their end id; an empty table gives no
@@ -46,10 +46,10 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token ids in sequences of 1024."""
+    """Pieces of token ids in sequences of 1024; ``packing.sequences`` joins them."""
     import public_tokenizers
 
-    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=True)
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]

@@ -6,7 +6,8 @@ bundle is packed on its own by the differencing method of Karmarkar and Karp: ev
 piece starts as a partition of its own, and the two partitions with the largest spread
 between their windows are merged so that the full windows of one meet the empty ones of
 the other, until one is left. If its fullest window exceeds the capacity, the number of
-windows rises and the bundle is packed again.
+windows rises and the bundle is packed again. Ids travel with their documents, coded as
+the vocabulary allows, and lengths and checksums are those of the ids that come out.
 
 Defined results: a null text counts as an empty one and is its end id alone; null
 doc_ids are documents like any other; repeated rows are packed each for itself; an
@@ -16,7 +17,6 @@ empty table gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 import heapq
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -33,7 +33,8 @@ BUNDLE = 768  # documents whose rests are packed together
 END_ID = 0
 _LOCAL = 1 << 32  # sequences of a bundle are numbered from bundle x _LOCAL
 
-PIECES = ("doc_id long, tie long, start long, length long, ids_crc32 long, doc_tokens long, number long, ids binary")
+_CODED = "doc_id long, tie long, doc_tokens long, ids binary"
+_PIECES = "doc_id string, start long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
 def cut(n: int, capacity: int = CAPACITY, piece: int = PIECE) -> list[int]:
@@ -87,44 +88,47 @@ def pack(sizes: list[int], capacity: int = CAPACITY) -> list[list[int]]:
         windows += 1
 
 
-def _cutter(path: str, end_id: int, capacity: int, piece: int,
-            with_ids: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    names = [c.split()[0] for c in PIECES.split(", ")]
-    types = [pa.int64()] * 7 + [pa.binary()]
+def _coder(path: str, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    names = [c.split()[0] for c in _CODED.split(", ")]
 
     def run(batches):
         encode = encoder(path)
         end = end_id.to_bytes(encode.width, "little")
         for batch in batches:
             for first in range(0, batch.num_rows, 256):  # a few texts at a time as Python strings
-                part, out = batch.slice(first, 256), []
-                for key, tie, text in zip(*(part.column(c).to_pylist() for c in ("doc_id", "tie", "text"))):
-                    ids, start = numbers(encode.ids(text) + end, encode.width).tobytes(), 0
-                    for number, length in enumerate(cut(len(ids) // 4, capacity, piece)):
-                        own = ids[4 * start:4 * (start + length)]
-                        out.append((key, tie, start, length, zlib.crc32(own), len(ids) // 4, number,
-                                    own if with_ids else None))
-                        start += length
-                columns = zip(*out) if out else [()] * len(names)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
+                part = batch.slice(first, 256)
+                ids = [encode.ids(text) + end for text in part.column("text").to_pylist()]
+                sizes = pa.array([len(x) // encode.width for x in ids], pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), part.column("tie"), sizes, pa.array(ids, pa.binary())], names)
     return run
 
 
-def _packer(capacity: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+def _packer(capacity: int, piece: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def bundle(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["tie", "doc_id", "number"], kind="stable", ignore_index=True)
-        sizes = rows.length.tolist()
+        rows = rows.sort_values(["tie", "doc_id"], kind="stable", ignore_index=True)
+        cuts = [cut(n, capacity, piece) for n in rows.doc_tokens.tolist()]
+        sizes = [s for c in cuts for s in c]
         whole = [i for i, s in enumerate(sizes) if s == capacity]
         rest = [i for i, s in enumerate(sizes) if s < capacity]
         sequences = [[i] for i in whole] + [[rest[i] for i in w] for w in pack([sizes[i] for i in rest], capacity)]
-        sequence, offset = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
+        sequence, offset = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
         for number, places in enumerate(sequences):
             at = 0
             for i in places:
                 sequence[i], offset[i] = number, at
                 at += sizes[i]
-        rows["sequence_id"], rows["offset"] = rows.bundle * _LOCAL + sequence, offset
-        return rows.drop(columns=["bundle"])
+        start, ids = [], []
+        for coded, n, lengths in zip(rows.ids, rows.doc_tokens.tolist(), cuts):
+            own, at = numbers(coded, len(coded) // n).tobytes(), 0
+            for length in lengths:
+                start.append(at)
+                ids.append(own[4 * at:4 * (at + length)])
+                at += length
+        of = np.repeat(np.arange(len(rows)), [len(c) for c in cuts])
+        return pd.DataFrame({"doc_id": rows.doc_id.to_numpy()[of], "start": start,
+                             "doc_tokens": rows.doc_tokens.to_numpy()[of],
+                             "sequence_id": rows.bundle.iloc[0] * _LOCAL + sequence, "offset": offset, "ids": ids})
     return bundle
 
 
@@ -132,21 +136,19 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capaci
                    piece: int = PIECE, bundle: int = BUNDLE, with_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids if wanted.
 
-    Texts are encoded where they are read. Without ``with_ids`` only the pieces' lengths
-    and checksums are shuffled.
+    Texts are encoded where they are read, and their ids are shuffled to the bundles.
+    ``ids`` has four bytes per id, little-endian; the length and the checksum are taken from it.
     """
     bundles = max(1, -(-docs.count() // bundle))
     texts = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text", "doc_id").alias("tie"), "text")
-    pieces = texts.mapInArrow(_cutter(tokenizer, end_id, capacity, piece, with_ids), PIECES)
-    if not with_ids:
-        pieces = pieces.drop("ids")
     # A null among integers would turn pandas' column into floats; text keeps every id.
-    pieces = (pieces.withColumn("bundle", F.pmod(F.xxhash64("tie"), F.lit(bundles)))
-              .withColumn("doc_id", F.col("doc_id").cast("string")))
-    zero = F.lit(0).cast("long")
-    schema = pieces.drop("bundle").withColumns({"sequence_id": zero, "offset": zero}).schema
-    packed = pieces.groupBy("bundle").applyInPandas(_packer(capacity), schema).drop("tie", "number")
-    return packed.withColumn("doc_id", F.col("doc_id").cast("long"))
+    coded = (texts.mapInArrow(_coder(tokenizer, end_id), _CODED)
+             .withColumn("bundle", F.pmod(F.xxhash64("tie"), F.lit(bundles)))
+             .withColumn("doc_id", F.col("doc_id").cast("string")))
+    packed = coded.groupBy("bundle").applyInPandas(_packer(capacity, piece), _PIECES)
+    return packed.select(
+        F.col("doc_id").cast("long"), "start", F.shiftright(F.octet_length("ids"), 2).cast("long").alias("length"),
+        F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", *(["ids"] if with_ids else []))
 
 
 def sequences(packed: DataFrame, capacity: int = CAPACITY, pad_id: int = END_ID) -> DataFrame:

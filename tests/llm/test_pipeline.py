@@ -119,6 +119,21 @@ def test_every_id_of_the_mix_is_packed_once(stages):
         assert at <= 1024
 
 
+def test_the_mix_can_be_rebuilt_from_the_packed_ids(stages):
+    want = Counter((i, x.tobytes()) for i, x in encoded(triples(stages[2][4]), FILES[1], 0))
+    pieces = defaultdict(lambda: defaultdict(Counter))
+    for r in stages[2][5].collect():
+        assert len(r.ids) == 4 * r.length
+        pieces[r.doc_id, r.doc_tokens][r.start][bytes(r.ids)] += 1
+    own = Counter((i, len(x) // 4) for i, x in want)
+    for (i, x), n in want.items():
+        found = pieces[i, len(x) // 4]
+        if own[i, len(x) // 4] > 1:  # different texts of one doc_id and length
+            continue
+        assert all(len(c) == 1 and set(c.values()) == {n} for c in found.values())
+        assert b"".join(next(iter(found[at])) for at in sorted(found)) == x
+
+
 def test_run_gives_the_rows_of_its_stages(spark, stages):
     folder, _, frames = stages
     assert plain(corpus_pipeline.run(spark, folder).collect()) == plain(frames[-1].collect())
