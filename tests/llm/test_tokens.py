@@ -10,6 +10,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from revlens.llm import packing, records, tokens
+from revlens.llm.queries import QUERIES
 from revlens.session import shared_dir
 from tests.llm.data import documents, plain, prose, texts
 
@@ -120,3 +121,28 @@ def test_packing_holds_every_id_once(spark):
     whole = packing.sequences(packed).collect()
     assert all(len(r.ids) == 1024 for r in whole) and sum(r.n_tokens for r in whole) == tokens_in
     assert packing.pack_documents(docs.where("false"), path).collect() == []
+
+
+def test_lengths_and_checksums_are_those_of_the_packed_ids(spark, monkeypatch):
+    folder, packer = shared_dir(spark), packing._packer
+    documents(spark).write.parquet(f"{folder}/documents.parquet")
+
+    def losing(*args):
+        bundle = packer(*args)
+
+        def run(rows):
+            out = bundle(rows)
+            out["ids"] = [x[4:] for x in out.ids]
+            return out
+        return run
+
+    right = {(r.doc_id, r.doc_tokens, r.start): r for r in QUERIES["op10_packing"](spark, folder).collect()}
+    monkeypatch.setattr(packing, "_packer", losing)
+    wrong = QUERIES["op10_packing"](spark, folder).collect()
+    by = {(i, len(x)): x for i, x in encoded(texts(), FILES[1], 0)}
+    assert {(r.doc_id, r.doc_tokens, r.start) for r in wrong} == set(right)
+    for r in wrong:
+        before = right[r.doc_id, r.doc_tokens, r.start]
+        own = by[r.doc_id, r.doc_tokens][r.start:r.start + before.length]
+        assert before.ids_crc32 == zlib.crc32(own.tobytes())
+        assert (r.length, r.ids_crc32) == (len(own) - 1, zlib.crc32(own[1:].tobytes()))
