@@ -261,17 +261,22 @@ def cut_digest(docs: DataFrame) -> DataFrame:
         F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha", "sha").alias("kept_sha256"))
 
 
+def _decoder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Kept bytes as text, without the bytes of broken characters."""
+    for batch in batches:
+        for x in range(0, batch.num_rows, 256):
+            part = batch.slice(x, 256)
+            text = [kept.decode(errors="ignore") for kept in part.column("kept").to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("tie"), pa.array(text, pa.string())],
+                                             ["doc_id", "tie", "own"])
+
+
 def without_repeats(docs: DataFrame) -> DataFrame:
     """The documents with the kept text; bytes of characters that were cut in two are dropped."""
     names = docs.columns
-    cuts = repeats(docs).select("doc_id", "tie", "kept")
+    cuts = repeats(docs).select("doc_id", "tie", "kept").mapInArrow(_decoder, "doc_id long, tie long, own string")
     # The row travels as one column, so that its names meet none of these.
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("tie"), F.struct("*").alias("doc"))
-    text = F.when(F.col("kept").isNull(), F.col("doc.text")).otherwise(_decoded(F.col("kept")))
+    text = F.when(F.col("own").isNull(), F.col("doc.text")).otherwise(F.col("own"))
     joined = _same(rows, cuts, "left").select("doc", text.alias("text"))
     return joined.select(*(F.col("text") if c == "text" else F.col("doc").getField(c).alias(c) for c in names))
-
-
-def _decoded(kept: Column) -> Column:
-    """Bytes as text, without the odd bytes of broken characters."""
-    return F.regexp_replace(F.make_valid_utf8(kept.cast("string")), "�", "")

@@ -81,6 +81,14 @@ def test_kept_texts(spark):
     assert repeats.cut_digest(docs.where("false")).collect() == []
 
 
+def test_kept_texts_keep_replacement_characters(spark):
+    s = prose(33, 60)
+    rows = [(320, "a\ufffdb " + s + " c\ufffd", "a"), (321, "q" + s + "\ufffd", "a"),
+            (322, "é" + "z" * 199, "a"), (323, "\ufffdĩ" + "z" * 199, "a")]  # letters that share their second byte
+    by = {r.doc_id: r.text for r in repeats.without_repeats(documents(spark, rows)).collect()}
+    assert by == {320: "a\ufffdb  c\ufffd", 321: "q\ufffd", 322: "", 323: "\ufffd"}
+
+
 def brute_classes(rows):
     bags = []
     for _, t, _ in rows:
