@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from revlens.llm.tables import WORD, numbered, stored
+from revlens.llm.tables import WORD, numbered, salted, stored
 
 MOST = 3.0  # a target is at most so many times its source's size
 WEIGHTS = 3
@@ -139,11 +139,14 @@ def mix(rows: DataFrame, block: int = BLOCK, seed: int = SEED) -> DataFrame:
     ``tie`` is a hash of the row that orders and deals it, so that reruns agree.
     """
     blocks = F.ceil(F.col("documents") / block)
+    # Rows that repeat more often than a part of a block go on to the next blocks.
+    rows = salted(rows, ["number", "doc_id", "tie"], max(1, block // 4))
     kind = dict(rows.dtypes)["doc_id"]
     # A null among integers would turn pandas' column into floats; text keeps every id.
     rows = rows.withColumn("doc_id", F.col("doc_id").cast("string"))
     open_ = (rows.withColumn("whole", F.floor("x").cast("long")).withColumn("p", F.col("x") - F.floor("x"))
-             .withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "tie", "doc_id"), blocks)))
+             .withColumn("block", F.pmod(F.pmod(F.xxhash64(F.lit(seed), "tie", "doc_id"), blocks) + F.col("salt"), blocks))
+             .drop("salt"))
     most = rows.agg(F.max("documents")).first()[0] or 0
     left, level, done = -(-most // block), 0, None
     while True:

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from revlens.llm.tables import salted
 from revlens.llm.tokens import encoder, numbers
 
 CAPACITY = 1024
@@ -33,7 +34,7 @@ BUNDLE = 768  # documents whose rests are packed together
 END_ID = 0
 _LOCAL = 1 << 32  # sequences of a bundle are numbered from bundle x _LOCAL
 
-_CODED = "doc_id long, tie long, doc_tokens long, ids binary"
+_CODED = "doc_id long, tie long, salt long, doc_tokens long, ids binary"
 _PIECES = "doc_id string, start long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
@@ -100,7 +101,7 @@ def _coder(path: str, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Itera
                 ids = [encode.ids(text) + end for text in part.column("text").to_pylist()]
                 sizes = pa.array([len(x) // encode.width for x in ids], pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("tie"), sizes, pa.array(ids, pa.binary())], names)
+                    [*(part.column(c) for c in names[:3]), sizes, pa.array(ids, pa.binary())], names)
     return run
 
 
@@ -142,8 +143,9 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capaci
     bundles = max(1, -(-docs.count() // bundle))
     texts = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text", "doc_id").alias("tie"), "text")
     # A null among integers would turn pandas' column into floats; text keeps every id.
-    coded = (texts.mapInArrow(_coder(tokenizer, end_id), _CODED)
-             .withColumn("bundle", F.pmod(F.xxhash64("tie"), F.lit(bundles)))
+    # Rows that repeat more often than a part of a bundle go on to the next bundles.
+    coded = (salted(texts, ["doc_id", "tie"], max(1, bundle // 4)).mapInArrow(_coder(tokenizer, end_id), _CODED)
+             .withColumn("bundle", F.pmod(F.pmod(F.xxhash64("tie"), F.lit(bundles)) + F.col("salt"), F.lit(bundles)))
              .withColumn("doc_id", F.col("doc_id").cast("string")))
     packed = coded.groupBy("bundle").applyInPandas(_packer(capacity, piece), _PIECES)
     return packed.select(

@@ -54,3 +54,21 @@ def numbered(df: DataFrame, order: list[Column], size: str | None = None) -> Dat
         within = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
         out.append((F.col("_sum") + F.sum(amount).over(within)).alias("end"))
     return joined.select(*out)
+
+
+def salted(df: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """``df`` with ``salt``: 0, but from 1 on another one for every ``most`` rows of the keys with more rows.
+
+    Rows with equal keys must be equal: which of them gets which salt is drawn, how many
+    get it follows from the data. The draw spreads a key's rows over tasks.
+    """
+    often = stored(df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > most)
+                   .select(*(F.col(k).alias(f"_{k}") for k in keys)))
+    zero = F.lit(0).cast("long")
+    if often.isEmpty():
+        return df.withColumn("salt", zero)
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    many = df.join(often, same, "left_semi").withColumn("_any", F.rand(0))
+    lined = numbered(many, [*(F.col(k) for k in keys), F.col("_any")])
+    lined = lined.withColumn("salt", F.floor(F.col("row") / most).cast("long") + 1).drop("_any", "row")
+    return df.join(often, same, "left_anti").withColumn("salt", zero).unionByName(lined)

@@ -197,6 +197,24 @@ def test_rounding_is_unbiased_and_near_the_target():
     assert all(abs(hits[i] / 4000 - 0.4) < 0.04 for i in range(len(sizes)))
 
 
+def test_repeated_rows_spread_over_blocks(spark, monkeypatch):
+    rows = texts() + [(None, "the same", "a")] * 150 + [(900, "one two three", "a")] * 50
+    rounder = mixing._rounder
+
+    def bounded(*args):
+        block = rounder(*args)
+
+        def run(frame):
+            assert len(frame) <= 4 * 8
+            return block(frame)
+        return run
+
+    monkeypatch.setattr(mixing, "_rounder", bounded)
+    got = mixing.mix_documents(documents(spark, rows), block=8).collect()
+    again = mixing.mix_documents(documents(spark, rows[::-1]), block=8).collect()
+    assert len(got) == len(rows) and plain(got) == plain(again)
+
+
 def test_mixed_documents_repeat_rows(spark):
     docs = documents(spark)
     got = Counter((r.doc_id, r.source, r.text) for r in mixing.mixed_documents(docs).collect())

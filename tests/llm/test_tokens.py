@@ -2,7 +2,7 @@
 
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -146,3 +146,13 @@ def test_lengths_and_checksums_are_those_of_the_packed_ids(spark, monkeypatch):
         own = by[r.doc_id, r.doc_tokens][r.start:r.start + before.length]
         assert before.ids_crc32 == zlib.crc32(own.tobytes())
         assert (r.length, r.ids_crc32) == (len(own) - 1, zlib.crc32(own[1:].tobytes()))
+
+
+def test_repeated_rows_spread_over_bundles(spark):
+    rows = texts() + [(None, "the same", "a")] * 150 + [(900, "again", "b")] * 50
+    packed = packing.pack_documents(documents(spark, rows), public_tokenizers.path(FILES[1]), bundle=8).collect()
+    heads = [r for r in packed if r.start == 0]
+    want = Counter((i, len(x), zlib.crc32(x[:r].tobytes())) for i, x in encoded(rows, FILES[1], 0)
+                   for r in [packing.cut(len(x))[0]])
+    assert Counter((r.doc_id, r.doc_tokens, r.ids_crc32) for r in heads) == want
+    assert max(Counter(r.sequence_id >> 32 for r in heads).values()) <= 4 * 8
