@@ -127,7 +127,93 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 from voted, fitted
 """
 
+OP11_EXACT_DEDUP = """
+select doc_id, max(doc_id) over same as keep_id, count(*) over same as group_size,
+  doc_id = max(doc_id) over same as kept, sha256(coalesce(text, '')) as text_sha256
+from documents
+window same as (partition by coalesce(text, ''))
+"""
+
+# Counts of all phrases of up to five words; words hold no blank, so phrases are joined by one.
+OP12_PHRASES = """
+with pieces as (
+  select coalesce(lang, 'und') as lang, row_number() over () as piece,
+    list_filter(string_split_regex(part, '[ \\t]+'), lambda x: x <> '') as w
+  from (select lang, unnest(string_split_regex(
+          translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) as part
+        from documents where text is not null) as t),
+starts as (select lang, w, unnest(range(1, len(w) + 1)) as i from pieces),
+grams as (
+  select lang, array_to_string(w[i:i + m - 1], ' ') as phrase, m, count(*) as n
+  from starts, (select unnest(range(1, 6)) as m) as sizes
+  where i + m - 1 <= len(w)
+  group by all),
+totals as (select lang, sum(n)::bigint as n from grams where m = 1 group by lang),
+often as (select lang, phrase, m, n as a, string_split(phrase, ' ') as w from grams where n >= 100),
+cuts as (
+  select lang, phrase, m, a, k, array_to_string(w[1:k], ' ') as first, array_to_string(w[k + 1:], ' ') as rest
+  from (select *, unnest(range(1, m)) as k from often where m > 1) as t),
+scored as (
+  select c.lang, c.phrase, c.m, c.a, c.k, x.a as l, y.a as r, t.n,
+    (1000::hugeint * c.a * t.n // (x.a::hugeint * y.a))::bigint as score
+  from cuts as c
+  join often as x on x.lang = c.lang and x.phrase = c.first
+  join often as y on y.lang = c.lang and y.phrase = c.rest
+  join totals as t on t.lang = c.lang),
+lowest as (
+  select * from scored qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+inside as (
+  select distinct lang, array_to_string(w[i:i + p - 1], ' ') as phrase, p, a as longer
+  from (select *, unnest(range(1, m - p + 2)) as i
+        from (select *, unnest(range(2, m)) as p from often where m > 2) as t) as u)
+select lang, (row_number() over (partition by lang order by score desc, a desc, phrase))::integer as rank,
+  phrase, a, l, r, n, score
+from lowest as c
+where not exists (select 1 from inside as i where i.lang = c.lang and i.phrase = c.phrase and 100 * i.longer >= 100 * c.a)
+qualify rank <= 2000
+"""
+
+
+def _op13_clusters(clusters: int = 40, rounds: int = 5) -> str:
+    """Every round is a pair of tables: each vector's nearest centroid, and the centroids it gives."""
+    near = """
+near{t} as (
+  select vec_id, row, min(struct_pack(distance := d, cluster := c)) as best
+  from (select k.vec_id, k.row, c.cluster as c, list_sum(list_transform(range(1, 65),
+          lambda i: (k.v[i] - c.v[i]) * (k.v[i] - c.v[i])))::bigint as d
+        from kept as k, centroids{t} as c) as t
+  group by vec_id, row)"""
+    mean = """
+centroids{u} as (
+  select cluster, coalesce(m.v, c.v) as v from centroids{t} as c left join (
+    select cluster, list(floor_sum order by i) as v
+    from (select n.best.cluster as cluster, i,
+            ((sum(k.v[i]) - ((sum(k.v[i]) % count(*) + count(*)) % count(*))) // count(*))::bigint as floor_sum
+          from kept as k join near{t} as n on n.row = k.row, (select unnest(range(1, 65)) as i) as places
+          group by all) as s
+    group by cluster) as m using (cluster))"""
+    steps = [near.format(t=0)]
+    for t in range(rounds):
+        steps += [mean.format(t=t, u=t + 1), near.format(t=t + 1)]
+    return f"""
+with kept as materialized (
+  select vec_id, row_number() over () as row, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v
+  from embeddings
+  where len(embedding) = 64 and len(list_filter(embedding, lambda x: isfinite(x))) = 64),
+centroids0 as (
+  select (row_number() over (order by sha256('2:' || vec_id), v) - 1)::integer as cluster, v
+  from kept qualify cluster < {clusters}),{",".join(s.replace(" as (", " as materialized (", 1) for s in steps)}
+select vec_id, best.cluster as cluster, best.distance as distance,
+  (sum(best.distance) over (partition by best.cluster))::bigint as cluster_inertia,
+  (sum(best.distance) over ())::bigint as inertia, sha256(array_to_string(c.v, ',')) as centroid_sha256
+from near{rounds} as n join centroids{rounds} as c on c.cluster = n.best.cluster
+"""
+
+
 ORACLE: dict[str, str] = {
     "op2_quality_rules": OP2_QUALITY_RULES,
     "op9_sharding": OP9_SHARDING,
+    "op11_exact_dedup": OP11_EXACT_DEDUP,
+    "op12_phrases": OP12_PHRASES,
+    "op13_clusters": _op13_clusters(),
 }

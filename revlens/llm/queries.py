@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revlens.llm import (mixing, near_duplicates, neighbours, packing, quality_model, quality_rules, records, repeats,
-                         sharding, url_filter)
+from revlens.llm import (centroids, mixing, near_duplicates, neighbours, packing, phrases, quality_model, quality_rules,
+                         records, repeats, sharding, stream_dedup, url_filter)
 from revlens.session import shared_dir
 
 
@@ -74,7 +74,21 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stream_dedup.decisions(spark, f"{sf_dir}/documents.parquet").select(
+        "doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
+def op13_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_report(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_mixing, op2_quality_rules, op3_quality_model, op4_neighbours, op5_suffix_repeats,
-                              op6_records, op7_near_duplicates, op8_url_filter, op9_sharding, op10_packing)
+                              op6_records, op7_near_duplicates, op8_url_filter, op9_sharding, op10_packing,
+                              op11_exact_dedup, op12_phrases, op13_clusters)
 }
