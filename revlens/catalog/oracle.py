@@ -460,6 +460,14 @@ _SOURCES = {
     "scan_raw_table": "select * from raw_product_events",
     "load_append": "select * from raw_users",
     "load_replace": "select * from raw_users",
+    "load_stopped": """
+        select batch_date, count(*) as transactions, count(transaction_amount) as amounts,
+          cast(sum(transaction_amount) as double) as volume
+        from raw_transactions group by batch_date""",
+    "load_with_rejects": """
+        select transaction_id, case lower(transaction_status) when 'failed' then 'transaction_amount'
+          when 'refunded' then 'batch_date' else 'loaded' end as reason
+        from raw_transactions""",
     "load_daily_batch": f"""
         select * replace (cast(transaction_amount + if(batch_date = {BATCH}, 1, 0) as double) as transaction_amount)
         from raw_transactions""",

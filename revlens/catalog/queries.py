@@ -22,7 +22,7 @@ from revlens.plans import anomaly, core, evidence, jobs, quality, reporting, ser
 from revlens.plans.models import MODELS, Now, Workspace
 from revlens.session import prepare, shared_dir
 from revlens.sources.model_store import ModelStore
-from revlens.sources.raw_store import RawStore, read_raw_csv, write_batch_once, write_raw_csv
+from revlens.sources.raw_store import BatchError, RawStore, read_raw_csv, write_batch_once, write_raw_csv
 from revlens.sources.report_store import ReportStore
 from revlens.sources.schemas import DAILY_TABLES, RAW_TABLES
 from revlens.sources.testtables import AS_OF, RUN_TS, raw_tables
@@ -145,6 +145,47 @@ def load_daily_batch(spark, folder):
     return store.read("raw_transactions")
 
 
+def _failing(load: Callable[[], object]) -> None:
+    try:
+        load()
+    except BatchError:
+        return
+    raise AssertionError("a batch with broken values was loaded")
+
+
+@on_session
+def load_stopped(spark, folder):
+    """A daily batch and a backfill with a broken amount each stop, and the table is what it was."""
+    store, rows = RawStore(spark, shared_dir(spark)), raw_tables(spark, folder)["raw_transactions"]
+    store.replace("raw_transactions", rows)
+    text = rows.select(*[F.col(c).cast("string").alias(c) for c in rows.columns]).withColumn(
+        "transaction_amount", F.when(F.lower("transaction_status") == "failed", "n/a").otherwise(F.col("transaction_amount")))
+    daily, backfill = shared_dir(spark), shared_dir(spark)
+    write_raw_csv(text.where(F.col("batch_date") == F.lit(BATCH).cast("string")), f"{daily}/raw_transactions.csv")
+    write_raw_csv(text, f"{backfill}/raw_transactions.csv")
+    _failing(lambda: store.load_daily(daily, BATCH))
+    _failing(lambda: store.load_backfill(backfill))
+    return store.read("raw_transactions").groupBy("batch_date").agg(
+        F.count(F.lit(1)).alias("transactions"), F.count("transaction_amount").alias("amounts"),
+        F.sum("transaction_amount").alias("volume"))
+
+
+@on_session
+def load_with_rejects(spark, folder):
+    """Below the bound, rows with broken values are set aside with their reasons and the others load."""
+    store, rows = RawStore(spark, shared_dir(spark), max_reject_share=0.9), raw_tables(spark, folder)["raw_transactions"]
+    text = rows.select(*[F.col(c).cast("string").alias(c) for c in rows.columns]).withColumns({
+        "transaction_amount": F.when(F.lower("transaction_status") == "failed", "n/a").otherwise(F.col("transaction_amount")),
+        "batch_date": F.when(F.lower("transaction_status") == "refunded", "someday").otherwise(F.col("batch_date"))})
+    path = shared_dir(spark)
+    write_raw_csv(text, f"{path}/raw_transactions.csv")
+    store.load_backfill(path)
+    rejected = store.rejects("raw_transactions")
+    first = F.split("record", ",")[0]
+    return rejected.select(first.alias("transaction_id"), "reason").unionByName(
+        store.read("raw_transactions").select("transaction_id", F.lit("loaded").alias("reason")))
+
+
 @on_session
 def write_batch_once_(spark, folder):
     path, accounts = shared_dir(spark), raw_tables(spark, folder)["raw_accounts"]
@@ -174,7 +215,7 @@ def materialize_view(spark, folder):
 def materialize_table(spark, folder):
     w = lazy(spark, folder)
     return ModelStore(spark, shared_dir(spark)).table(
-        "fact_transactions", w["fact_transactions"], "transaction_date", rebalance=True)
+        "fact_transactions", w["fact_transactions"], "transaction_date")
 
 
 @on_session

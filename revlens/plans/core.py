@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
 from datetime import date
 
 from pyspark.sql import Column, DataFrame
@@ -186,12 +187,18 @@ def subscription_bounds(stg_subscriptions: DataFrame) -> DataFrame:
         F.when(any_open, F.max(_latest_date())).otherwise(F.max(F.when(exists, cancelled))).alias("last"))
 
 
-def fact_subs_by_day(stg_subscriptions: DataFrame) -> DataFrame:
-    """Subscription x day. Narrow: no join and no shuffle of the expanded rows."""
+def fact_subs_by_day(stg_subscriptions: DataFrame, only: Collection[date] | None = None) -> DataFrame:
+    """Subscription x day, of some days ``only`` if they are given. Narrow: no join and
+    no shuffle of the expanded rows."""
     day = F.col("metric_date")
     started, cancelled = F.to_date("started_at"), F.to_date("cancelled_at")
-    end = last_spine_day(stg_subscriptions)
-    alive = each_day(stg_subscriptions, started, F.coalesce(cancelled, end))
+    first, last = started, F.coalesce(cancelled, last_spine_day(stg_subscriptions))
+    if only is not None:
+        first, last = F.greatest(started, F.lit(min(only))), F.least(last, F.lit(max(only)))
+        stg_subscriptions = stg_subscriptions.where(started.isNotNull())
+    alive = each_day(stg_subscriptions, first, last)
+    if only is not None:
+        alive = alive.where(day.isin(sorted(only)))
     paying = F.col("subscription_status").isin(*PAYING_STATUSES)
     return alive.select(
         "metric_date", "subscription_id", "account_id", "plan_id", "monthly_price",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from revlens.functions.columns import clamp, flag, ratio, sum_where, zero
 from revlens.operators.calendar import all_bounds, fill_days, on_every_day
 from revlens.operators.reshape import stack_days
+from revlens.operators.sweep import open_intervals
 from revlens.plans.core import PLANS, last_spine_day, subscription_bounds, subscription_lifespans
 
 # Feature categories counted per day, roles counted per feature.
@@ -207,21 +208,16 @@ def plan_day_activity(account_day_activity: DataFrame, stg_subscriptions: DataFr
     events n times for it, its users once. Activity of an account without an
     active subscription that day belongs to no plan.
 
-    Active days are met as intervals: only days with activity are produced, and the
-    rows dealt by account for the join are grouped in place.
+    Subscriptions are swept as +/- counts along the account's active days, so only days
+    with activity are produced, once for each plan of the account.
     """
     measures = ("total_transactions", "completed_transactions", "failed_transactions", "events", "failed_events",
                 "completed_volume", "active_users", "onboarded_users")
-    paid = subscription_lifespans(stg_subscriptions).where("is_paying").select(
-        "account_id", "plan_id", "first_day", "cancelled_day")
-    day, gone = F.col("metric_date"), F.col("cancelled_day")
-    alive = (day >= F.col("first_day")) & (gone.isNull() | (day < gone))
+    paid = subscription_lifespans(stg_subscriptions).where("is_paying")
+    active = account_day_activity.where(F.col("metric_date") <= last_spine_day(stg_subscriptions))
     n = F.col("n_active")
-    held = (
-        account_day_activity.where(day <= last_spine_day(stg_subscriptions)).join(paid, "account_id").where(alive)
-        .groupBy("account_id", "metric_date", "plan_id")
-        .agg(F.count(F.lit(1)).alias("n_active"), *[F.max(c).alias(c) for c in measures])  # all alike within a group
-    )
+    held = open_intervals(active.select("account_id", "metric_date", *measures), paid, "account_id", "plan_id",
+                          "metric_date", "first_day", "cancelled_day", "n_active")
     return held.groupBy("metric_date", "plan_id").agg(
         *[F.sum(F.col(c) * n).alias(c) for c in measures[:5]],
         F.sum(F.col("completed_volume") * n.cast("decimal(9,0)")).cast(MONEY).alias("completed_volume"),

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from datetime import date
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from revlens.operators.latest import latest_per_key
+from revlens.sources.day_table import on_days
 from revlens.sources.schemas import raw_schema
 
 
@@ -63,12 +67,39 @@ def stg_transactions(raw_transactions: DataFrame) -> DataFrame:
               "failure_reason refund_reason"))
 
 
-def stg_subscriptions(raw_subscriptions: DataFrame) -> DataFrame:
-    """Latest version per subscription. Equal update times are broken by the
-    later batch, then the later cancellation, so the choice is repeatable."""
-    typed = raw_subscriptions.select(
+def _versions(raw_subscriptions: DataFrame) -> DataFrame:
+    return raw_subscriptions.select(
         *_clean(raw_subscriptions, "raw_subscriptions",
                 lower="plan_id billing_period subscription_status cancel_reason payment_method"),
         F.col("batch_date").try_cast("date").alias("batch_date"))
+
+
+def _latest(versions: DataFrame) -> DataFrame:
     newest_first = [F.desc_nulls_last(c) for c in ("updated_at", "batch_date", "cancelled_at")]
-    return latest_per_key(typed, "subscription_id", newest_first).drop("batch_date")
+    return latest_per_key(versions, "subscription_id", newest_first)
+
+
+def latest_subscriptions(raw_subscriptions: DataFrame) -> DataFrame:
+    """Latest version per subscription. Equal update times are broken by the
+    later batch, then the later cancellation, so the choice is repeatable."""
+    return _latest(_versions(raw_subscriptions))
+
+
+def merged_subscriptions(state: DataFrame, raw_subscriptions: DataFrame, batches: Iterable[date | None]) -> DataFrame:
+    """``latest_subscriptions`` from its stored rows and the batches that were loaded since.
+
+    The batches' rows compete with the stored ones. Stored rows that came from one of these
+    batches may be gone from it, so their subscriptions alone are looked up in all versions.
+    """
+    batches = list(batches)
+    kept = on_days(state, "batch_date", batches)
+    stale = kept.select("subscription_id").distinct()
+    fresh = _versions(on_days(raw_subscriptions, "batch_date", batches))
+    parts = state.join(stale, "subscription_id", "left_anti").unionByName(fresh)
+    if not stale.isEmpty():
+        parts = parts.unionByName(_versions(raw_subscriptions.join(stale, "subscription_id", "left_semi")))
+    return _latest(parts)
+
+
+def stg_subscriptions(latest_subscriptions: DataFrame) -> DataFrame:
+    return latest_subscriptions.drop("batch_date")

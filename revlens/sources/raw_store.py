@@ -1,7 +1,9 @@
-"""Raw tables: CSV batches in, Parquet partitioned by ``batch_date`` out."""
+"""Raw tables: CSV batches in, Parquet by ``batch_date`` out, published once audited."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -9,16 +11,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
-from revlens.sources.files import drop_old_versions, exists, is_complete, new_version, versions
+from revlens.sources.day_table import DayTable, Staged
+from revlens.sources.files import exists, is_complete
 from revlens.sources.schemas import DAILY_TABLES, RAW_TABLES, raw_schema
 
 # How batches are written and read: quotes are doubled inside quoted text, which may
-# hold commas and line breaks; blanks at the ends of a value belong to it. A file with
-# line breaks in values is read by one task, so large exports come as folders of parts.
+# hold commas and line breaks; blanks at the ends of a value belong to it. A file whose
+# values hold line breaks is read by one task, so large ones come as folders of parts.
 CSV = {"header": True, "quote": '"', "escape": '"', "multiLine": True,
        "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
+LOADS_AT_ONCE = 4
+_BROKEN = "_broken_record"
+_MALFORMED, _STRAY = "malformed record", "date of another batch"
+_REJECT = "load string, file string, reason string, record string"
+
+
 class BatchError(ValueError):
     """A batch that does not fit its table: columns, values or dates."""
 
@@ -27,11 +36,18 @@ def write_raw_csv(rows: DataFrame, path: str) -> None:
     rows.write.options(**CSV).csv(path)
 
 
-def read_text_csv(spark: SparkSession, path: str, table: str) -> DataFrame | None:
+def spans_lines(spark: SparkSession, path: str) -> bool:
+    """Whether a quoted value may run over a line end: then some line has an odd number of quotes."""
+    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+
+
+def read_text_csv(spark: SparkSession, path: str, table: str, broken: bool = False) -> DataFrame | None:
     """A raw CSV file (or folder of parts) as text, columns by the names in its header.
 
     None when it is absent or has no header. Unknown and missing columns are errors,
-    and so are parts whose header differs from the first one's.
+    and so are parts whose header differs from the first one's. With ``broken`` a further
+    column holds the records that have too few or too many values.
     """
     if not exists(spark, path):
         return None
@@ -47,8 +63,11 @@ def read_text_csv(spark: SparkSession, path: str, table: str) -> DataFrame | Non
     missing, unknown = sorted(set(wanted) - set(names)), sorted(set(names) - set(wanted))
     if missing or unknown:
         raise BatchError(f"{path}: columns missing {missing}, unknown {unknown}")
-    text = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    return spark.read.schema(text).options(**CSV, enforceSchema=False).csv(path).select(*wanted)
+    text = T.StructType([T.StructField(n, T.StringType()) for n in [*names, *([_BROKEN] if broken else [])]])
+    # Only a file whose values run over line ends has to be read by one task.
+    options = {**CSV, "multiLine": spans_lines(spark, path)}
+    rows = spark.read.schema(text).options(**options, enforceSchema=False, columnNameOfCorruptRecord=_BROKEN).csv(path)
+    return rows.select(*wanted, *([_BROKEN] if broken else []))
 
 
 def converted(text: DataFrame, table: str) -> DataFrame:
@@ -56,10 +75,24 @@ def converted(text: DataFrame, table: str) -> DataFrame:
     return text.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in raw_schema(table)])
 
 
-def unreadable(table: str) -> list[Column]:
-    """Per typed column, how many values are there but do not parse."""
-    return [F.count_if((F.trim(f.name) != "") & F.col(f.name).try_cast(f.dataType).isNull()).alias(f.name)
-            for f in raw_schema(table) if not isinstance(f.dataType, T.StringType)]
+def _typed(table: str) -> list[T.StructField]:
+    return [f for f in raw_schema(table) if not isinstance(f.dataType, T.StringType)]
+
+
+def _problem_names(table: str) -> list[str]:
+    return [_MALFORMED, _STRAY, *[f.name for f in _typed(table)]]
+
+
+def _problems(table: str, batch_date: date | None) -> Column:
+    """What keeps a row of text out of the table: the columns whose value is there but does not parse,
+    another date than the batch's, a malformed record."""
+    unreadable = [F.when((F.trim(f.name) != "") & F.col(f.name).try_cast(f.dataType).isNull(), f.name)
+                  for f in _typed(table)]
+    malformed = F.when(F.col(_BROKEN).isNotNull(), _MALFORMED)
+    if batch_date is not None:
+        own = F.col("batch_date").try_cast("date").eqNullSafe(F.lit(batch_date))
+        unreadable.append(F.when(~own, _STRAY))
+    return F.array_compact(F.array(malformed, *unreadable))
 
 
 def read_raw_csv(spark: SparkSession, path: str, table: str) -> DataFrame | None:
@@ -67,31 +100,34 @@ def read_raw_csv(spark: SparkSession, path: str, table: str) -> DataFrame | None
 
     Columns are read as text and converted by name, so the file is never scanned
     to guess types and a value that does not parse becomes NULL. Loads into a store
-    count such values and fail on them.
+    count the rows with such values and set them aside or stop.
     """
     text = read_text_csv(spark, path, table)
     return None if text is None else converted(text, table)
 
 
 class RawStore:
-    """The six raw tables below one folder."""
+    """The six raw tables below one folder.
+
+    Every load is staged, audited and only then published (``DayTable``): one that fails
+    leaves all tables as they were. Rows that cannot be taken in - malformed records, values
+    that do not parse, another date than the batch's - go to the table's rejects with reason
+    and record. A load whose share of them is above ``max_reject_share`` stops; by default
+    a single one stops it.
+    """
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, max_reject_share: float = 0.0):
+        self.spark, self.root, self.max_reject_share = spark, root.rstrip("/"), max_reject_share
 
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
 
-    def current(self, table: str) -> str | None:
-        """Folder of the table's latest committed version."""
-        found = versions(self.spark, self.path(table))
-        return f"{self.path(table)}/{found[-1]}" if found else None
+    def table(self, table: str) -> DayTable:
+        return DayTable(self.spark, self.path(table), "batch_date")
 
     def read(self, table: str) -> DataFrame:
-        schema, folder = raw_schema(table), self.current(table)
-        if folder is None:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(folder).select(*schema.names)
+        stored = self.table(table)
+        return stored.read() if stored.exists() else self.spark.createDataFrame([], raw_schema(table))
 
     def read_all(self) -> dict[str, DataFrame]:
         return {t: self.read(t) for t in RAW_TABLES}
@@ -100,71 +136,93 @@ class RawStore:
         """Only the key columns of the current state, to link a new batch to."""
         return self.read(table).select(*columns)
 
-    def _write(self, folder: str, rows: DataFrame, mode: str) -> None:
-        (rows.hint("rebalance", "batch_date").write.mode(mode)
-         .option("partitionOverwriteMode", "static")
-         .partitionBy("batch_date").parquet(folder))
+    def rejects(self, table: str) -> DataFrame:
+        """What loads did not take in, of stopped loads as well: load, file, reason, record."""
+        path = f"{self.path(table)}_rejects"
+        if not exists(self.spark, path):
+            return self.spark.createDataFrame([], _REJECT)
+        return self.spark.read.schema(_REJECT).parquet(path)
 
     def append(self, table: str, rows: DataFrame) -> None:
-        self._write(self.current(table) or f"{self.path(table)}/{new_version()}", rows, "append")
+        stored = self.table(table)
+        stored.publish_more(stored.stage(rows))
 
     def replace(self, table: str, rows: DataFrame) -> None:
-        """All rows anew, as a version that readers see once it is complete."""
-        self._write(f"{self.path(table)}/{new_version()}", rows, "error")
-        drop_old_versions(self.spark, self.path(table))
+        """All rows anew."""
+        stored = self.table(table)
+        stored.publish_all(stored.stage(rows))
 
     def replace_batch(self, table: str, rows: DataFrame, batch_date: date) -> None:
-        """Swap the rows of one batch date for those of ``rows``.
+        """Swap the rows of one batch date for those of ``rows``, none included.
 
-        Writing the partition's own folder also works for an empty batch, which
-        a dynamic partition overwrite would leave untouched. Rows stamped with
-        another date (or none) are an error: appending them would add them again
-        on every rerun.
+        Rows stamped with another date (or none) are an error: appending them would
+        add them again on every rerun.
         """
-        is_today = F.col("batch_date") == F.lit(batch_date)
-        if not rows.where(~F.coalesce(is_today, F.lit(False))).isEmpty():
+        seen, stored = Observation(), self.table(table)
+        stray = F.count_if(~F.col("batch_date").eqNullSafe(F.lit(batch_date))).alias("stray")
+        staged = stored.stage(rows.observe(seen, stray))
+        if staged.days and seen.get["stray"]:
+            stored.discard(staged)
             raise BatchError(f"{table}: rows of another date than {batch_date} in its batch")
-        if self.current(table) is None:
-            self.replace(table, self.read(table))
-        today = rows.where(is_today).drop("batch_date")
-        today.write.mode("overwrite").parquet(f"{self.current(table)}/batch_date={batch_date.isoformat()}")
-
-    def _load(self, table: str, text: DataFrame, write) -> None:
-        """Write converted rows; values that did not parse are counted on the way and are an error."""
-        seen = Observation()
-        write(converted(text.observe(seen, *unreadable(table)), table))
-        bad = {column: n for column, n in seen.get.items() if n}
-        if bad:
-            raise BatchError(f"{table}: values that do not parse, by column {bad}; load a mended batch")
+        stored.publish_days(staged, [batch_date])
+
+    def _stage_text(self, table: str, text: DataFrame, batch_date: date | None) -> Staged:
+        """Stage the rows of a file that can be taken in; the audit stops the load or sets the others aside."""
+        stored, seen = self.table(table), Observation()
+        marked = text.withColumn("_problems", _problems(table, batch_date))
+        counts = [F.count(F.lit(1)).alias("rows"), F.count_if(F.size("_problems") > 0).alias("bad"),
+                  *[F.count_if(F.array_contains("_problems", p)).alias(p) for p in _problem_names(table)]]
+        good = converted(marked.observe(seen, *counts).where(F.size("_problems") == 0), table)
+        staged = stored.stage(good)
+        # Spark may skip an observation where nothing was left to write.
+        found = seen.get if staged.days else marked.agg(*counts).first().asDict()
+        if not found["bad"]:
+            return staged
+        self._set_aside(table, marked, staged.load)
+        if found["bad"] > self.max_reject_share * found["rows"]:
+            stored.discard(staged)
+            why = {p: found[p] for p in _problem_names(table) if found[p]}
+            stray = f"rows of another date than {batch_date} in its batch; " if why.get(_STRAY) else ""
+            raise BatchError(f"{table}: {stray}{found['bad']} of {found['rows']} rows cannot be taken in, by column {why}; "
+                             "load a mended batch")
+        return staged
+
+    def _set_aside(self, table: str, marked: DataFrame, load: str) -> None:
+        columns = [F.coalesce(F.col(c), F.lit("")) for c in raw_schema(table).names]
+        record = F.coalesce(F.col(_BROKEN), F.to_csv(F.struct(*columns)))
+        marked.where(F.size("_problems") > 0).select(
+            F.lit(load).alias("load"), F.col("_metadata.file_path").alias("file"),
+            F.array_join("_problems", ", ").alias("reason"), record.alias("record"),
+        ).write.mode("append").parquet(f"{self.path(table)}_rejects")
+
+    def _load(self, texts: dict[str, DataFrame], publish: Callable[[DayTable, Staged], None],
+              batch_date: date | None = None) -> list[str]:
+        """Stage and audit all tables at once, and publish when the last has passed."""
+        with ThreadPoolExecutor(LOADS_AT_ONCE) as pool:
+            runs = {t: pool.submit(self._stage_text, t, text, batch_date) for t, text in texts.items()}
+        failed = [run.exception() for run in runs.values() if run.exception()]
+        for table, run in runs.items():
+            if not failed:
+                publish(self.table(table), run.result())
+            elif not run.exception():
+                self.table(table).discard(run.result())
+        if failed:
+            raise failed[0]
+        return list(texts)
 
     def load_backfill(self, folder: str) -> list[str]:
         """Load ``raw_<table>.csv`` of every table; a missing or empty file is
         skipped. The table is replaced, so a repeated backfill adds nothing."""
-        loaded = []
-        for table in RAW_TABLES:
-            text = read_text_csv(self.spark, f"{folder}/{table}.csv", table)
-            if text is not None and not text.isEmpty():
-                self._load(table, text, lambda rows, t=table: self.replace(t, rows))
-                loaded.append(table)
-        return loaded
+        texts = {t: read_text_csv(self.spark, f"{folder}/{t}.csv", t, broken=True) for t in RAW_TABLES}
+        texts = {t: text for t, text in texts.items() if text is not None and not text.isEmpty()}
+        return self._load(texts, lambda stored, staged: stored.publish_all(staged))
 
     def load_daily(self, folder: str, batch_date: date) -> list[str]:
         """Load one day's files again and again with the same outcome. A file
         with only a header empties the batch, a missing file changes nothing."""
-        loaded = []
-        for table in DAILY_TABLES:
-            text = read_text_csv(self.spark, f"{folder}/{table}.csv", table)
-            if text is None:
-                continue
-            stray = F.col("batch_date").try_cast("date").eqNullSafe(F.lit(batch_date))
-            if not text.where(~stray).isEmpty():
-                raise BatchError(f"{table}: rows of another date than {batch_date} in its batch")
-            if self.current(table) is None:
-                self.replace(table, self.read(table))
-            target = f"{self.current(table)}/batch_date={batch_date.isoformat()}"
-            self._load(table, text, lambda rows, to=target: rows.drop("batch_date").write.mode("overwrite").parquet(to))
-            loaded.append(table)
-        return loaded
+        texts = {t: read_text_csv(self.spark, f"{folder}/{t}.csv", t, broken=True) for t in DAILY_TABLES}
+        texts = {t: text for t, text in texts.items() if text is not None}
+        return self._load(texts, lambda stored, staged: stored.publish_days(staged, [batch_date]), batch_date)
 
 
 def write_batch_once(rows: DataFrame, path: str) -> None:

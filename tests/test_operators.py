@@ -1,4 +1,4 @@
-from datetime import date
+from datetime import date, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -120,3 +120,26 @@ def test_dashboard_filters(spark):
     assert serving.dashboard_filter(df, days[0], days[1]).count() == 8
     assert serving.dashboard_filter(df, start=days[0]).count() == 12
     assert serving.dashboard_filter(df, categories=["revenue"], flags_only=True).count() == 2
+
+
+def test_sweep_equals_pairing(spark):
+    import random
+    from revlens.operators.sweep import open_intervals
+    r = random.Random(3)
+    day = lambda n: date(2024, 1, 1) + timedelta(days=n)
+    entities, groups = ["a", "b", "c", None], ["x", "y", None]
+    points = [(r.choice(entities), day(r.randrange(20)), i) for i in range(120)]
+    spans = []
+    for _ in range(60):
+        first = r.randrange(20)
+        spans.append((r.choice(entities), r.choice(groups), day(first), r.choice([None, day(first + r.randrange(0, 6))])))
+    got = open_intervals(spark.createDataFrame(points, "e string, day date, v long"),
+                         spark.createDataFrame(spans, "e string, g string, first date, gone date"),
+                         "e", "g", "day", "first", "gone", "n")
+    want = []
+    for e, d, v in points:
+        for g in groups:
+            n = sum(1 for f, h, a, z in spans if e is not None and f == e and h == g and a <= d and (z is None or d < z))
+            want += [(e, d, v, g, n)] if n else []
+    assert sorted(map(repr, (tuple(x) for x in got.collect()))) == sorted(map(repr, want))
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from revlens.operators import ids
 from revlens.session import shared_dir
 from revlens.sources.model_store import ModelStore
+from revlens.sources import files
+from revlens.sources.day_table import DayTable
 from revlens.sources.files import versions
 from revlens.sources.raw_store import BatchError, RawStore, read_raw_csv, write_batch_once
 from revlens.sources.report_store import SCHEMA, ReportStore
@@ -111,6 +113,125 @@ def test_values_that_do_not_parse_stop_a_load(store, tmp_path):
     assert [a for _, a, _ in loaded(store)] == ["5.00", "5.00"]
 
 
+def snapshot(store):
+    return store.table("raw_transactions").snapshot().number
+
+
+def test_a_broken_batch_changes_nothing(store, tmp_path):
+    csv(tmp_path / "good", "raw_transactions", line("t1", D1), line("t2", D2))
+    store.load_backfill(str(tmp_path / "good"))
+    before, number = loaded(store), snapshot(store)
+    csv(tmp_path / "bad", "raw_transactions", line("t8", D1), line("t9", D1, "five"))
+    for load in (lambda: store.load_daily(str(tmp_path / "bad"), D1), lambda: store.load_backfill(str(tmp_path / "bad"))):
+        with pytest.raises(BatchError):
+            load()
+        assert loaded(store) == before and snapshot(store) == number
+    folders = [n for n in files.names(store.spark, store.path("raw_transactions")) if n.startswith("load=")]
+    assert len(folders) == 1  # what was staged is gone
+    assert {(r.reason, r.record.split(",")[0]) for r in store.rejects("raw_transactions").collect()} == {("transaction_amount", "t9")}
+
+
+def test_one_broken_table_keeps_the_others_back(store, tmp_path):
+    csv(tmp_path, "raw_transactions", line("t1", D1))
+    csv(tmp_path, "raw_users", "u1,a1,Ann,Lee,,owner,active,,,maybe,2024-01-01,,,2024-01-01",
+        header=",".join(raw_schema("raw_users").names))
+    for load in (lambda: store.load_daily(str(tmp_path), D1), lambda: store.load_backfill(str(tmp_path))):
+        with pytest.raises(BatchError, match="onboarding_completed"):
+            load()
+    assert loaded(store) == [] and store.read("raw_users").count() == 0
+
+
+def test_rejects_below_the_bound(spark, tmp_path):
+    store = RawStore(spark, shared_dir(spark), max_reject_share=0.5)
+    csv(tmp_path, "raw_transactions", line("t1", D1), line("t2", D1), line("t3", D1), line("t4", D1, "five"),
+        line("t5", D2), "t6,u1,too short")
+    store.load_daily(str(tmp_path), D1)
+    assert [t for t, _, _ in loaded(store)] == ["t1", "t2", "t3"]
+    found = {r.record.split(",")[0]: r.reason for r in store.rejects("raw_transactions").collect()}
+    assert found.keys() == {"t4", "t5", "t6"} and found["t4"] == "transaction_amount"
+    assert found["t5"] == "date of another batch" and "malformed record" in found["t6"]
+    assert store.rejects("raw_users").count() == 0
+    csv(tmp_path, "raw_transactions", line("t7", D1), line("t8", D1, "x"), line("t9", D1, "y"))
+    with pytest.raises(BatchError, match="2 of 3 rows"):
+        store.load_daily(str(tmp_path), D1)
+    assert [t for t, _, _ in loaded(store)] == ["t1", "t2", "t3"]
+
+
+def test_files_without_line_breaks_in_values_are_split(spark, tmp_path):
+    from revlens.sources.raw_store import read_text_csv, spans_lines
+    csv(tmp_path, "raw_transactions", *[line(f"t{i:05d}", D1) for i in range(3000)])
+    csv(tmp_path, "raw_users", 'u1,a1,"two\nlines",Lee,,owner,active,,,True,2024-01-01,,,2024-01-01',
+        header=",".join(raw_schema("raw_users").names))
+    assert not spans_lines(spark, f"{tmp_path}/raw_transactions.csv") and spans_lines(spark, f"{tmp_path}/raw_users.csv")
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        assert read_text_csv(spark, f"{tmp_path}/raw_transactions.csv", "raw_transactions").rdd.getNumPartitions() > 3
+        assert read_text_csv(spark, f"{tmp_path}/raw_transactions.csv", "raw_transactions").count() == 3000
+        assert read_text_csv(spark, f"{tmp_path}/raw_users.csv", "raw_users").first().first_name == "two\nlines"
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
+def day_rows(spark, *rows):
+    return spark.createDataFrame(rows, "id long, day date")
+
+
+def held(table):
+    return sorted((r.id, r.day) for r in table.read().collect())
+
+
+def test_days_are_published_by_pointer(spark):
+    table = DayTable(spark, shared_dir(spark), "day")
+    table.publish_all(table.stage(day_rows(spark, (1, D1), (2, D2), (3, None))))
+    first = table.read()
+    staged = table.stage(day_rows(spark, (4, D2)))
+    assert held(table) == held(DayTable(spark, table.folder)) and len(held(table)) == 3  # staged rows do not count
+    table.publish_days(staged, [D2, None])
+    assert [r[0] for r in sorted(held(table))] == [1, 4]
+    assert first.count() == 3  # readers of the last snapshot go on
+    assert table.changed_days(1) == {D2, None} and table.changed_days(7) is None
+    with pytest.raises(ValueError, match="other days"):
+        table.publish_days(table.stage(day_rows(spark, (5, D1))), [D2])
+    table.publish_more(table.stage(day_rows(spark, (6, D1))))
+    assert [r[0] for r in held(table)] == [1, 4, 6]
+    table.publish_days(table.stage(day_rows(spark)), [D1, D2])
+    assert held(table) == []
+    table.publish_all(table.stage(day_rows(spark)))
+    table.publish_all(table.stage(day_rows(spark)))
+    loads = [n for n in files.names(spark, table.folder) if n.startswith("load=")]
+    assert loads == []  # what no kept snapshot names is deleted
+
+
+def test_publishers_at_once_lose_nothing(spark):
+    from concurrent.futures import ThreadPoolExecutor
+    table = DayTable(spark, shared_dir(spark), "day")
+    staged = [table.stage(day_rows(spark, (i, date(2024, 1, i)))) for i in range(1, 9)]
+    with ThreadPoolExecutor(8) as pool:
+        list(pool.map(lambda s: DayTable(spark, table.folder, "day").publish_more(s), staged))
+    assert [r[0] for r in held(table)] == list(range(1, 9)) and table.snapshot().number == 8
+
+
+def test_loads_of_dead_jobs_are_cleaned(spark):
+    table = DayTable(spark, shared_dir(spark), "day")
+    table.publish_all(table.stage(day_rows(spark, (1, D1))))
+    lost = table.stage(day_rows(spark, (2, D1)))
+    assert table.clean() == [] and table.clean(older_than=0) == [lost.load]
+    assert held(table) == [(1, D1)]
+
+
+def test_a_file_is_created_once(spark):
+    folder = shared_dir(spark)
+    assert files.create_once(spark, f"{folder}/x", "a") and not files.create_once(spark, f"{folder}/x", "b")
+    assert files.read_text(spark, f"{folder}/x") == "a"
+    assert [n for n in files.names(spark, folder) if "draft" in n] == []
+    files.create_once(spark, f"{folder}/y", "c")
+    with pytest.raises(FileExistsError):
+        files.rename_new(spark, f"{folder}/y", f"{folder}/x")
+    files.rename_new(spark, f"{folder}/y", f"{folder}/z")
+    assert files.read_text(spark, f"{folder}/z") == "c"
+
+
 def test_what_a_dead_job_left_is_written_again(spark, tmp_path):
     target = str(tmp_path / "batch")
     os.makedirs(f"{target}/_temporary/0")
@@ -161,11 +282,11 @@ def test_first_batch_stays(spark, tmp_path):
 def test_partitioned_table_prunes_files(spark):
     store = ModelStore(spark, shared_dir(spark))
     frame = spark.range(100).select("id", F.date_add(F.lit(D1), (F.col("id") % 5).cast("int")).alias("day"))
-    table = store.table("t", frame, "day", rebalance=True)
+    table = store.table("t", frame, "day")
     assert table.columns == ["id", "day"] and table.count() == 100
     plan = table.where(F.col("day") == F.lit(D2))._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(day" in plan
-    assert store.table("t", frame.limit(3)).count() == 3  # full refresh
+    assert store.table("t", frame.limit(3), "day").count() == 3  # full refresh
 
 
 def test_reports_are_written_once(spark):

@@ -37,7 +37,7 @@ def raw(spark, *rows):
 
 
 def staged(spark, *rows):
-    return staging.stg_subscriptions(raw(spark, *rows))
+    return staging.stg_subscriptions(staging.latest_subscriptions(raw(spark, *rows)))
 
 
 def test_latest_version_wins_and_null_update_is_last(spark):
@@ -51,7 +51,7 @@ def test_equal_update_times_are_broken_by_batch_then_cancellation(spark):
     assert same_batch.first().cancelled_at is not None
     versions = raw(spark, ("s", "pro", 79, "active", 0, None, 3), ("s", "pro", 79, "cancelled", 0, 3, 3))
     later = versions.withColumn("batch_date", F.when(F.col("cancelled_at").isNull(), F.lit(day(9))).otherwise(F.lit(day(3))))
-    assert staging.stg_subscriptions(later).first().cancelled_at is None
+    assert staging.latest_subscriptions(later).first().cancelled_at is None
 
 
 @pytest.mark.parametrize("started, cancelled, days, active", [
