@@ -3,41 +3,36 @@
 Documents arrive as files of a folder, in micro-batches. State is kept by the digest of the
 text's bytes, in RocksDB with checkpoints in the shared folder: for each digest the stable
 identifier (the greatest document id so far), the content locator of that document (its file
-and row in it) and the number of documents. A later run over the same state takes up new
-files only, and a lost executor's state is loaded from the last checkpoint.
-
-*Before the shuffle* a task lays rows of equal digest and equal bytes together and sends one
-entry for all of them, so that a text that makes up a third of all rows is one entry a task.
-*On a hit* full bytes decide. Entries of one micro-batch that meet under a digest are compared
-where they meet. An entry that meets an older document hands its bytes on, and these are
-compared with the bytes that the older one's locator names, for all hits of a run in one join.
-Digests whose texts differ anywhere are settled by grouping their documents by whole texts.
-With SHA-256 none is known; tests use a digest of a few bits.
-
-Defined results: null texts are empty texts. The row with the greatest id stays, a null id
-being less than any other; of rows equal in id and text the first by file and row stays.
-Ids are whole numbers or strings. Texts of any length travel whole, one entry a task and
-text. An empty folder's classes are empty. Further columns are ignored; a stream cannot take
+and row in it) and the number of documents. It is a streaming aggregation, so rows of equal
+digest are combined in each task before they are shuffled, and a text that makes up a third of
+all rows is one row a task. A later run over the same state takes up new files only, and a lost
+executor's state is loaded from the last checkpoint.
+
+*On a hit* full bytes decide. A digest that a new document shares with another one has the bytes
+of its new documents compared with one another and with those at the locators that the state has
+held for it: least and greatest bytes, combined in each task, must be the same. Documents of
+digests that stand for different texts are settled by grouping them by whole texts. With SHA-256
+none is known; tests use a digest of a few bits.
+
+Defined results: null texts are empty texts. The row with the greatest id stays, a null id being
+less than any other; of rows equal in id and text the last by file and row stays. Ids are whole
+numbers or strings. Texts of any length stay where they are and travel for the comparison of
+bytes alone. An empty folder has no classes. Further columns are ignored; a stream cannot take
 back files that it has read, so files must not be changed or deleted.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from revlens.llm.tables import stored
 from revlens.session import shared_dir
 
 BATCHES = 4  # micro-batches that the files of a first run are dealt into
-HELD = 64 << 20  # bytes of different texts that a task holds before it sends entries on
-SENT = 4 << 20  # bytes of texts sent at once
 
 STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass":
@@ -64,71 +59,6 @@ def _rows(docs: DataFrame, id_column: str, digest: Callable[[Column], Column]) -
                        F.col("_metadata.row_index").alias("row"), text.alias("content"))
 
 
-def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One entry for all rows of a task that are equal in digest and bytes, with the one that stays."""
-    held: dict[tuple[bytes, bytes], list] = {}
-    size, kinds = 0, None
-
-    def out() -> Iterator[pa.RecordBatch]:
-        part, part_size = [], 0
-        for i, ((digest, content), (top, n)) in enumerate(held.items(), 1):
-            part.append((digest, *_row_of(top), n, content))
-            part_size += len(content)
-            if part_size >= SENT or i == len(held):
-                names = ["digest", "has", "id", "file", "row", "n", "content"]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part), kinds)], names)
-                part, part_size = [], 0
-
-    for batch in batches:
-        of = {name: batch.column(name) for name in batch.schema.names}
-        kinds = [of["digest"].type, pa.bool_(), of["id"].type, pa.string(), pa.int64(), pa.int64(), of["content"].type]
-        for digest, has, id_, file, row, content in zip(
-                *(of[c].to_pylist() for c in ("digest", "has", "id", "file", "row")), of["content"]):
-            content = content.as_py()
-            rank = _rank(has, id_, file, row)
-            entry = held.get((digest, content))
-            if entry is None:
-                held[digest, content] = [rank, 1]
-                size += len(content)
-            else:
-                entry[0], entry[1] = _better(entry[0], rank), entry[1] + 1
-            if size >= HELD:
-                yield from out()
-                held, size = {}, 0
-    if held:
-        yield from out()
-
-
-# The row that stays has the greatest (has, id), then the least (file, row).
-def _rank(has, id_, file, row) -> tuple:
-    return (bool(has), id_), (file, row)
-
-
-def _better(a: tuple, b: tuple) -> tuple:
-    return a if a[0] > b[0] or a[0] == b[0] and a[1] <= b[1] else b
-
-
-def _row_of(rank: tuple) -> tuple:
-    return (*rank[0], *rank[1])
-
-
-def _decide(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Takes a digest's entries into its state: (has, id, file, row, size)."""
-    old = state.get if state.exists else None
-    top, size = (_rank(*old[:4]), old[4]) if old else (None, 0)
-    content, differ = None, False
-    for frame in frames:
-        for has, id_, file, row, n, other in zip(*(frame[c].tolist() for c in ("has", "id", "file", "row", "n", "content"))):
-            rank, size = _rank(has, id_, file, row), size + n
-            top = rank if top is None else _better(top, rank)
-            differ = differ or content is not None and content != other
-            content = other if content is None else content
-    state.update((*_row_of(top), size))
-    yield pd.DataFrame({"digest": [key[0]], "has": [top[0][0]], "id": [top[0][1]], "file": [top[1][0]], "row": [top[1][1]],
-                        "size": [size], "old_file": [old[2] if old else None], "old_row": [old[3] if old else -1],
-                        "content": [content if old else None], "differ": [differ]})
-
-
 def _stream(session: SparkSession, path: str, table: DataFrame, batches: int) -> DataFrame:
     """The files of a folder, or one file, as a stream of micro-batches."""
     found = session.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -153,44 +83,56 @@ def update_classes(spark: SparkSession, path: str, folder: str, id_column: str =
                        "spark.sql.session.timeZone": "UTC"}.items():
         session.conf.set(key, value)
     table = spark.read.parquet(path)
-    id_type = table.schema[id_column].dataType.simpleString()
-    stream = _stream(session, path, table, batches)
-    found = f"digest binary, has boolean, id {id_type}, file string, row long"
-    entries = _rows(stream, id_column, digest).mapInArrow(_entries, f"{found}, n long, content binary")
-    updates = f"{found}, size long, old_file string, old_row long, content binary, differ boolean"
-    decided = entries.groupBy("digest").applyInPandasWithState(
-        _decide, updates, f"has boolean, id {id_type}, file string, row long, size long", "update",
-        GroupStateTimeout.NoTimeout)
+    files = table.inputFiles()
+    rows = _rows(_stream(session, path, table, batches), id_column, digest)
+    # The greatest struct: by id, then by place.
+    state = rows.groupBy("digest").agg(F.max(F.struct("has", "id", "file", "row")).alias("top"), F.count("*").alias("size"))
 
     def write(batch: DataFrame, number: int) -> None:  # a repeated batch writes the same folder again
-        batch.write.mode("overwrite").parquet(f"{folder}/updates/batch={number}")
+        batch.select("digest", "top.*", "size").write.mode("overwrite").parquet(f"{folder}/updates/batch={number}")
 
-    query = (decided.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/checkpoint")
+    query = (state.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/checkpoint")
              .trigger(availableNow=True).foreachBatch(write).start())
     query.awaitTermination()
-    return _classes(spark, table, f"{folder}/updates", f"{updates}, batch long", id_column, digest)
-
-
-def _classes(spark: SparkSession, table: DataFrame, updates: str, schema: str, id_column: str,
-             digest: Callable[[Column], Column]) -> DataFrame:
-    try:
-        written = spark.read.schema(schema).parquet(updates)
-    except Exception as error:
-        if getattr(error, "getCondition", lambda: None)() != "PATH_NOT_FOUND":
-            raise
-        written = spark.createDataFrame([], schema)  # no file has come yet
-    hits = written.where("old_file is not null").select("digest", "content", F.col("old_file").alias("file"),
-                                                        F.col("old_row").alias("row"))
-    files = [r.file for r in hits.select("file").distinct().collect()]  # of the input's files, which Spark lists anyway
-    differ = written.where("differ").select("digest")
-    if files:  # only files that hits point to are read again
-        contents = _rows(table.where(F.col("_metadata.file_path").isin(files)), id_column, digest)
-        old = contents.select("file", "row", F.col("content").alias("old"))
-        differ = differ.union(hits.join(old, ["file", "row"]).where("content <> old").select("digest"))
-    differ = differ.distinct().withColumn("differ", F.lit(True))
-    last = written.groupBy("digest").agg(F.max_by(F.struct("has", "id", "file", "row", "size"), "batch").alias("c"))
-    return stored(last.select("digest", "c.*").join(differ, "digest", "left")
-                  .withColumn("differ", F.coalesce("differ", F.lit(False))))
+    kind = table.schema[id_column].dataType.simpleString()
+    schema = f"digest binary, has boolean, id {kind}, file string, row long, size long, batch long"
+    updates = _read(spark, f"{folder}/updates", schema)
+    last = stored(updates.groupBy("digest").agg(F.max_by(F.struct("has", "id", "file", "row", "size"), "batch").alias("c"))
+                  .select("digest", "c.*"))
+    checked = _read(spark, f"{folder}/checked", "file string, digest binary")
+    differ = stored(_differing(table, last, updates, checked, id_column, digest))
+    known = {r.file for r in checked.where("file is not null").collect()}  # names of input files, which Spark lists anyway
+    done = spark.createDataFrame([(f, None) for f in files if f not in known], "file string, digest binary")
+    differ.select(F.lit(None).cast("string").alias("file"), "digest").union(done).coalesce(1).write.mode("append").parquet(
+        f"{folder}/checked")
+    differ = differ.union(checked.where("digest is not null").select("digest")).distinct().withColumn("differ", F.lit(True))
+    return stored(last.join(differ, "digest", "left").withColumn("differ", F.coalesce("differ", F.lit(False))))
+
+
+def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A table of the state's folder, empty before the first run."""
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(found)
+    return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
+
+
+def _differing(table: DataFrame, classes: DataFrame, updates: DataFrame, checked: DataFrame, id_column: str,
+               digest: Callable[[Column], Column]) -> DataFrame:
+    """Digests whose documents differ in bytes, found by those of files that have not been checked yet."""
+    hits = classes.where("size > 1").select("digest")
+    known = [r.file for r in checked.where("file is not null").select("file").distinct().collect()]
+    path = F.col("_metadata.file_path")
+    new = _rows(table.where(~path.isin(known)) if known else table, id_column, digest).select("digest", "content")
+    contents = new.join(hits, "digest", "left_semi")
+    if known:
+        # What the state has held for these digests before; its files alone are read again.
+        touched = stored(contents.select("digest").distinct())
+        held = stored(updates.join(touched, "digest", "left_semi").where(F.col("file").isin(known)).select("file", "row").distinct())
+        files = [r.file for r in held.select("file").distinct().collect()]
+        old = _rows(table.where(path.isin(files)), id_column, digest).join(held, ["file", "row"], "left_semi")
+        contents = contents.union(old.select("digest", "content"))
+    return (contents.groupBy("digest").agg(F.min("content").alias("least"), F.max("content").alias("most"))
+            .where("least <> most").select("digest"))
 
 
 def decisions(spark: SparkSession, path: str, folder: str | None = None, id_column: str = "doc_id", **parameters) -> DataFrame:
@@ -202,10 +144,10 @@ def decisions(spark: SparkSession, path: str, folder: str | None = None, id_colu
         "digest", F.col("has").alias("own_has"), F.col("id").alias("own_id"), F.col("file").alias("own_file"),
         F.col("row").alias("own_row"), F.sha2("content", 256).alias("text_sha256"))
     # Both sides are plain shuffles (classes are stored), so that a digest of many rows can be split.
-    settled = rows.join(classes.where("not differ"), "digest")
+    settled = rows.join(classes.where("not differ").drop("differ"), "digest")
     mixed = classes.where("differ").select("digest")
     if not mixed.isEmpty():
-        settled = settled.drop("differ").unionByName(_by_whole_text(table, mixed, id_column, digest))
+        settled = settled.unionByName(_by_whole_text(table, mixed, id_column, digest))
     return settled.select(
         F.when(F.col("own_has"), F.col("own_id")).alias(id_column), F.col("own_file").alias("file"),
         F.col("own_row").alias("row"), F.when(F.col("has"), F.col("id")).alias("keep_id"), F.col("size").alias("group_size"),
@@ -215,10 +157,8 @@ def decisions(spark: SparkSession, path: str, folder: str | None = None, id_colu
 def _by_whole_text(table: DataFrame, mixed: DataFrame, id_column: str, digest: Callable[[Column], Column]) -> DataFrame:
     """The documents of some digests, in classes by their bytes."""
     rows = stored(_rows(table, id_column, digest).join(mixed, "digest", "left_semi"))
-    greatest = stored(rows.groupBy("content").agg(F.max(F.struct("has", "id")).alias("top"), F.count("*").alias("size")))
-    at = (rows.join(greatest, "content").where((F.col("has") == F.col("top.has")) & (F.col("id") == F.col("top.id")))
-          .groupBy("content").agg(F.min(F.struct("file", "row")).alias("at")))
-    groups = stored(greatest.join(at, "content").select("content", "top.has", "top.id", "at.file", "at.row", "size"))
+    groups = stored(rows.groupBy("content").agg(F.max(F.struct("has", "id", "file", "row")).alias("top"),
+                                                F.count("*").alias("size")))
     own = rows.select("digest", F.col("has").alias("own_has"), F.col("id").alias("own_id"), F.col("file").alias("own_file"),
                       F.col("row").alias("own_row"), F.sha2("content", 256).alias("text_sha256"), "content")
-    return own.join(groups, "content").drop("content")
+    return own.join(groups.select("content", "top.*", "size"), "content").drop("content")

@@ -73,8 +73,6 @@ def test_state_outlives_a_run(spark, tmp_path):
     check(got, first + second)
     assert {(r.doc_id, r.kept) for r in got.where("keep_id = 10000").collect()} == {
         (7, False), (8, False), (-1, False), (10_000, True)}
-    # The older document's bytes were looked up by its locator and are the same.
-    assert spark.read.parquet(f"{folder}/updates").where("old_file is not null").count() >= 2
     assert stream_dedup.update_classes(spark, path, folder).where("differ").count() == 0
 
 
@@ -94,13 +92,13 @@ def test_text_ids_one_file_and_empty(spark, tmp_path):
         stream_dedup.decisions(spark, str(tmp_path / "double"))
 
 
-def test_entries_before_the_shuffle(spark, tmp_path):
-    rows = [(i, "hot", "a") for i in range(500)] + [(1000 + i, f"text {i}", "a") for i in range(20)]
-    path = str(tmp_path / "docs")
-    documents(spark, rows).coalesce(2).write.parquet(path)
-    docs = spark.read.parquet(path)
-    sent = stream_dedup._rows(docs, "doc_id", stream_dedup.sha256).mapInArrow(
-        stream_dedup._entries, "digest binary, has boolean, id long, file string, row long, n long, content binary")
-    hot = sent.where(F.col("content") == F.lit(b"hot")).collect()
-    assert len(hot) <= docs.rdd.getNumPartitions() and sum(r.n for r in hot) == 500
-    assert sent.count() <= 20 + len(hot)
+def test_bytes_of_older_documents_are_looked_up(spark, tmp_path):
+    """A new text that shares its digest with one old text alone."""
+    path, folder = written(spark, tmp_path, [(1, "first", "a"), (2, "other", "a")]), str(tmp_path / "state")
+    by_first = lambda content: F.when(content == F.lit(b"other"), F.lit(b"o")).otherwise(F.lit(b"f"))
+    assert stream_dedup.update_classes(spark, path, folder, digest=by_first).where("differ").count() == 0
+    written(spark, tmp_path, [(3, "second", "a")])
+    got = stream_dedup.decisions(spark, path, folder, digest=by_first)
+    check(got, [(1, "first"), (2, "other"), (3, "second")])
+    written(spark, tmp_path, [(4, "first", "a")])
+    check(stream_dedup.decisions(spark, path, folder, digest=by_first), [(1, "first"), (2, "other"), (3, "second"), (4, "first")])
