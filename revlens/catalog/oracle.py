@@ -55,6 +55,14 @@ def _fixed(value: str, places: int) -> str:
     return f"cast(cast(round(cast({value} as decimal(38,12)), {places}) as decimal(38,{places})) as varchar)"
 
 
+def _exact_avg(value: str) -> str:
+    """Sum of the multiples of 2^-40 and of 2^-93 that each value consists of."""
+    high, scale, both = f"floor({value} * 1099511627776)", "9007199254740992", "9903520314283042199192993792::double"
+    low = f"floor(({value} * 1099511627776 - {high}) * {scale})"
+    return (f"(sum(cast({high} as bigint))::double / 1099511627776::double + sum(cast({low} as bigint))::double / {both})"
+            f" / count({value})::double")
+
+
 def _pct(value: str, places: int = 1) -> str:
     # ``||`` and not concat, which would turn a missing number into a bare sign.
     return f"({_fixed(f'cast({value} as decimal(38,14)) * 100', places)} || '%')"
@@ -398,7 +406,7 @@ CTES |= {
     "daily_roles": f"""
         select metric_date, role, count(*) as users, {_long('sum(failed_transactions)')} as failed_transactions,
           {_long('sum(total_transactions)')} as total_transactions,
-          round(avg(transaction_failure_rate), 6) as avg_failure_rate
+          {_exact_avg('transaction_failure_rate')} as avg_failure_rate
         from mart_user_transaction_activity group by all""",
 }
 
@@ -909,6 +917,16 @@ _QUALITY = {
         select 'user_id' as "column", 'relationships' as rule, count(*) as failures from stg_transactions
         where user_id not in (select user_id from stg_users where user_status = 'active')""",
     "quality_report": _checks(),
+    "quality_report_incremental": """
+        select * from check_results
+        where model in ('stg_transactions', 'fact_transactions', 'stg_product_events', 'fact_product_events')""",
+    "approx_active_users": """
+        select d as metric_date, cast(days as integer) as days, count(distinct user_id) as exact_users, true as is_near
+        from (select distinct event_date as d from fact_product_events
+              where user_id is not null and event_date is not null) as calendar,
+          (values (7), (30)) as w(days), fact_product_events
+        where event_date between d - days + 1 and d
+        group by all""",
     "quality_gate": """
         select rule, count(*) as checks, cast(sum(failures) as bigint) as failures from check_results group by 1""",
 }

@@ -16,9 +16,9 @@ from pyspark.sql import types as T
 
 from revlens.functions import columns as X
 from revlens.operators import ids, topk
-from revlens.operators.calendar import all_bounds, day_bounds, fill_days, on_every_day
+from revlens.operators.calendar import all_bounds, day_bounds, each_day, fill_days, on_every_day
 from revlens.operators.latest import latest_per_key
-from revlens.plans import anomaly, core, evidence, jobs, quality, reporting, serving, staging
+from revlens.plans import anomaly, check_state, core, evidence, jobs, quality, reporting, serving, sketches, staging
 from revlens.plans.models import MODELS, Now, Workspace
 from revlens.session import prepare, shared_dir
 from revlens.sources.model_store import ModelStore
@@ -774,6 +774,38 @@ def quality_gate(w):
     return report.groupBy("rule").agg(F.count(F.lit(1)).alias("checks"), F.sum("failures").alias("failures"))
 
 
+@on_session
+def quality_report_incremental(spark, folder):
+    """The facts' checks from state by batch day: a first report, a day loaded again, and the report after it."""
+    places = _places(spark)
+    store = RawStore(spark, places.raw)
+    for name, rows in raw_tables(spark, folder).items():
+        store.replace(name, rows)
+    models = ModelStore(spark, places.models)
+    for table in check_state.FACTS:
+        check_state.fact_report(models, store, table).collect()
+        store.replace_batch(table, raw_tables(spark, folder)[table].where(F.col("batch_date") == F.lit(BATCH)), BATCH)
+    reports = [check_state.fact_report(models, store, table) for table in check_state.FACTS]
+    return reports[0].unionByName(reports[1])
+
+
+@on_lazy
+def approx_active_users(w):
+    """Users of the last 7 and 30 days of every day: exact, and whether the sketches' estimate is near."""
+    users = w["user_day_usage"].where("user_id is not null and metric_date is not null").select("metric_date", "user_id").distinct()
+    days = users.select(F.col("metric_date").alias("day")).distinct()
+    out = None
+    for n in (7, 30):
+        spread = each_day(users, F.col("metric_date"), F.date_add("metric_date", n - 1), "day")
+        exact = (spread.join(days, "day", "left_semi").groupBy(F.col("day").alias("metric_date"))
+                 .agg(F.count_distinct("user_id").alias("exact_users")))
+        guess = sketches.rolling_users(w["daily_user_sketches"], n)
+        near = F.abs(F.col("distinct_users") - F.col("exact_users")) <= F.col("exact_users") * F.lit(4 * sketches.ERROR) + 1
+        one = exact.join(guess, "metric_date").select("metric_date", F.lit(n).alias("days"), "exact_users", near.alias("is_near"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 # --- jobs -----------------------------------------------------------------------------------------
 
 def _row_counts(w: Workspace, names) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Collection
+from collections.abc import Collection, Sequence
 from datetime import date
 
 from pyspark.sql import Column, DataFrame
@@ -119,10 +119,10 @@ def dim_plans(stg_subscriptions: DataFrame, stg_features: DataFrame) -> DataFram
     )
 
 
-def fact_product_events(stg_product_events: DataFrame) -> DataFrame:
+def fact_product_events(stg_product_events: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     at, status = F.col("event_timestamp"), F.col("event_status")
     return stg_product_events.select(
-        "event_id", "user_id", "session_id", "feature_id", "event_name",
+        *keep, "event_id", "user_id", "session_id", "feature_id", "event_name",
         "event_timestamp", F.to_date(at).alias("event_date"),
         week_of(at).alias("event_week"), month_of(at).alias("event_month"),
         "device_type", "event_status", "failure_reason",
@@ -133,11 +133,11 @@ def fact_product_events(stg_product_events: DataFrame) -> DataFrame:
     )
 
 
-def fact_transactions(stg_transactions: DataFrame) -> DataFrame:
+def fact_transactions(stg_transactions: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     at, status, amount = (F.col(c) for c in
                           ("transaction_timestamp", "transaction_status", "transaction_amount"))
     return stg_transactions.select(
-        "transaction_id", "user_id",
+        *keep, "transaction_id", "user_id",
         "transaction_timestamp", F.to_date(at).alias("transaction_date"),
         week_of(at).alias("transaction_week"), month_of(at).alias("transaction_month"),
         "transaction_amount", "transaction_status", "payment_method", "service_category",

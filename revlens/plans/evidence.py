@@ -13,6 +13,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from revlens.operators.exact import exact_avg
 from revlens.functions.columns import display_name, fixed, percent, signed
 from revlens.operators.reshape import melt
 from revlens.operators.topk import first_rows, rank_within
@@ -72,13 +73,12 @@ def daily_outcomes(daily_transaction_mix: DataFrame) -> DataFrame:
 
 
 def daily_roles(mart_user_transaction_activity: DataFrame) -> DataFrame:
-    """Average of the users' failure rates; rounded, as a sum of doubles depends
-    on the order of its terms."""
+    """Average of the users' failure rates, summed exactly: the same over any shuffle."""
     return mart_user_transaction_activity.groupBy("metric_date", "role").agg(
         F.count(F.lit(1)).alias("users"),
         F.sum("failed_transactions").alias("failed_transactions"),
         F.sum("total_transactions").alias("total_transactions"),
-        F.round(F.avg("transaction_failure_rate"), 6).alias("avg_failure_rate"))
+        exact_avg(F.col("transaction_failure_rate")).alias("avg_failure_rate"))
 
 
 DERIVED = {"daily_failures": (daily_failures, "daily_transaction_mix"),

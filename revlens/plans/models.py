@@ -11,7 +11,7 @@ from datetime import date, datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revlens.plans import anomaly, core, reporting, staging
+from revlens.plans import anomaly, core, reporting, sketches, staging
 from revlens.plans.refresh import FOLLOWS, basis, touched_days, within
 from revlens.sources.day_table import on_days
 from revlens.sources.model_store import ModelStore
@@ -29,8 +29,10 @@ SHARED_STAGING = ("latest_subscriptions",)
 SHARED_CORE = ("plan_days", "user_day_transactions", "user_day_usage", "daily_transaction_mix", "transaction_bounds",
                "event_bounds")
 SHARED_REPORTING = ("subscription_days", "feature_sessions", "account_day_activity", "plan_day_activity")
+OPTIONAL = ("daily_user_sketches",)
 MODELS = STAGING + CORE + REPORTING
 # What a full build stores: the models, and the day table that evidence is drawn from.
+# Optional ones are built when they are named.
 BUILT = (*MODELS, "daily_transaction_mix")
 
 # Staging models are views. So are the two facts that are projections of raw rows: the
@@ -56,6 +58,7 @@ FUNCTIONS: dict[str, Callable[..., DataFrame]] = {
         (core, CORE + SHARED_CORE),
         (reporting, SHARED_REPORTING + REPORTING[:-1]),
         (anomaly, REPORTING[-1:]),
+        (sketches, OPTIONAL),
     )
     for name in names
 }
@@ -63,7 +66,7 @@ FUNCTIONS: dict[str, Callable[..., DataFrame]] = {
 
 def inputs_of(name: str) -> list[str]:
     """Names of the tables a model reads."""
-    return [p for p in inspect.signature(FUNCTIONS[name]).parameters if p not in ("as_of", "run_ts", "only")]
+    return [p for p in inspect.signature(FUNCTIONS[name]).parameters if p not in ("as_of", "run_ts", "only", "keep")]
 
 
 def with_ancestors(names: Iterable[str]) -> list[str]:

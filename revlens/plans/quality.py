@@ -180,14 +180,15 @@ def model_report(tables: Mapping[str, DataFrame], name: str) -> DataFrame:
     return report
 
 
-def quality_report(tables: Mapping[str, DataFrame]) -> DataFrame:
+def quality_report(tables: Mapping[str, DataFrame], known: Mapping[str, DataFrame] | None = None) -> DataFrame:
     """Every declared check of every model: (model, column, rule, failures).
 
-    Meant for stored tables: over lazy models each check would recompute them.
+    Meant for stored tables: over lazy models each check would recompute them. ``known`` are
+    reports that stand for some models, such as those kept as state by ``check_state``.
     """
+    known = known or {}
     report = None
-    for name in SUITE:
-        part = model_report(tables, name)
+    for part in [*known.values(), *[model_report(tables, name) for name in SUITE if name not in known]]:
         report = part if report is None else report.unionByName(part)
     return report
 

@@ -77,6 +77,7 @@ FOLLOWS: Mapping[str, Mapping[str, Callable[[DataFrame, DataFrame, ModelStore],
     "account_day_activity": {
         "user_day_transactions": None, "user_day_usage": None,
         "dim_users": user_days_changed(("account_id", "onboarding_completed"), ["user_day_transactions", "user_day_usage"])},
+    "daily_user_sketches": {"user_day_usage": None},
     "plan_day_activity": {"account_day_activity": None, "latest_subscriptions": subscription_days_changed(_SPAN)},
 }
 

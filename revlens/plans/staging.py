@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 from datetime import date
 
 from pyspark.sql import Column, DataFrame
@@ -54,14 +54,14 @@ def stg_features(raw_features: DataFrame) -> DataFrame:
               "adoption_difficulty retention_impact"))
 
 
-def stg_product_events(raw_product_events: DataFrame) -> DataFrame:
-    return raw_product_events.select(*_clean(
+def stg_product_events(raw_product_events: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    return raw_product_events.select(*keep, *_clean(
         raw_product_events, "raw_product_events",
         lower="event_name device_type event_status failure_reason"))
 
 
-def stg_transactions(raw_transactions: DataFrame) -> DataFrame:
-    return raw_transactions.select(*_clean(
+def stg_transactions(raw_transactions: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    return raw_transactions.select(*keep, *_clean(
         raw_transactions, "raw_transactions",
         lower="transaction_status payment_method service_category customer_type "
               "failure_reason refund_reason"))
