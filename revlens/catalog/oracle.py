@@ -641,6 +641,10 @@ _WINDOWS = {
     "win_lag": """
         select metric_date, metric_name, cast(cur as double) as current_value, cast(prev as double) as previous_value
         from metric_moves""",
+    "win_lag_carry": """
+        select transaction_id, lag(transaction_status) over w as previous_status,
+          cast(epoch(transaction_timestamp) - epoch(lag(transaction_timestamp) over w) as bigint) as seconds_since
+        from fact_transactions window w as (order by transaction_timestamp nulls first, transaction_id nulls first)""",
     "win_dod_change": """
         select metric_date, total_transactions - lag(total_transactions) over (order by metric_date) as change
         from mart_transaction_health""",

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from revlens.functions import columns as X
 from revlens.operators import ids, topk
 from revlens.operators.calendar import all_bounds, day_bounds, each_day, fill_days, on_every_day
+from revlens.operators.carry import lag_with_carry
 from revlens.operators.latest import latest_per_key
 from revlens.plans import anomaly, check_state, core, evidence, jobs, quality, reporting, serving, sketches, staging
 from revlens.plans.models import MODELS, Now, Workspace
@@ -535,6 +536,17 @@ def _health_series(w):
     return health, by_day
 
 
+@on_lazy
+def win_lag_carry(w):
+    """All transactions as one series in time: a day's first one has its predecessor carried over from an earlier day."""
+    rows = w["fact_transactions"].select("transaction_id", "transaction_timestamp", "transaction_status")
+    lagged = lag_with_carry(rows, ["transaction_timestamp", "transaction_status"],
+                            ["transaction_timestamp", "transaction_id"], F.to_date("transaction_timestamp"))
+    at = F.col("transaction_timestamp").cast("long")
+    return lagged.select("transaction_id", F.col("previous_transaction_status").alias("previous_status"),
+                         (at - F.col("previous_transaction_timestamp").cast("long")).alias("seconds_since"))
+
+
 @on_lazy
 def win_dod_change(w):
     health, by_day = _health_series(w)

@@ -143,3 +143,20 @@ def test_sweep_equals_pairing(spark):
             want += [(e, d, v, g, n)] if n else []
     assert sorted(map(repr, (tuple(x) for x in got.collect()))) == sorted(map(repr, want))
     assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("series", [(), ("s",)])
+def test_lag_with_carry_equals_a_plain_lag(spark, series):
+    import random
+    from pyspark.sql import Window
+    from revlens.operators.carry import lag_with_carry
+    r = random.Random(4)
+    rows = [(r.choice(["a", "b", None]), r.choice([None, *range(60)]), i, r.choice([None, i * 10])) for i in range(200)]
+    df = spark.createDataFrame(rows, "s string, at int, id int, v int").repartition(5)
+    got = lag_with_carry(df, ["v", "id"], ["at", "id"], F.floor(F.col("at") / 7), series)
+    w = Window.partitionBy(*series).orderBy("at", "id")
+    want = df.select("*", F.lag("v").over(w).alias("previous_v"), F.lag("id").over(w).alias("previous_id"))
+    assert got.columns == want.columns
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    # No window sees more than one range's rows, or one row per range.
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Window") == 3
