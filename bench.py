@@ -48,11 +48,7 @@ def main() -> None:
 
     raw, models = RawStore(spark, shared_dir(spark)), ModelStore(spark, shared_dir(spark))
 
-    def load() -> None:
-        for name, rows in raw_tables(spark, folder).items():
-            raw.replace(name, rows)
-
-    timed("load_raw_tables", load)
+    timed("load_raw_tables", lambda: raw.replace_all(raw_tables(spark, folder)))
     workspace = Workspace(raw.read_all(), NOW)
     timed("build_models", lambda: workspace.build(models))
     timed("quality_report", lambda: run(quality.quality_report(workspace)))

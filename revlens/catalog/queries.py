@@ -791,8 +791,7 @@ def quality_report_incremental(spark, folder):
     """The facts' checks from state by batch day: a first report, a day loaded again, and the report after it."""
     places = _places(spark)
     store = RawStore(spark, places.raw)
-    for name, rows in raw_tables(spark, folder).items():
-        store.replace(name, rows)
+    store.replace_all(raw_tables(spark, folder))
     models = ModelStore(spark, places.models)
     for table in check_state.FACTS:
         check_state.fact_report(models, store, table).collect()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from concurrent.futures import ThreadPoolExecutor
 from datetime import date
 
@@ -152,6 +152,17 @@ class RawStore:
         stored = self.table(table)
         stored.publish_all(stored.stage(rows))
 
+    def replace_all(self, tables: Mapping[str, DataFrame]) -> None:
+        """Several tables anew: staged by concurrent jobs, published when the last is written."""
+        with ThreadPoolExecutor(LOADS_AT_ONCE) as pool:
+            runs = {t: pool.submit(self.table(t).stage, rows) for t, rows in tables.items()}
+        for table, run in runs.items():
+            if any(r.exception() for r in runs.values()) and not run.exception():
+                self.table(table).discard(run.result())
+        staged = {t: run.result() for t, run in runs.items()}  # raises what a job has raised
+        for table, rows in staged.items():
+            self.table(table).publish_all(rows)
+
     def replace_batch(self, table: str, rows: DataFrame, batch_date: date) -> None:
         """Swap the rows of one batch date for those of ``rows``, none included.
 

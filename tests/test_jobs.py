@@ -50,8 +50,7 @@ def test_a_daily_run_rewrites_the_days_it_touches_and_equals_a_full_build(spark,
     own = jobs.Places(f"{root}/raw", f"{root}/models", f"{root}/reports")
     raw = RawStore(spark, own.raw)
     source = raw_tables(spark, "/root/testdata/sf0.001")
-    for name, rows in source.items():
-        raw.replace(name, rows)
+    raw.replace_all(source)
     jobs.build_models(spark, own, NOW)
 
     before, late = files(spark, own, "user_day_transactions"), date(2024, 1, 3)
@@ -97,8 +96,7 @@ def test_changed_subscriptions_and_users_refresh_the_days_they_weigh_on(spark, t
     own = jobs.Places(f"{root}/raw", f"{root}/models", f"{root}/reports")
     raw = RawStore(spark, own.raw)
     source = raw_tables(spark, "/root/testdata/sf0.001")
-    for name, rows in source.items():
-        raw.replace(name, rows)
+    raw.replace_all(source)
     first = jobs.build_models(spark, own, NOW)
     start, end = date(2024, 1, 5), date(2024, 1, 9)
     subs = first["stg_subscriptions"]
