@@ -127,6 +127,61 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 from voted, fitted
 """
 
+# A string of 200 bytes is told by its MD5; runs of starts at most 200 apart leave no byte between them.
+OP5_SUFFIX_REPEATS = """
+with texts as (
+  select doc_id, row_number() over () as row, encode(coalesce(text, '')) as bytes from documents),
+starts as (
+  select row, i, md5(array_slice(bytes, i + 1, i + 200)) as print
+  from (select row, bytes, unnest(range(octet_length(bytes) - 199)) as i from texts where octet_length(bytes) >= 200) as t),
+again as (select row, i from starts where print in (select print from starts group by print having count(*) > 1)),
+lined as (
+  select row, i, sum(fresh) over (partition by row order by i) as run
+  from (select row, i, case when i <= lag(i) over (partition by row order by i) + 200 then 0 else 1 end as fresh
+        from again) as t),
+runs as (select row, run, min(i) as a, max(i) + 200 as b from lined group by row, run),
+kept as (
+  select row, string_agg(hex(array_slice(bytes, a + 1, b)), '' order by a) as h
+  from (select row, bytes, coalesce(lag(r.b) over (partition by row order by r.a), 0) as a, r.a as b
+        from texts join runs as r using (row)
+        union all
+        select row, bytes, max(r.b), octet_length(bytes) from texts join runs as r using (row) group by row, bytes) as t
+  where a < b
+  group by row),
+cut as (select row, sum(b - a)::bigint as n_removed, count(*) as n_spans from runs group by row)
+select doc_id, octet_length(bytes) as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans,
+  sha256(case when cut.row is null then bytes else unhex(coalesce(k.h, '')) end) as kept_sha256
+from texts as t left join cut using (row) left join kept as k using (row)
+"""
+
+# Classes are what is reached over links; every pair of texts with a common shingle is formed.
+OP7_NEAR_DUPLICATES = """
+with recursive texts as (
+  select text, min(doc_id) as least, row_number() over () as node,
+    regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') as w
+  from documents where text is not null group by text),
+shingles as (
+  select node, g, count(*) as n
+  from (select node, array_to_string(w[i:i + 4], ' ') as g
+        from (select node, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as i from texts where len(w) > 0) as t) as u
+  group by node, g),
+sizes as (select node, sum(n) as n from shingles group by node),
+links as (
+  select a, b from (
+    select x.node as a, y.node as b, sum(least(x.n, y.n)) as shared
+    from shingles as x join shingles as y on x.g = y.g and x.node <> y.node
+    group by a, b) as p
+  join sizes as s on s.node = a join sizes as t on t.node = b
+  where 10 * shared >= 8 * (s.n + t.n - shared)),
+reached(node, other) as (
+  select node, node from texts
+  union
+  select r.node, l.b from reached as r join links as l on l.a = r.other),
+classes as (select r.node, min(t.least) as class_id from reached as r join texts as t on t.node = r.other group by r.node)
+select d.doc_id, case when d.text is null then d.doc_id else c.class_id end as class_id
+from documents as d left join texts as t on t.text = d.text left join classes as c on c.node = t.node
+"""
+
 OP11_EXACT_DEDUP = """
 select doc_id, max(doc_id) over same as keep_id, count(*) over same as group_size,
   doc_id = max(doc_id) over same as kept, sha256(coalesce(text, '')) as text_sha256
@@ -212,6 +267,8 @@ from near{rounds} as n join centroids{rounds} as c on c.cluster = n.best.cluster
 
 ORACLE: dict[str, str] = {
     "op2_quality_rules": OP2_QUALITY_RULES,
+    "op5_suffix_repeats": OP5_SUFFIX_REPEATS,
+    "op7_near_duplicates": OP7_NEAR_DUPLICATES,
     "op9_sharding": OP9_SHARDING,
     "op11_exact_dedup": OP11_EXACT_DEDUP,
     "op12_phrases": OP12_PHRASES,
