@@ -51,7 +51,10 @@ class Encoder(dict):
         self.leads = split.get("type") == "ByteLevel" and split["use_regex"] and not split["add_prefix_space"]
         drops = (len(steps) == 2 and steps[0].get("type") == "Split" and steps[0]["behavior"] == "Removed"
                  and r"[^\s\p{L}\p{N}]+" in steps[0]["pattern"].get("Regex", "") and steps[0]["invert"])
-        self.cut = kind == "BPE" and (self.leads or drops) and not any(
+        # What happens to a text before it is split; with any other file texts are encoded whole.
+        normal = spec.get("normalizer")
+        folds = [n["type"] for n in (normal or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
+        self.cut = kind == "BPE" and (self.leads and normal is None or drops and folds) and not any(
             t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"])
         self.lower, self.letters = not self.leads, _byte_letters()
         self.model, self.marks = self.tokenizer.model, {}  # marks: runs of a few signs

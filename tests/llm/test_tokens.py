@@ -1,5 +1,6 @@
 """Token ids, records and packing against the library's plain encoding."""
 
+import json
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -156,3 +157,17 @@ def test_repeated_rows_spread_over_bundles(spark):
                    for r in [packing.cut(len(x))[0]])
     assert Counter((r.doc_id, r.doc_tokens, r.ids_crc32) for r in heads) == want
     assert max(Counter(r.sequence_id >> 32 for r in heads).values()) <= 4 * 8
+
+
+@pytest.mark.parametrize("name, normalizer", [
+    ("word_bpe_49k.json", None), ("word_bpe_49k.json", {"type": "NFD"}), ("byte_bpe_50k.json", {"type": "Lowercase"})])
+def test_other_normalizers_are_heeded(tmp_path, name, normalizer):
+    with open(public_tokenizers.path(name), encoding="utf-8") as f:
+        spec = json.load(f)
+    path = str(tmp_path / "changed.json")
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump({**spec, "normalizer": normalizer}, f)
+    library, own = Tokenizer.from_file(path), tokens.Encoder(path)
+    for text in ("Hello World", "Café  CAFÉ", "a\u0301 É x", "one two"):
+        want = library.encode(text, add_special_tokens=False).ids
+        assert tokens.numbers(own.ids(text), own.width).tolist() == want
