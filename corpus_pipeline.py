@@ -26,8 +26,10 @@ from revlens.llm.tables import stored  # noqa: E402
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject."""
     weights = quality_model.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = quality_model.score(docs, weights, docs.columns, "_quality_score")
-    return scored.where(F.col("_quality_score") >= quality_model.THRESHOLD).drop("_quality_score")
+    # The row travels as one column, so that its names meet none of these.
+    rows = docs.select(F.struct("*").alias("doc"), "text")
+    scored = quality_model.score(rows, weights, ["doc"], "score")
+    return scored.where(F.col("score") >= quality_model.THRESHOLD).select("doc.*")
 
 
 def near_duplicate_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +39,8 @@ def near_duplicate_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def repeat_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the long strings that occur more than once."""
-    return repeats.without_repeats(docs).withColumn("n_chars", F.length("text").cast("long"))
+    cut = repeats.without_repeats(docs)
+    return cut.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else cut
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
