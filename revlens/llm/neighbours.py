@@ -15,8 +15,9 @@ from the original vectors in double precision, always summed in the same order.
 Defined results: vectors that are null, zero, or hold null or non-finite components, and
 rows without an id, take no part; vectors of different lengths are never compared; rows
 with the query's id are no candidates; a repeated row is a candidate of its own, and a
-repeated query is searched once, by its smallest vector; an empty table gives no rows;
-extra columns are ignored.
+repeated query is searched once, by its smallest vector; equal scores go to the smaller
+vec_id; an empty table gives no rows; extra columns, texts of any length among them, are
+ignored.
 """
 
 from __future__ import annotations
@@ -28,11 +29,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from revlens.llm.tables import salted
+
 SHARD_ROWS = 8192
 BLOCK_QUERIES = 4096
 LEAF = 64
 K = 20
-FACTOR = 5.0
+FACTOR = 2.0
 SEED = 4
 
 
@@ -168,17 +171,26 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, factor: float =
     rows = clean(vectors)
     asked = clean(queries).groupBy("vec_id").agg(F.min(F.struct("dim", "v")).alias("s"))
     asked = asked.select(F.col("vec_id").alias("query_id"), "s.v", "s.dim")
-    sizes = rows.groupBy("dim").agg(F.count("*").alias("n"))
-    sizes = sizes.join(asked.groupBy("dim").agg(F.count("*").alias("m")), "dim").select(
-        "dim", F.ceil(F.col("n") / shard_rows).alias("shards"), F.ceil(F.col("m") / block_queries).alias("blocks"))
-
-    def every(n: Column) -> Column:
-        return F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
-
-    rows = (rows.join(sizes, "dim").withColumn("shard", F.pmod(F.xxhash64("vec_id"), "shards"))
-            .withColumn("block", every(F.col("blocks"))).drop("shards", "blocks"))
-    asked = (asked.join(sizes, "dim").withColumn("block", F.pmod(F.xxhash64("query_id"), "blocks"))
-             .withColumn("shard", every(F.col("shards"))).drop("shards", "blocks"))
+    n, m = (dict(df.groupBy("dim").count().collect()) for df in (rows, asked))  # one row per vector length
+    both = sorted(n.keys() & m.keys())
+
+    def by_length(count: dict[int, int], part: int) -> Column:
+        chosen = F.lit(None).cast("long")
+        for dim in both:
+            chosen = F.when(F.col("dim") == dim, F.lit(-(-count[dim] // part)).cast("long")).otherwise(chosen)
+        return chosen
+
+    shards, blocks = by_length(n, shard_rows), by_length(m, block_queries)
+
+    def every(parts: Column) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))
+
+    # Rows that repeat more often than a part of a shard go on to the next shards.
+    rows = (salted(rows.where(F.col("dim").isin(both)), ["vec_id", "v"], max(1, shard_rows // 4))
+            .withColumn("shard", F.pmod(F.pmod(F.xxhash64("vec_id", "v"), shards) + F.col("salt"), shards))
+            .withColumn("block", every(blocks)).drop("salt"))
+    asked = (asked.where(F.col("dim").isin(both)).withColumn("block", F.pmod(F.xxhash64("query_id"), blocks))
+             .withColumn("shard", every(shards)))
     keys = ("dim", "shard", "block")
     found = rows.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(
         _searcher(k, factor, leaf), "query_id long, vec_id long, score double")

@@ -138,6 +138,26 @@ def test_factor_one_is_exact(spark):
     assert all(a[1] == pytest.approx(b[1]) for q in want for a, b in zip(by[q], want[q]))
 
 
+@pytest.mark.parametrize("kind", ["gaussian", "clusters", "unit clusters"])
+def test_recall_over_several_full_shards(spark, kind):
+    rng = np.random.default_rng(11)
+    n, length = 20_000, 32
+    x = rng.normal(size=(n, length))
+    if kind != "gaussian":
+        x = rng.normal(size=(200, length))[rng.integers(200, size=n)] * rng.uniform(0.5, 2, size=(n, 1)) + 0.2 * x
+    if kind == "unit clusters":
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    asked = list(range(0, n, 500))
+    got = neighbours.nearest(rows, rows.where("vec_id % 500 = 0")).collect()
+    found = {}
+    for r in got:
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    want = brute_nearest(np.arange(n), x, asked, 20)
+    shares = [len(found[q] & {i for i, _ in v}) / 20 for q, v in want.items()]
+    assert n > 2 * neighbours.SHARD_ROWS and np.mean(shares) >= 0.95
+
+
 def test_recall_with_production_parameters(spark):
     got = QUERIES["op4_neighbours"](spark, "/root/testdata/sf0.1").collect()
     e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").toPandas().sort_values("vec_id")
