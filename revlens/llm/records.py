@@ -18,8 +18,8 @@ file, number, offset and length, so that a shuffled reader fetches any record al
 
 Defined results: a null text counts as an empty one and gives the end id alone; a null
 doc_id comes first and is kept as null; repeated rows become records of their own, equal
-doc_ids in the order of their text's hash; an empty table gives no records; extra
-columns are ignored.
+doc_ids in the order of their text's hash; ids are whole numbers; a text of any length
+is one record, below 2 GB; an empty table gives no records; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -94,9 +94,10 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int = EN
     """Encode every text and write the record files."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     files = max(1, -(-total // file_bytes))
-    order = [F.col("doc_id"), F.col("tie")]
-    lined = (docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("tie"))
-             .repartitionByRange(files, *order).sortWithinPartitions(*order).drop("tie"))
+    # The drawn column lets rows equal in id and text spread over files.
+    order = [F.col("doc_id"), F.col("tie"), F.col("any")]
+    lined = (docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("tie"), F.rand(0).alias("any"))
+             .repartitionByRange(files, *order).sortWithinPartitions(*order).drop("tie", "any"))
     framed = lined.mapInArrow(_framer(tokenizer, end_id), "record binary")
     framed.select(F.col("record").cast("string")).write.text(folder)  # the cast keeps every byte
 

@@ -9,8 +9,9 @@ Only DataFrame functions touch documents. The greedy pass asks one question per
 shard, "the last group end within this many bytes", for many capacities at once.
 
 Defined results: a null text counts as an empty one and joins its group; repeated
-rows get slots of their own; a null doc_id is a document like any other; an empty
-table gives no rows; extra columns are ignored.
+rows get slots of their own, in an order that is drawn; a null doc_id is a document like
+any other; a text of any length counts by its size and hash alone and is not shuffled;
+an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -97,8 +98,9 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, local_ends: int = LOC
     """doc_id, size (UTF-8 bytes of the text + 1), text_crc32, shard, slot (gapless in the shard)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"),
-                       F.crc32(text.cast("binary")).alias("text_crc32"), F.unhex(F.sha2(text, 256)).alias("group"))
-    lined = stored(numbered(rows, [F.col("group"), F.col("doc_id")], "size"))
+                       F.crc32(text.cast("binary")).alias("text_crc32"), F.unhex(F.sha2(text, 256)).alias("group"),
+                       F.rand(0).alias("any"))  # lets rows equal in id and text spread over tasks
+    lined = stored(numbered(rows, [F.col("group"), F.col("doc_id"), F.col("any")], "size"))
     groups = lined.groupBy("group").agg(F.max("end").alias("end"), F.sum("size").alias("size"))
     groups = stored(groups.select("end", "size").repartitionByRange("end").sortWithinPartitions("end"))
     total, largest = groups.agg(F.max("end"), F.max("size")).first()
