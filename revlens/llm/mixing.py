@@ -16,8 +16,9 @@ shared again by weight.
 
 Defined results: null and empty texts have size 0 and cost nothing, each gets its
 expected copies by a coin of its own; a source without words has target 0; repeated
-rows are separate documents; an empty table gives no rows; columns other than doc_id,
-text and source are ignored.
+rows are separate documents; equal sizes are ordered by a hash of the row; a text of any
+length counts by its number of words; an empty table gives no rows; columns other than
+doc_id, text and source are ignored.
 """
 
 from __future__ import annotations
@@ -35,6 +36,7 @@ from revlens.llm.tables import WORD, numbered, salted, stored
 MOST = 3.0  # a target is at most so many times its source's size
 WEIGHTS = 3
 BLOCK = 4096  # documents rounded by one call; residuals per node of the tree
+MANY = 1024  # repeated rows that one task may number
 SEED = 20
 EVEN = 1e-9  # a probability this near to 0 or 1 is certain
 
@@ -190,8 +192,15 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK, seed: int = SEED) -> Da
     rows = docs.select(F.struct("*").alias("doc"),
                        row_key(docs["doc_id"], docs["source"], F.xxhash64(docs["text"])))
     # Repeated rows share what they got together.
-    nth = F.row_number().over(Window.partitionBy("key").orderBy(F.lit(0)))
+    taken = stored(taken.where("taken > 0"))
+    often = taken.where(F.col("rows") > MANY)
+    lined = rows.join(taken.where(F.col("rows") <= MANY), "key").withColumn(
+        "nth", F.row_number().over(Window.partitionBy("key").orderBy("doc")).cast("long"))
+    if not often.isEmpty():  # numbered without one task for all rows of a key
+        many = numbered(rows.join(often, "key").withColumn("any", F.rand(0)), [F.col("key"), F.col("doc"), F.col("any")])
+        first = stored(many.groupBy("key").agg(F.min("row").alias("first")))
+        lined = lined.unionByName(many.join(first, "key").withColumn("nth", F.col("row") - F.col("first") + 1)
+                                  .select(*lined.columns))
     own = F.floor(F.col("taken") / F.col("rows")) + (F.col("nth") <= F.col("taken") % F.col("rows")).cast("long")
-    rows = rows.join(taken.where("taken > 0"), "key").withColumn("nth", nth).withColumn("own", own).where("own > 0")
     copy = F.explode(F.sequence(F.lit(1).cast("long"), F.col("own")))
-    return rows.select("doc", copy).select("doc.*")
+    return lined.select("doc", own.alias("own")).where("own > 0").select("doc", copy).select("doc.*")

@@ -4,7 +4,7 @@ import random
 
 # Names that operators use inside; as further columns of the input they must not matter.
 CLASHING = ["size", "key", "score", "row", "end", "band", "node", "label", "words", "tie", "first", "found", "print",
-            "h", "o", "p", "x", "number", "block", "host", "path", "_row", "_nth", "_part", "copies", "shard", "record"]
+            "h", "o", "p", "x", "number", "block", "host", "path", "_row", "_nth", "_part", "copies", "shard", "record", "_quality_score", "doc", "any", "rank"]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASHING)
 
 
