@@ -11,7 +11,8 @@ the vocabulary allows, and lengths and checksums are those of the ids that come
 
 Defined results: a null text counts as an empty one and is its end id alone; null
 doc_ids are documents like any other; repeated rows are packed each for itself; an
-empty table gives no rows; extra columns are ignored.
+empty table gives no rows; a text of any length is encoded whole by one task and cut
+into pieces; ids are whole numbers; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ from revlens.llm.tokens import encoder, numbers
 CAPACITY = 1024
 PIECE = 256  # a rest is cut into pieces of so many ids and one shorter piece
 BUNDLE = 768  # documents whose rests are packed together
+TASK_BUNDLES = 8  # bundles that a task packs, on average
 END_ID = 0
 _LOCAL = 1 << 32  # sequences of a bundle are numbered from bundle x _LOCAL
 
@@ -147,6 +149,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capaci
     coded = (salted(texts, ["doc_id", "tie"], max(1, bundle // 4)).mapInArrow(_coder(tokenizer, end_id), _CODED)
              .withColumn("bundle", F.pmod(F.pmod(F.xxhash64("tie"), F.lit(bundles)) + F.col("salt"), F.lit(bundles)))
              .withColumn("doc_id", F.col("doc_id").cast("string")))
+    # Some bundles a task, whatever the table's size; Spark could not split a task of many by itself.
+    coded = coded.repartition(max(1, -(-bundles // TASK_BUNDLES)), "bundle")
     packed = coded.groupBy("bundle").applyInPandas(_packer(capacity, piece), _PIECES)
     return packed.select(
         F.col("doc_id").cast("long"), "start", F.shiftright(F.octet_length("ids"), 2).cast("long").alias("length"),
