@@ -13,8 +13,10 @@ limit: every whole text is scored.
 
 Defined results: a null or empty text has no features and gets the score of the bias;
 repeated rows get the same score; labels that are null, and labelled ids without a
-document, are left out; without any usable label the score is one half; an empty table
-gives no rows; extra columns are ignored.
+document, are left out; without any usable label the score is one half; equal hashes in
+the draw of labelled documents go by their id; a long text is scored whole by one task,
+with some tens of bytes for each of its bytes; an empty table gives no rows; extra
+columns are ignored.
 """
 
 from __future__ import annotations

@@ -12,8 +12,9 @@ rows whatever the number of documents.
 Words are runs of anything but ASCII white space; all counts cover the whole text.
 
 Defined results: a null or empty text has no words, all counts 0, and fails the base
-rules; repeated rows get the same verdict; an empty table gives no rows; extra columns
-are ignored.
+rules; repeated rows get the same verdict; a posterior of exactly one half keeps; a text
+of any length is one row of SQL functions, which hold some times its size; an empty table
+gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations

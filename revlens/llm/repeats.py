@@ -18,7 +18,9 @@ suffixes that agree in ``LENGTH`` bytes are neighbours. An anchor with more than
 
 Defined results: a null text counts as an empty one; texts below ``LENGTH`` bytes lose
 nothing; repeated rows are texts that repeat each other, and a null doc_id is like any
-other; an empty table gives no rows; columns other than doc_id and text are ignored.
+other; ids are whole numbers; a long text is one row and is held whole by a task, with some
+tens of bytes for each of its bytes; an empty table gives no rows; columns other than
+doc_id and text are ignored.
 """
 
 from __future__ import annotations
