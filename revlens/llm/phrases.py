@@ -8,7 +8,8 @@ windows that begin with it.
 *Counting.* A task sorts the windows of a chunk of text as ranks in the chunk's own sorted
 vocabulary, adds up equal ones, and cuts the sorted stream at the borders of ranges of
 windows that were drawn from a sample of texts (borders decide where work is done, never what
-comes out). A range's sorted runs of all chunks meet in one task, which merges them and reads
+comes out). Runs are sent packed: words that are common in the sample as two bytes, others as
+places in a list that goes with the run. A range's sorted runs of all chunks meet in one task, which merges them and reads
 the counts of all phrases off one pass in prefix order. Phrases that the ends of a range (or
 of a part of it) may cut are handed on with their partial counts and summed by Spark. Five
 words tell ranges apart, so a common word or pair spreads over many ranges, and a common
@@ -24,7 +25,8 @@ lies between two phrases is at least as frequent as the longer one.
 Defined results: null texts are empty, a null language is ``und``; a word may hold any
 character but blanks and separators; scores are computed in 38-digit decimals and are exact;
 ties in score go to the larger count, then to the first phrase in byte order. Repeated rows
-count each. An empty table gives no rows. A long text is worked off in chunks of bounded
+count each. An empty table gives no rows. A task holds the distinct windows of one range, so above
+``RANGES`` ranges (64 GB of text) its memory grows with the text, and more ranges are to be asked for. A long text is worked off in chunks of bounded
 size, cut between words, where a window reads on into the next chunk. Further columns are ignored.
 """
 
@@ -45,12 +47,16 @@ WORDS = 5
 LEAST = 100  # occurrences of a candidate
 TOP = 2000  # phrases of a language
 SHARE = 100  # a candidate goes if a longer one has this many per cent of its occurrences
-CHUNK = 8 << 20  # bytes of text whose windows are sorted at once
-RANGE = 64 << 20  # bytes of text for each range of windows
+CHUNK = 2 << 20  # bytes of text whose windows are sorted at once
+RANGE = 16 << 20  # bytes of text for each range of windows
+RANGES = 4096  # ranges at most; beyond RANGES x RANGE bytes of text they grow
 SAMPLE = 8 << 20  # bytes of text that borders are drawn from
-MERGED = 3_000_000  # rows of a range that are held before equal ones are added up
+DRAWN = 16  # windows of the sample for each range
+MERGED = 1_000_000  # rows of a range that are held before equal ones are added up
+COMMON = 30_000  # words that are sent as two bytes
 
-_RUN = "pid int, lang string, words array<binary>, sizes binary, ranks binary, counts binary"
+_RUN = "pid int, lang string, words array<binary>, sizes binary, codes binary, rare binary, counts binary"
+_RARE = 65535
 _PHRASE = "lang string, phrase binary, words int, n long"
 _KIND = np.zeros(256, np.uint8)  # 0: part of a word, 1: blank, 2: end of a piece
 _KIND[[0x20, 0x09]] = 1
@@ -189,7 +195,7 @@ def _at_least(vocabulary: list[bytes], ranks: np.ndarray, border: tuple[bytes, .
     return low
 
 
-def _runs(borders: list[tuple[str, tuple[bytes, ...]]], size: int):
+def _runs(borders: list[tuple[str, tuple[bytes, ...]]], common: list[bytes], size: int):
     """Sorted windows of chunks, cut at the borders."""
     langs: dict[str, list[tuple[int, tuple[bytes, ...]]]] = {}
     for pid, (lang, border) in enumerate(borders):
@@ -197,44 +203,67 @@ def _runs(borders: list[tuple[str, tuple[bytes, ...]]], size: int):
     names = [lang.encode() for lang, _ in borders]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pa.array(common, pa.large_binary())
         for lang, texts in _chunks(batches, size):
             vocabulary, ranks, counts = windows(texts)
             if not len(ranks):
                 continue
             words = vocabulary.to_pylist()
+            # 0: no word, then the place among the common words from 1 on, or _RARE.
+            code = pc.fill_null(pc.add(pc.index_in(vocabulary, known), 1), _RARE).to_numpy(zero_copy_only=False)
+            code = np.append(0, code).astype(np.uint16)
             first = bisect_left(names, lang.encode())
             cuts = [(first, 0)] + [(pid + 1, _at_least(words, ranks, border)) for pid, border in langs.get(lang, [])]
             for (pid, low), (_, high) in zip(cuts, [*cuts[1:], (0, len(ranks))]):
                 if low < high:
-                    yield _run_row(pid, lang, vocabulary, ranks[low:high], counts[low:high])
+                    yield _run_row(pid, lang, vocabulary, code, ranks[low:high], counts[low:high])
     return run
 
 
-def _run_row(pid: int, lang: str, vocabulary: pa.Array, ranks: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-    used, ranks = np.unique(ranks, return_inverse=True)
-    ranks = ranks.reshape(-1, WORDS).astype(np.int32)
-    if used[0] != 0:
-        used, ranks = np.append(0, used), ranks + 1
-    words = vocabulary.take(pa.array(used[1:] - 1)).cast(pa.binary())
-    columns = np.ascontiguousarray(ranks.T).tobytes()  # by column, so that runs of equal first words pack well
-    sizes = np.array([len(counts)], np.int64).tobytes()
+def _packed_bytes(values: np.ndarray, kind: str) -> pa.Array:
+    return pa.array([pa.compress(np.ascontiguousarray(values).astype(kind).tobytes(), "zstd", asbytes=True)])
+
+
+def _run_row(pid: int, lang: str, vocabulary: pa.Array, code: np.ndarray, ranks: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    """A run as codes of common words, by column, the places of rare ones in its own list of words, and counts."""
+    ranks = np.ascontiguousarray(ranks.T)
+    codes = code[ranks]
+    used, rare = np.unique(ranks[codes == _RARE], return_inverse=True)
+    words = vocabulary.take(pa.array(used - 1)).cast(pa.binary())
+    sizes = np.array([len(counts), len(rare)], np.int64).tobytes()
     return pa.RecordBatch.from_arrays(
         [pa.array([pid], pa.int32()), pa.array([lang]),
          pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), pa.array([sizes]),
-         pa.array([pa.compress(columns, "zstd", asbytes=True)]),
-         pa.array([pa.compress(counts.astype("<i8").tobytes(), "zstd", asbytes=True)])],
-        ["pid", "lang", "words", "sizes", "ranks", "counts"])
-
-
-def _merged(runs: list[tuple[pa.Array, np.ndarray, np.ndarray]]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """Runs with vocabularies of their own as one run."""
-    vocabulary, rank = _ranked(pa.concat_arrays([words.cast(pa.large_binary()) for words, _, _ in runs]))
-    parts, at = [], 0
-    for words, ranks, _ in runs:
-        own = np.append(np.int32(0), rank[at:at + len(words)])
+         _packed_bytes(codes, "<u2"), _packed_bytes(rare, "<u4"), _packed_bytes(counts, "<i8")],
+        ["pid", "lang", "words", "sizes", "codes", "rare", "counts"])
+
+
+def _run_of(row: list, common: int) -> tuple[pa.Array, np.ndarray, np.ndarray, int]:
+    """(own words, ranks, counts, ``common``) of a run; ranks above ``common`` are places among its own words."""
+    words, sizes, codes, rare, counts = row
+    n, others = np.frombuffer(sizes.as_buffer(), np.int64).tolist()
+    codes = np.frombuffer(pa.decompress(codes.as_buffer(), n * 2 * WORDS, "zstd"), "<u2").astype(np.int32)
+    codes[codes == _RARE] = common + 1 + np.frombuffer(pa.decompress(rare.as_buffer(), 4 * others, "zstd"), "<u4").astype(np.int32)
+    counts = np.frombuffer(pa.decompress(counts.as_buffer(), n * 8, "zstd"), "<i8")
+    return words.values, np.ascontiguousarray(codes.reshape(WORDS, n).T), counts, common
+
+
+def _merged(runs: list[tuple[pa.Array, np.ndarray, np.ndarray, int]], common: pa.Array
+            ) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Runs with words of their own, beside the common ones or (0 of them) instead, as one run."""
+    vocabulary, rank = _ranked(pa.concat_arrays([common, *(r[0].cast(pa.large_binary()) for r in runs)]))
+    parts, at = [], len(common)
+    for words, ranks, _, shared in runs:
+        own = np.concatenate([np.zeros(1, np.int32), rank[:shared], rank[at:at + len(words)]])
         parts.append(own[ranks])
         at += len(words)
-    return vocabulary, *summed(np.concatenate(parts), np.concatenate([c for _, _, c in runs]))
+    ranks, counts = summed(np.concatenate(parts), np.concatenate([r[2] for r in runs]))
+    # Common words that do not occur are left out.
+    there = np.zeros(len(vocabulary) + 1, bool)
+    there[ranks] = True
+    there[0] = False
+    place = np.cumsum(there, dtype=np.int32) * there
+    return vocabulary.take(pa.array(np.flatnonzero(there) - 1)), place[ranks], counts
 
 
 def prefix_counts(vocabulary: pa.Array, ranks: np.ndarray, counts: np.ndarray, least: int
@@ -262,12 +291,16 @@ def prefix_counts(vocabulary: pa.Array, ranks: np.ndarray, counts: np.ndarray, l
             yield b" ".join(words[i * (k + 1):(i + 1) * (k + 1)]), k + 1, n
 
 
-def _merger(least: int):
+def _merger(common: list[bytes], least: int):
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, rows = None, [], 0
+        known, none = pa.array(common, pa.large_binary()), pa.array([], pa.large_binary())
+        key, held, rows, limit = None, [], 0, MERGED
+
+        def one() -> tuple[pa.Array, np.ndarray, np.ndarray]:
+            return _merged(held, known if any(shared for *_, shared in held) else none)
 
         def out() -> Iterator[pa.RecordBatch]:
-            found = list(prefix_counts(*_merged(held), least))
+            found = list(prefix_counts(*one(), least))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([key[1]] * len(found)), pa.array([f[0] for f in found], pa.binary()),
                  pa.array([f[1] for f in found], pa.int32()), pa.array([f[2] for f in found], pa.int64())],
@@ -275,47 +308,55 @@ def _merger(least: int):
 
         for batch in batches:
             for row in range(batch.num_rows):
-                pid, lang, words, sizes, ranks, counts = (batch.column(c)[row] for c in range(6))
+                pid, lang, *run = (batch.column(c)[row] for c in range(batch.num_columns))
                 if key != (pid.as_py(), lang.as_py()):
                     if held:
                         yield from out()
-                    key, held, rows = (pid.as_py(), lang.as_py()), [], 0
-                n = int(np.frombuffer(sizes.as_buffer(), np.int64)[0])
-                matrix = np.frombuffer(pa.decompress(ranks.as_buffer(), n * 4 * WORDS, "zstd"), np.int32)
-                held.append((words.values, np.ascontiguousarray(matrix.reshape(WORDS, n).T),
-                             np.frombuffer(pa.decompress(counts.as_buffer(), n * 8, "zstd"), "<i8")))
-                rows += n
-                if rows >= 2 * MERGED:
-                    held = [_merged(held)]
-                    rows = len(held[0][2]) // 2  # what is distinct stays; it counts half, so that merging stays rare
+                    key, held, rows, limit = (pid.as_py(), lang.as_py()), [], 0, MERGED
+                held.append(_run_of(run, len(known)))
+                rows += len(held[-1][2])
+                if rows >= limit:  # what is distinct may double before rows are added up again
+                    held = [(*one(), 0)]
+                    rows = len(held[0][2])
+                    limit = max(MERGED, 2 * rows)
         if held:
             yield from out()
     return merge
 
 
+def _common_words(texts: DataFrame, share: float) -> list[bytes]:
+    """The words that a sample of the texts has most often; they are sent as two bytes."""
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, parts in _chunks(batches, CHUNK):
+            vocabulary, ranks, counts = windows(parts)
+            if len(ranks):
+                n = np.bincount(ranks[:, 0], weights=counts, minlength=len(vocabulary) + 1)[1:].astype(np.int64)
+                yield pa.RecordBatch.from_arrays([vocabulary.cast(pa.binary()), pa.array(n)], ["word", "n"])
+
+    drawn = texts.sample(share, seed=1) if share < 1 else texts
+    words = drawn.mapInArrow(counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return [bytes(r.word) for r in words.orderBy(F.desc("n"), "word").limit(COMMON).collect()]
+
+
 def _borders(texts: DataFrame, ranges: int, share: float) -> list[tuple[str, tuple[bytes, ...]]]:
-    """At most ``ranges`` - 1 borders between windows, drawn from a sample of the texts' segments."""
+    """At most ``ranges`` - 1 borders between windows, drawn from a sample of the texts."""
+    step = max(SAMPLE // 6 // (DRAWN * ranges), 1)  # a word and its blank have about six bytes
+
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, parts in _chunks(batches, CHUNK):
             vocabulary, ranks, counts = windows(parts)
             ends = np.cumsum(counts)
-            every = max(int(ends[-1]) // (64 * ranges), 1) if len(ends) else 1
-            at = np.searchsorted(ends, np.arange(0, ends[-1] if len(ends) else 0, every), "right")
+            at = np.searchsorted(ends, np.arange(step // 2, ends[-1] if len(ends) else 0, step), "right")
             words = [[vocabulary[int(r) - 1].as_py() for r in ranks[i] if r] for i in at]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(at), pa.string()), pa.array(words, pa.list_(pa.binary())),
-                 pa.array([every] * len(at), pa.int64())], ["lang", "border", "weight"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(words, pa.list_(pa.binary()))],
+                                             ["lang", "border"])
 
     drawn = texts.sample(share, seed=0) if share < 1 else texts
-    # 64 windows a range and task of the sample, whose size is bounded: SAMPLE / CHUNK tasks' worth.
-    rows = drawn.mapInArrow(sampled, "lang string, border array<binary>, weight long").collect()
-    rows = sorted(((r.lang.encode(), tuple(bytes(w) for w in r.border), r.weight) for r in rows))
-    total, seen, out = sum(r[2] for r in rows), 0, []
-    for lang, border, weight in rows:
-        if seen * ranges >= (len(out) + 1) * total and (not out or out[-1] != (lang, border)):
-            out.append((lang, border))
-        seen += weight
-    return [(lang.decode(), border) for lang, border in out]
+    # About DRAWN windows a range, and there are at most RANGES.
+    rows = drawn.mapInArrow(sampled, "lang string, border array<binary>").collect()
+    found = sorted((r.lang.encode(), tuple(bytes(w) for w in r.border)) for r in rows)
+    cuts = dict.fromkeys(found[i * len(found) // ranges] for i in range(1, ranges)) if found else {}
+    return [(lang.decode(), border) for lang, border in cuts]
 
 
 def frequent_phrases(docs: DataFrame, least: int = LEAST, range_bytes: int = RANGE, chunk: int = CHUNK) -> DataFrame:
@@ -326,11 +367,12 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, range_bytes: int = RAN
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"),
                         F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ranges = max(-(-total // range_bytes), 1)
+    ranges = min(max(-(-total // range_bytes), 1), RANGES)
     borders = _borders(texts, ranges, SAMPLE / max(total, 1)) if ranges > 1 else []
-    runs = texts.mapInArrow(_runs(borders, chunk), _RUN)
+    common = _common_words(texts, SAMPLE / max(total, 1))
+    runs = texts.mapInArrow(_runs(borders, common, chunk), _RUN)
     merged = (runs.repartitionById(len(borders) + 1, "pid").sortWithinPartitions("pid", "lang")
-              .mapInArrow(_merger(least), _PHRASE))
+              .mapInArrow(_merger(common, least), _PHRASE))
     summed_up = merged.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"))
     return (summed_up.where((F.col("n") >= least) | (F.col("words") == 0))
             .select("lang", F.col("phrase").cast("string").alias("phrase"), "words", "n"))
@@ -347,14 +389,14 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, share: int
                           .select("lang", "phrase", "a"))
     suffix_order = stored(single.withColumn("back", F.reverse(split)).repartitionByRange("lang", "back")
                           .sortWithinPartitions("lang", "back").select("lang", "phrase", "a"))
-    cuts = stored(single.where("words > 1").withColumn("w", split)
+    # The language's total comes first, so that nothing later is dealt by language alone.
+    cuts = stored(single.where("words > 1").join(totals, "lang").withColumn("w", split)
                   .withColumn("k", F.explode(F.sequence(F.lit(1), F.col("words") - 1)))
-                  .select("lang", "phrase", "words", "a", "k", F.array_join(F.slice("w", F.lit(1), F.col("k")), " ").alias("first"),
+                  .select("lang", "phrase", "words", "a", "n", "k", F.array_join(F.slice("w", F.lit(1), F.col("k")), " ").alias("first"),
                           F.array_join(F.slice("w", F.col("k") + 1, F.col("words") - F.col("k")), " ").alias("rest")))
     left = prefix_order.select("lang", F.col("phrase").alias("first"), F.col("a").alias("l"))
     right = suffix_order.select("lang", F.col("phrase").alias("rest"), F.col("a").alias("r"))
-    both = (cuts.join(left.hint("merge"), ["lang", "first"]).join(right.hint("merge"), ["lang", "rest"])
-            .join(totals, "lang"))
+    both = cuts.join(left.hint("merge"), ["lang", "first"]).join(right.hint("merge"), ["lang", "rest"])
 
     def digits(column: str, most: int) -> F.Column:
         return F.col(column).cast(f"decimal({most},0)")

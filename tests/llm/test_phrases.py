@@ -117,3 +117,30 @@ def test_exact_beyond_64_bits(spark, monkeypatch):
                         lambda *_, **__: spark.createDataFrame(counts, "lang string, phrase string, words int, n long"))
     (row,) = phrases.collocations(documents(spark, [])).collect()
     assert row.score == 1000 * (10**13 + 1) * 4 * 10**16 // ((10**14 + 7) * (10**14 - 9))
+
+
+def test_runs_are_added_up_in_steps(monkeypatch):
+    import pyarrow as pa
+    rows = babble(12, 40) + [("en", "so the de " * 30)] * 20
+    batch = pa.RecordBatch.from_arrays([pa.array([lang for lang, _ in rows]), pa.array([t.encode() for _, t in rows])],
+                                       ["lang", "text"])
+    common = [b"so", b"the", b"unused"]
+
+    def counts():
+        runs = phrases._runs([("en", (b"de",)), ("en", (b"so", b"the"))], common, 300)(iter([batch]))
+        by_range = sorted(runs, key=lambda r: (r.column("pid")[0].as_py(), r.column("lang")[0].as_py()))
+        out = Counter()
+        for found in phrases._merger(common, 1)(iter(by_range)):
+            for phrase, n in zip(found.column("phrase").to_pylist(), found.column("n").to_pylist()):
+                out[phrase.decode()] += n
+        return out
+
+    whole = counts()
+    monkeypatch.setattr(phrases, "MERGED", 20)
+    want = Counter()
+    for _, text in rows:
+        for w in brute_pieces(text):
+            want[""] += len(w)
+            for m in range(1, 6):
+                want.update(" ".join(w[i:i + m]) for i in range(len(w) - m + 1))
+    assert counts() == whole == want
