@@ -133,6 +133,8 @@ def _differing(table: DataFrame, classes: DataFrame, updates: DataFrame, checked
         files = [r.file for r in held.select("file").distinct().collect()]
         old = _rows(table.where(path.isin(files)), id_column, digest).join(held, ["file", "row"], "left_semi")
         contents = contents.union(old.select("digest", "content"))
+    # Stored, so that the join above can be split for a digest of many rows, which are then combined in each task.
+    contents = stored(contents)
     return (contents.groupBy("digest").agg(F.min("content").alias("least"), F.max("content").alias("most"))
             .where("least <> most").select("digest"))
 
