@@ -15,25 +15,30 @@ Jaccard. Points are drawn in order of time only until no later one can win.
 *Bands.* Texts that agree in all ``ROWS`` slots of one of ``BANDS`` bands share a bucket.
 At similarity 0.8 a pair misses all of them with probability 5e-6.
 
-*Links.* Pairs are never all formed. In two rounds every member of a bucket is compared
-with one hub of the bucket, first with the member that shares most buckets with others (the
-middle of a group of copies), then with one drawn by hash; only buckets that still hold
+*Links.* Pairs are never all formed. Every bucket has a hub, in the first round the member that
+shares most buckets with others (the middle of a group of copies), in the second one drawn
+by hash. In each round a node is compared with at most ``HUBS`` hubs of its buckets, so the
+pairs of a round grow with the nodes and no faster; only buckets that still hold
 several components go on. A group of copies, however large, is settled so by a few
 comparisons per member. What still holds several components is worked off in blocks:
 whoever does not belong to a bucket's largest component is compared with all members of
-the other components, so no candidate pair that could join two components is left out. A
+the other components. First the most alike one of each component is verified, then, for
+what is still apart, all, so no candidate pair that could join two components is left out. A
 pair is dropped by its signatures if they agree in less than ``LEAST`` of the slots (4.5
 standard deviations below 0.8), and else verified on the whole texts.
 
 Defined results: equal texts, empty ones included, are one class whatever they hold; a
 text of one to four words has these words as its only shingle; a text without words has
 no links; a null text is alone; class_id is the class's smallest doc_id that is not null;
-repeated rows get the same class; an empty table gives no rows; extra columns are ignored.
+repeated rows get the same class, and of them the least row stays; ties between hubs go to
+the smaller node; a long text is signed whole by one task, with some tens of bytes for
+each of its bytes; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -52,6 +57,7 @@ SLOTS = 480  # the first ROWS x BANDS make the bands, all together the estimate
 LEAST = SIMILARITY - 4.5 * float(np.sqrt(SIMILARITY * (1 - SIMILARITY) / SLOTS))
 BLOCK = 512  # members of a bucket compared at once
 HUB_ROUNDS = 2
+HUBS = 4  # hubs that a node is compared with in a round
 
 _U = np.uint64
 _STEPS = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F]
@@ -177,10 +183,13 @@ def _verifier(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(c).filter(ok) for c in ("a", "b")], ["a", "b"])
 
 
-def _block_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Candidate pairs of rows sorted by (bucket, h, o): minor members against all of other components."""
+def _block_pairs(best: bool, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Candidate pairs of rows sorted by (bucket, h, o): minor members against those of other components.
+
+    With ``best`` a member is paired with the most alike one of each other component alone.
+    """
     def pairs(rows: pd.DataFrame) -> pd.DataFrame:
-        a, b = [], []
+        a, b, c, d = [], [], [], []
         borders = np.flatnonzero(np.append(True, (rows[["band", "h", "o"]].diff().iloc[1:] != 0).any(axis=1)))
         minor, node, label = rows.minor.to_numpy(), rows.node.to_numpy(), rows.label.to_numpy()
         marks = np.frombuffer(b"".join(rows.marks), "<u2").reshape(-1, SLOTS)
@@ -188,11 +197,19 @@ def _block_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             left, right = x + np.flatnonzero(minor[x:y]), x + np.flatnonzero(~minor[x:y])
             for i in left:
                 ok = right[label[right] != label[i]]
-                ok = ok[(marks[ok] == marks[i]).mean(1) >= LEAST]
-                a.append(np.minimum(node[ok], node[i]))
-                b.append(np.maximum(node[ok], node[i]))
-        return pd.DataFrame({"a": np.concatenate(a) if a else np.zeros(0, np.int64),
-                             "b": np.concatenate(b) if b else np.zeros(0, np.int64)}).drop_duplicates()
+                alike = (marks[ok] == marks[i]).mean(1)
+                ok, alike = ok[alike >= LEAST], alike[alike >= LEAST]
+                if best and len(ok):
+                    order = np.lexsort((node[ok], -alike, label[ok]))
+                    order = order[np.append(True, label[ok][order][1:] != label[ok][order][:-1])]
+                    ok, alike = ok[order], alike[order]
+                a.append(np.full(len(ok), node[i]))
+                b.append(node[ok])
+                c.append(label[ok])
+                d.append(alike)
+        return pd.DataFrame({n: np.concatenate(p) if p else np.zeros(0, t) for n, p, t in
+                             (("own", a, np.int64), ("other", b, np.int64), ("label", c, np.int64), ("alike", d, float))}
+                            ).drop_duplicates()
 
     held = None
     for batch in batches:
@@ -215,13 +232,13 @@ def text_key(text: Column) -> Column:
 
 def _alike_pairs(pairs: DataFrame, marks: DataFrame) -> DataFrame:
     return stored(pairs.join(marks.toDF("a", "m"), "a").join(marks.toDF("b", "n"), "b")
-                  .mapInArrow(_alike, "a long, b long"))
+                  .mapInArrow(_alike, "a long, b long"), records=2048)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) with texts that overlap enough."""
     return stored(pairs.join(texts.toDF("a", "t"), "a").join(texts.toDF("b", "u"), "b")
-                  .mapInArrow(_verifier, "a long, b long"))
+                  .mapInArrow(_verifier, "a long, b long"), records=512)
 
 
 def _mixed(members: DataFrame, labels: DataFrame | None) -> tuple[DataFrame, DataFrame]:
@@ -258,32 +275,48 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     edges = labels = tried = None
     for turn in range(HUB_ROUNDS):
         labelled, mixed = _mixed(members, labels)
-        first = F.struct((-F.col("degree")) if turn == 0 else F.xxhash64("node", "band", F.lit(turn)), "node", "label")
-        hubs = stored(labelled.join(mixed.select("band"), "band").groupBy("band").agg(F.min(first).alias("hub")))
-        pairs = (labelled.join(hubs, "band").where(F.col("label") != F.col("hub.label"))
-                 .select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct())
-        alike = _alike_pairs(pairs, marks)
-        found = _verified(alike, texts)
-        tried = alike if tried is None else tried.union(alike)
+        rank = (-F.col("degree")) if turn == 0 else F.xxhash64("node", "band", F.lit(turn))
+        hubs = stored(labelled.join(mixed.select("band"), "band").groupBy("band")
+                      .agg(F.min(F.struct(rank.alias("rank"), "node", "label")).alias("hub")))
+        met = labelled.join(hubs, "band").where(F.col("label") != F.col("hub.label")).select(
+            "node", F.col("hub.rank").alias("rank"), F.least("node", "hub.node").alias("a"),
+            F.greatest("node", "hub.node").alias("b"))
+        if tried is not None:
+            met = met.join(tried, ["a", "b"], "left_anti")
+        # A node meets the first few of its buckets' hubs, so a round's pairs grow with the nodes and no faster.
+        first = Window.partitionBy("node").orderBy("rank", "a", "b")
+        met = met.groupBy("node", "a", "b").agg(F.min("rank").alias("rank")).withColumn("nth", F.row_number().over(first))
+        pairs = stored(met.where(F.col("nth") <= HUBS).select("a", "b").distinct())
+        tried = pairs if tried is None else stored(tried.union(pairs))
+        found = _verified(_alike_pairs(pairs, marks), texts)
         edges = found if edges is None else edges.union(found)
         labels = components(edges)
 
-    # Buckets that hold several components still.
-    labelled, mixed = _mixed(members, labels)
-    open_ = stored(labelled.join(mixed, "band").withColumns({
-        "hs": F.ceil(F.col("minors") / BLOCK), "os": F.ceil(F.col("n") / BLOCK)}))
-
     def dealt(side: DataFrame, own: str, others: str, n_own: str, n_others: str, minor: bool) -> DataFrame:
         return side.select(
             "band", F.pmod(F.xxhash64("node"), F.col(n_own)).alias(own),
             F.explode(F.sequence(F.lit(0).cast("long"), F.col(n_others) - 1)).alias(others),
             F.lit(minor).alias("minor"), "node", "label")
 
-    blocks = (dealt(open_.where("label <> major"), "h", "o", "hs", "os", True)
-              .unionByName(dealt(open_, "o", "h", "os", "hs", False)).join(marks, "node"))
-    blocks = blocks.repartition("band", "h", "o").sortWithinPartitions("band", "h", "o")
-    more = stored(blocks.mapInPandas(_block_pairs, "a long, b long").distinct().join(tried, ["a", "b"], "left_anti"))
-    return nodes.select("key", "node"), edges.union(_verified(more, texts))
+    # Buckets that hold several components still: first the most alike pair of a member and another
+    # component, which joins nearly all that belong together, then all pairs of what is left.
+    for best in (True, False):
+        labelled, mixed = _mixed(members, labels)
+        open_ = stored(labelled.join(mixed, "band").withColumns({
+            "hs": F.ceil(F.col("minors") / BLOCK), "os": F.ceil(F.col("n") / BLOCK)}))
+        blocks = (dealt(open_.where("label <> major"), "h", "o", "hs", "os", True)
+                  .unionByName(dealt(open_, "o", "h", "os", "hs", False)).join(marks, "node"))
+        blocks = blocks.repartition("band", "h", "o").sortWithinPartitions("band", "h", "o")
+        found = blocks.mapInPandas(partial(_block_pairs, best), "own long, other long, label long, alike double")
+        if best:
+            found = found.groupBy("own", "label").agg(F.max_by("other", F.struct("alike", "other")).alias("other"))
+        pairs = found.select(F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b")).distinct()
+        pairs = stored(pairs.join(tried, ["a", "b"], "left_anti"))
+        tried = tried.union(pairs)
+        edges = edges.union(_verified(pairs, texts))
+        if best:
+            labels = components(edges)
+    return nodes.select("key", "node"), edges
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -314,5 +347,5 @@ def without_near_duplicates(docs: DataFrame) -> DataFrame:
     first = near_duplicates(docs).where("first").select(row_key(F.col("doc_id"), F.col("key"))).distinct()
     # The row travels as one column, so that its names meet none of these.
     rows = docs.select(F.struct("*").alias("doc"), row_key(docs["doc_id"], text_key(docs["text"])))
-    once = F.row_number().over(Window.partitionBy("key").orderBy(F.lit(0)))
+    once = F.row_number().over(Window.partitionBy("key").orderBy("doc"))
     return rows.join(first, "key", "left_semi").withColumn("nth", once).where("nth = 1").select("doc.*")

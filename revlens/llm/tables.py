@@ -13,23 +13,30 @@ _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def stored(df: DataFrame) -> DataFrame:
+_RECORDS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def stored(df: DataFrame, records: int | None = None) -> DataFrame:
     """``df`` written to a fresh table of the shared folder and read again.
 
     It cuts the lineage: a lost executor costs the running tasks, not the plan
     below the table, and what was numbered or drawn at random stays as it is. Shuffle
-    files that the table came from are not needed any more and go at once.
+    files that the table came from are not needed any more and go at once. ``records``
+    is how many rows Python gets at once, where a row holds whole texts.
     """
     spark, path = df.sparkSession, shared_dir(df.sparkSession)
-    before = spark.conf.get(_CLEAN, None)
-    spark.conf.set(_CLEAN, "true")
+    conf = {_CLEAN: "true"} | ({_RECORDS: str(records)} if records else {})
+    before = {key: spark.conf.get(key, None) for key in conf}
+    for key, value in conf.items():
+        spark.conf.set(key, value)
     try:
         df.write.parquet(path)
     finally:
-        if before is None:
-            spark.conf.unset(_CLEAN)
-        else:
-            spark.conf.set(_CLEAN, before)
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
     return spark.read.schema(df.schema).parquet(path)
 
 
