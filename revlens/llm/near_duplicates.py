@@ -22,23 +22,25 @@ pairs of a round grow with the nodes and no faster; only buckets that still hold
 several components go on. A group of copies, however large, is settled so by a few
 comparisons per member. What still holds several components is worked off in blocks:
 whoever does not belong to a bucket's largest component is compared with all members of
-the other components. First the most alike one of each component is verified, then, for
-what is still apart, all, so no candidate pair that could join two components is left out. A
+the other components, so no candidate pair that could join two components is left out. A
 pair is dropped by its signatures if they agree in less than ``LEAST`` of the slots (4.5
-standard deviations below 0.8), and else verified on the whole texts.
+standard deviations below 0.8), and else verified on the whole texts, once, in the block
+of the first bucket it shares. A block verifies the most alike pairs first, skips those
+that earlier ones have joined, and gives out links alone, less than it has members: pairs
+are never rows. Its work, not its rows, is quadratic for texts alike but not linked.
 
 Defined results: equal texts, empty ones included, are one class whatever they hold; a
 text of one to four words has these words as its only shingle; a text without words has
 no links; a null text is alone; class_id is the class's smallest doc_id that is not null;
 repeated rows get the same class, and of them the least row stays; ties between hubs go to
 the smaller node; a long text is signed whole by one task, with some tens of bytes for
-each of its bytes; an empty table gives no rows; extra columns are ignored.
+each of its bytes, and a block holds the shingles of about twice ``BLOCK`` texts at most; an empty
+table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -60,6 +62,7 @@ HUB_ROUNDS = 2
 HUBS = 4  # hubs that a node is compared with in a round
 
 _U = np.uint64
+_PLACES = 64  # a band's number modulo this is its place among the BANDS
 _STEPS = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F]
 
 
@@ -134,15 +137,15 @@ def _signer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first, end, data, offsets in T.chunks(batch.column("text")):
             doc, key, count = shingles(data, offsets)
-            marks = signatures(doc, key, count, end - first)
+            marks = signatures(doc, key, count, end - first) & _U(0xFFFF)
             has = np.zeros(end - first, bool)
             has[doc] = True
             band = np.arange(BANDS, dtype=np.uint64)[None, :] * _U(_STEPS[2])
             for row in range(ROWS):
                 band = T.mixed(band ^ marks[:, row * BANDS:(row + 1) * BANDS])
-            band = band.view(np.int64)[has]
+            band = (band - band % _U(_PLACES) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)[has]
             lists = pa.ListArray.from_arrays(np.arange(0, band.size + 1, BANDS, dtype=np.int32), pa.array(band.ravel()))
-            short = [m.tobytes() for m in (marks[has] & _U(0xFFFF)).astype("<u2")]
+            short = [m.tobytes() for m in marks[has].astype("<u2")]
             keys = batch.column("key").slice(first, end - first).filter(pa.array(has))
             yield pa.RecordBatch.from_arrays([keys, pa.array(short, pa.binary()), lists], ["key", "marks", "bands"])
 
@@ -165,64 +168,90 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return both / total if total else 0.0
 
 
-def _verifier(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def bags(column) -> list[tuple[np.ndarray, np.ndarray]]:
-        out = []
-        for first, end, data, offsets in T.chunks(column):
-            doc, key, count = shingles(data, offsets)
-            at = np.searchsorted(doc, np.arange(end - first + 1))
-            out += [(key[x:y], count[x:y]) for x, y in zip(at[:-1], at[1:])]
-        return out
+def _bags(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(shingles, counts) of each text."""
+    out = []
+    for first, end, data, offsets in T.chunks(column):
+        doc, key, count = shingles(data, offsets)
+        at = np.searchsorted(doc, np.arange(end - first + 1))
+        out += [(key[x:y], count[x:y]) for x, y in zip(at[:-1], at[1:])]
+    return out
 
+
+def _verifier(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first in range(0, batch.num_rows, 256):
             part = batch.slice(first, 256)
             # Sums of whole counts, so the comparison with the threshold is exact up to one rounding.
             ok = pa.array([similarity(x, y) >= SIMILARITY
-                           for x, y in zip(bags(part.column("t")), bags(part.column("u")))], pa.bool_())
+                           for x, y in zip(_bags(part.column("t")), _bags(part.column("u")))], pa.bool_())
             yield pa.RecordBatch.from_arrays([part.column(c).filter(ok) for c in ("a", "b")], ["a", "b"])
 
 
-def _block_pairs(best: bool, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Candidate pairs of rows sorted by (bucket, h, o): minor members against those of other components.
-
-    With ``best`` a member is paired with the most alike one of each other component alone.
-    """
-    def pairs(rows: pd.DataFrame) -> pd.DataFrame:
-        a, b, c, d = [], [], [], []
-        borders = np.flatnonzero(np.append(True, (rows[["band", "h", "o"]].diff().iloc[1:] != 0).any(axis=1)))
-        minor, node, label = rows.minor.to_numpy(), rows.node.to_numpy(), rows.label.to_numpy()
-        marks = np.frombuffer(b"".join(rows.marks), "<u2").reshape(-1, SLOTS)
-        for x, y in zip(borders, np.append(borders[1:], len(rows))):
-            left, right = x + np.flatnonzero(minor[x:y]), x + np.flatnonzero(~minor[x:y])
-            for i in left:
-                ok = right[label[right] != label[i]]
-                alike = (marks[ok] == marks[i]).mean(1)
-                ok, alike = ok[alike >= LEAST], alike[alike >= LEAST]
-                if best and len(ok):
-                    order = np.lexsort((node[ok], -alike, label[ok]))
-                    order = order[np.append(True, label[ok][order][1:] != label[ok][order][:-1])]
-                    ok, alike = ok[order], alike[order]
-                a.append(np.full(len(ok), node[i]))
-                b.append(node[ok])
-                c.append(label[ok])
-                d.append(alike)
-        return pd.DataFrame({n: np.concatenate(p) if p else np.zeros(0, t) for n, p, t in
-                             (("own", a, np.int64), ("other", b, np.int64), ("label", c, np.int64), ("alike", d, float))}
-                            ).drop_duplicates()
-
+def _whole_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Rows sorted by (band, h, o) in batches that end where a block ends, and the blocks' borders in them."""
     held = None
     for batch in batches:
         rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
         if not len(rows):
             continue
-        last = (rows[["band", "h", "o"]] == rows[["band", "h", "o"]].iloc[-1]).all(axis=1).to_numpy()
-        split = int(np.flatnonzero(~last)[-1]) + 1 if not last.all() else 0  # the last group may go on
-        held = rows.iloc[split:].reset_index(drop=True)
-        if split:
-            yield pairs(rows.iloc[:split].reset_index(drop=True))
-    if held is not None and len(held):
-        yield pairs(held)
+        block = rows[["band", "h", "o"]].to_numpy()
+        borders = np.flatnonzero(np.append(True, (block[1:] != block[:-1]).any(1)))
+        held = rows.iloc[borders[-1]:].reset_index(drop=True)  # the last block may go on
+        if len(borders) > 1:
+            yield rows.iloc[:borders[-1]], borders
+    if held is not None:
+        yield held, np.array([0, len(held)])
+
+
+def _candidates(rows: pd.DataFrame, borders: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each block the places (i, j) of candidate pairs of different components, the most alike first.
+
+    A pair belongs to the first bucket it shares, and one of two minor members to the smaller one's block.
+    """
+    band, node, label, asks, minor = (rows[c].to_numpy() for c in ("band", "node", "label", "asks", "minor"))
+    marks = np.frombuffer(b"".join(rows.marks), "<u2").reshape(-1, SLOTS)
+    for x, y in zip(borders[:-1], borders[1:]):
+        left, right = x + np.flatnonzero(asks[x:y]), x + np.flatnonzero(~asks[x:y])
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for i in left:
+            j = right[(label[right] != label[i]) & (~minor[right] | (node[right] > node[i]))]
+            same = marks[j] == marks[i]
+            alike = same.mean(1)
+            ok = np.flatnonzero(alike >= LEAST)
+            shared = same[ok, :ROWS * BANDS].reshape(-1, ROWS, BANDS).all(1)
+            ok = ok[shared.argmax(1) == band[x] % _PLACES]
+            found.append((np.full(len(ok), i), j[ok], alike[ok]))
+        i, j, alike = (np.concatenate(c) for c in zip(*found))
+        order = np.argsort(-alike, kind="stable")
+        yield i[order], j[order]
+
+
+def _asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows of blocks that have a candidate pair there."""
+    for rows, borders in _whole_blocks(batches):
+        places = [np.concatenate(pair) for pair in _candidates(rows, borders)]
+        yield rows.iloc[np.unique(np.concatenate(places))].drop(columns="marks")
+
+
+def _linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Links between a block's components, verified on the texts: as many as join what they join, and no more."""
+    for rows, borders in _whole_blocks(batches):
+        node, label, links = rows.node.to_numpy(), rows.label.to_numpy(), []
+        for x, y, (left, right) in zip(borders[:-1], borders[1:], _candidates(rows, borders)):
+            bag, root = _bags(pa.array(rows.text.iloc[x:y], pa.large_string())), {}
+
+            def top(of: int) -> int:
+                while (up := root.get(of, of)) != of:
+                    root[of] = of = root.get(up, up)
+                return of
+
+            for i, j in zip(left.tolist(), right.tolist()):
+                a, b = top(int(label[i])), top(int(label[j]))
+                if a != b and similarity(bag[i - x], bag[j - x]) >= SIMILARITY:
+                    root[a] = b
+                    links.append((node[i], node[j]))
+        yield pd.DataFrame(np.array(links, np.int64).reshape(-1, 2), columns=["a", "b"])
 
 
 def text_key(text: Column) -> Column:
@@ -292,30 +321,25 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         edges = found if edges is None else edges.union(found)
         labels = components(edges)
 
-    def dealt(side: DataFrame, own: str, others: str, n_own: str, n_others: str, minor: bool) -> DataFrame:
+    def dealt(side: DataFrame, own: str, others: str, n_own: str, n_others: str, asks: bool) -> DataFrame:
         return side.select(
             "band", F.pmod(F.xxhash64("node"), F.col(n_own)).alias(own),
             F.explode(F.sequence(F.lit(0).cast("long"), F.col(n_others) - 1)).alias(others),
-            F.lit(minor).alias("minor"), "node", "label")
-
-    # Buckets that hold several components still: first the most alike pair of a member and another
-    # component, which joins nearly all that belong together, then all pairs of what is left.
-    for best in (True, False):
-        labelled, mixed = _mixed(members, labels)
-        open_ = stored(labelled.join(mixed, "band").withColumns({
-            "hs": F.ceil(F.col("minors") / BLOCK), "os": F.ceil(F.col("n") / BLOCK)}))
-        blocks = (dealt(open_.where("label <> major"), "h", "o", "hs", "os", True)
-                  .unionByName(dealt(open_, "o", "h", "os", "hs", False)).join(marks, "node"))
-        blocks = blocks.repartition("band", "h", "o").sortWithinPartitions("band", "h", "o")
-        found = blocks.mapInPandas(partial(_block_pairs, best), "own long, other long, label long, alike double")
-        if best:
-            found = found.groupBy("own", "label").agg(F.max_by("other", F.struct("alike", "other")).alias("other"))
-        pairs = found.select(F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b")).distinct()
-        pairs = stored(pairs.join(tried, ["a", "b"], "left_anti"))
-        tried = tried.union(pairs)
-        edges = edges.union(_verified(pairs, texts))
-        if best:
-            labels = components(edges)
+            F.lit(asks).alias("asks"), (F.col("label") != F.col("major")).alias("minor"), "node", "label")
+
+    def in_blocks(rows: DataFrame) -> DataFrame:
+        return rows.repartition("band", "h", "o").sortWithinPartitions("band", "h", "o")
+
+    # Buckets that hold several components still. Which members have candidates there is seen from the
+    # signatures; only those travel with their texts, and only links leave a block.
+    labelled, mixed = _mixed(members, labels)
+    open_ = stored(labelled.join(mixed, "band").withColumns({
+        "hs": F.ceil(F.col("minors") / BLOCK), "os": F.ceil(F.col("n") / BLOCK)}))
+    blocks = (dealt(open_.where("label <> major"), "h", "o", "hs", "os", True)
+              .unionByName(dealt(open_, "o", "h", "os", "hs", False)))
+    asked = stored(in_blocks(blocks.join(marks, "node")).mapInPandas(_asked, blocks.schema))
+    found = in_blocks(asked.join(marks, "node").join(texts, "node")).mapInPandas(_linked, "a long, b long")
+    edges = edges.union(stored(found, records=BLOCK))
     return nodes.select("key", "node"), edges
 
 

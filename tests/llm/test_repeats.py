@@ -5,6 +5,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 
@@ -140,6 +141,45 @@ def test_classes_equal_brute_force(spark, monkeypatch):
     assert plain((r.doc_id, r.class_id) for r in out) == plain(brute_classes(rows))
 
 
+def test_rows_stay_few_where_many_texts_are_nearly_linked(spark, monkeypatch):
+    rnd, core, rows = random.Random(5), prose(43, 400).split(), []
+    for i in range(300):  # four edits in one half: linked to each other; six in the other half: 0.74 to 0.8 to most
+        copy = list(core)
+        for at in rnd.sample(range(40), 6) if i % 4 else rnd.sample(range(40, 80), 4):
+            copy[5 * at + 2] = f"edit{i}at{at}"
+        rows.append((700 + i, " ".join(copy), "a"))
+    made, plain_stored = [], near_duplicates.stored
+
+    def stored(df, *more, **named):
+        out = plain_stored(df, *more, **named)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_duplicates, "stored", stored)
+    out = near_duplicates.near_duplicates(documents(spark, rows)).collect()
+    want = brute_classes(rows)
+    assert plain((r.doc_id, r.class_id) for r in out) == plain(want) and len({c for _, c in want}) > 50
+    assert max(made) <= 40 * len(rows)  # of the bands; there are 44,850 pairs, nearly all of them candidates
+
+
+@pytest.mark.parametrize("batch", [1, 3, 100])
+def test_blocks_find_each_pair_once(batch):
+    words = prose(44, 120).split()
+    texts_ = [" ".join([*words[:k], f"edit{k}", *words[k + 1:]]) for k in range(0, 120, 10)]
+    signed = pd.concat([b.to_pandas() for b in near_duplicates._signer(iter([pa.RecordBatch.from_arrays(
+        [pa.array([bytes([k]) for k in range(12)]), pa.array(texts_)], ["key", "text"])]))], ignore_index=True)
+    rows = [(band, 0, 0, asks, minor, n, n, row.marks, texts_[n]) for n, row in signed.iterrows() for band in row.bands
+            for minor in [n > 0] for asks in ([True, False] if minor else [False])]
+    rows = pd.DataFrame(rows, columns=["band", "h", "o", "asks", "minor", "node", "label", "marks", "text"])
+    rows = rows.sort_values("band", kind="stable", ignore_index=True)
+    pairs = []
+    for part, borders in near_duplicates._whole_blocks(rows[k:k + batch] for k in range(0, len(rows), batch)):
+        for i, j in near_duplicates._candidates(part, borders):
+            node = part.node.to_numpy()
+            pairs += map(tuple, np.sort(np.stack([node[i], node[j]], 1)).tolist())
+    assert sorted(pairs) == [(a, b) for a in range(12) for b in range(a + 1, 12)]
+
+
 def test_one_row_of_every_class_stays(spark):
     rows = near_rows()
     docs = documents(spark, rows)
