@@ -1,6 +1,7 @@
 """Raw store, model store, report store and id allocation."""
 
 import os
+import time
 from datetime import date
 from decimal import Decimal
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from revlens.operators import ids
 from revlens.session import shared_dir
 from revlens.sources.model_store import ModelStore
-from revlens.sources import files
+from revlens.sources import files, raw_store
 from revlens.sources.day_table import DayTable
 from revlens.sources.files import versions
 from revlens.sources.raw_store import BatchError, RawStore, read_raw_csv, write_batch_once
@@ -335,3 +336,29 @@ def test_decimals_survive_csv(spark, tmp_path):
     csv(tmp_path, "raw_transactions", line("t1", D1, "1234567890.12"))
     row = read_raw_csv(spark, f"{tmp_path}/raw_transactions.csv", "raw_transactions").first()
     assert row.transaction_amount == Decimal("1234567890.12")
+
+
+def test_csv_parts_are_compressed_and_hold_few_rows(spark, store, tmp_path, monkeypatch):
+    monkeypatch.setattr(raw_store, "PART_ROWS", 10)
+    rows = spark.createDataFrame([(f"u{i:02d}", "a1", AWKWARD[i % len(AWKWARD)], *[None] * 10, D1) for i in range(25)],
+                                 raw_schema("raw_users")).coalesce(1)
+    raw_store.write_raw_csv(rows, f"{tmp_path}/raw_users.csv")
+    parts = [n for n in os.listdir(tmp_path / "raw_users.csv") if n.startswith("part-")]
+    assert len(parts) == 3 and all(n.endswith(".csv.gz") for n in parts)
+    assert store.load_daily(str(tmp_path), D1) == ["raw_users"]
+    assert [tuple(r) for r in store.read("raw_users").orderBy("user_id").collect()] == [tuple(r) for r in rows.collect()]
+
+
+def test_shuffle_files_go_when_a_table_is_stored(spark):
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        return {n for n in blocks.getAllBlocks().mkString(" ").split() if n.startswith("shuffle_")}
+
+    before = shuffles()
+    counted = spark.range(5000).groupBy((F.col("id") % 700).alias("k")).count()
+    assert ModelStore(spark, shared_dir(spark)).table("m", counted).count() == 700
+    until = time.time() + 20
+    while shuffles() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffles() - before
