@@ -362,3 +362,43 @@ def test_shuffle_files_go_when_a_table_is_stored(spark):
     while shuffles() - before and time.time() < until:
         time.sleep(0.2)
     assert not shuffles() - before
+
+
+def slices(spark, monkeypatch, folder, *files):
+    """A folder of files, each a slice of its own."""
+    monkeypatch.setattr(raw_store, "SLICE_BYTES", 1)
+    monkeypatch.setattr(raw_store, "SLICES", 1000)
+    os.makedirs(folder / "raw_transactions.csv")
+    for i, lines in enumerate(files):
+        csv(folder, f"raw_transactions.csv/part-{i}", *lines)
+    csv(folder, "raw_transactions.csv/_not_read", line("t0", D1))
+
+
+def test_a_load_in_slices_is_one_load(spark, store, tmp_path, monkeypatch):
+    slices(spark, monkeypatch, tmp_path, [line("t1", D1), line("t2", D2)], [], [line("t3", D1)])
+    for _ in range(2):
+        assert store.load_backfill(str(tmp_path)) == ["raw_transactions"]
+        assert [t for t, _, _ in loaded(store)] == ["t1", "t2", "t3"]
+    found = store.table("raw_transactions").snapshot().days
+    assert sorted(map(len, found.values())) == [1, 2]  # the first and the last slice have rows of a day
+    store.replace_batch("raw_transactions", store.read("raw_transactions").where("batch_date = '2024-01-02'"), D2)
+    assert [t for t, _, _ in loaded(store)] == ["t1", "t2", "t3"]
+    assert store.load_daily(str(tmp_path / "nowhere"), D1) == []
+    slices(spark, monkeypatch, tmp_path / "day", [line("t4", D1)], [line("t5", D1)])
+    store.load_daily(str(tmp_path / "day"), D1)
+    assert [t for t, _, _ in loaded(store)] == ["t2", "t4", "t5"]
+
+
+def test_a_broken_slice_stops_the_load_or_is_set_aside(spark, store, tmp_path, monkeypatch):
+    slices(spark, monkeypatch, tmp_path, [line("t1", D1)], [line("t2", D1, "five")], [line("t3", D2), line("t4", D1, "six")])
+    with pytest.raises(BatchError, match="2 of 4 rows cannot be taken in, by column {'transaction_amount': 2}"):
+        store.load_backfill(str(tmp_path))
+    assert loaded(store) == []
+    assert [n for n in files.names(spark, store.path("raw_transactions")) if n.startswith("load=")] == []
+    with pytest.raises(BatchError, match="another date"):
+        store.load_daily(str(tmp_path), D1)
+    lenient = RawStore(spark, shared_dir(spark), max_reject_share=0.5)
+    lenient.load_backfill(str(tmp_path))
+    assert [t for t, _, _ in loaded(lenient)] == ["t1", "t3"]
+    rejects = lenient.rejects("raw_transactions").collect()
+    assert {r.record.split(",")[0] for r in rejects} == {"t2", "t4"} and len({r.load for r in rejects}) == 1
